@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, lm, toxicity
 from .common import fold, table
 
 
@@ -26,8 +26,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.fit(docs.filter(fold("doc_id", 7) != 2))
+    return lm.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 7) == 2})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op4_lm": op4_lm}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lm, toxicity
+from . import language, licenses, lm, toxicity
 from .common import fold, table
 
 
@@ -32,8 +32,12 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 7) == 2})
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op4_lm": op4_lm}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op4_lm": op4_lm, "op8_licenses": op8_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lm, mixing, pii, toxicity
+from . import decontaminate, language, licenses, lm, mixing, ngram_join, pii, toxicity
 from .common import fold, table
 
 #: The key of the registered query's pseudonyms; a real run passes its own secret.
@@ -35,6 +35,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 7) == 2})
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op4_lm": op4_lm, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op4_lm": op4_lm, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,9 +14,11 @@ last quarter) must each have at least `overlap` of their distinct word n-grams (
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -191,29 +193,43 @@ def _searcher(shared, overlap: float, names: list[str]):
     return search
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", share: float = 0.6, overlap: float = 0.5, shard_items: int = 20_000) -> DataFrame:
+def indexes(spark: SparkSession, items: DataFrame, item_id: str = "item_id", item_text: str = "text", share: float = 0.6, shard_items: int = 20_000) -> list:
+    """Broadcast indexes of all test items, one for each shard of about shard_items items."""
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), whole_text(item_text)).filter("item_id is not null and text <> ''").dropDuplicates()
+    shards = max(1, -(-items.count() // shard_items))
+    made = []
+    for k in range(shards):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").toArrow()
+        made.append(spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), share)))
+    return made
+
+
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = 0.6, overlap: float = 0.5, **options) -> DataFrame:
     """One row for each row of docs and test item that it contains: the columns of keep, item_id, and the best passage's bm25, question_overlap and answer_overlap.
 
-    Null or empty texts, and items without words or id, match nothing. Items with equal ids are separate items of that id;
-    a pair is then given once, with its best scores. Repeated rows of docs give repeated pairs.
+    Null or empty texts, and items without words or id, match nothing. Items that share an id but not their text are
+    separate items of that id. Repeated rows of docs give repeated pairs. Without items there are no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(*keep, whole_text(text))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text") + "item_id long, bm25 double, question_overlap double, answer_overlap double"
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), whole_text(item_text)).filter("item_id is not null and text <> ''").dropDuplicates()
-    shards = max(1, -(-items.count() // shard_items))
-    out = None
-    for k in range(shards):  # each shard has about shard_items items
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").toArrow()
-        shared = spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), share))
-        found = rows.mapInArrow(_searcher(shared, overlap, list(keep)), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that contain no test item, with all their columns. Rows with a null id are looked at by their text too."""
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(options.get("text", "text")))).withColumn("_i", F.col(id_column))
-    bad = matches(keyed, items, keep=("_i", "_k"), **options).select("_i", "_k").distinct()
-    on = keyed["_i"].eqNullSafe(bad["_i"]) & (keyed["_k"] == bad["_k"])
-    return keyed.join(bad, on, "left_anti").drop("_k", "_i")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "item_id long, bm25 double, question_overlap double, answer_overlap double"
+    found = [rows.mapInArrow(_searcher(shared, overlap, list(keep)), schema) for shared in indexes(docs.sparkSession, items, share=share, **options)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _cleaner(shared, overlap: float):
+    def keep(batches):
+        index = shared.value
+        for batch in batches:
+            for part in slices(batch, "_text", 2 << 20):
+                bad = {d for d, _ in _query(part.select(["_text"]).rename_columns(["text"]), index, overlap)} if index.n else set()
+                yield part.drop_columns(["_text"]).filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
+
+    return keep
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", share: float = 0.6, overlap: float = 0.5, **options) -> DataFrame:
+    """The rows of docs that contain no test item, with all their columns, in one pass for each shard of items and without a shuffle."""
+    for shared in indexes(docs.sparkSession, items, share=share, **options):
+        rows = docs.select(*docs.columns, whole_text(text).alias("_text"))
+        docs = rows.mapInArrow(_cleaner(shared, overlap), docs.schema)
+    return docs

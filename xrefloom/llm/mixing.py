@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import saved
 
 DIMS = ("source", "lang", "topic")
 
@@ -25,7 +25,7 @@ def content_topic(text: Column) -> Column:
     n = F.greatest(F.length(t), F.lit(1))
     return (
         F.when(F.trim(t) == "", "empty").when(t.contains(" | "), "table").when(F.regexp_count(t, F.lit("[0-9]")) * 50 > n, "numeric")
-        .when(F.regexp_count(t, F.lit(r"\p{Lu}")) * 3 > n, "capitals").when(F.length(t) < 400, "note").when(F.length(t) > 8000, "long").otherwise("prose")
+        .when(F.upper(t) == t, "capitals").when(F.length(t) < 400, "note").when(F.length(t) > 8000, "long").otherwise("prose")
     )
 
 
@@ -82,19 +82,20 @@ def mix(docs: DataFrame, share: float = 0.5, powers: dict[str, float] | None = N
 
     share: the expected share of all tokens that is kept. Targets are tempered shares (powers by dimension) unless given.
     A null source, language or topic is a value of its own. Rows without tokens have factor 1 and the probability of
-    factor 1. Equal rows (same id and text) are kept or left out together.
+    factor 1. Equal rows (same id and text) are kept or left out together. Texts are read twice and never shuffled.
     """
     powers = {"source": 0.7, "lang": 0.7, "topic": 0.9} | (powers or {})
     null = "\x00"
-    one = docs.select(*keep, *(F.coalesce(F.col(d).cast("string"), F.lit(null)).alias(f"_{d}") for d in DIMS[:2]), (topic if topic is not None else content_topic(F.col(text))).alias("topic"), F.xxhash64(F.lit(seed), F.col(id_column), F.col(text)).alias("_draw"), whole_text(text))
-    one = saved(one.withColumn("_topic", F.coalesce("topic", F.lit(null))).withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).drop("text"))
+    dims = [F.coalesce(F.col(d).cast("string"), F.lit(null)).alias(f"_{d}") for d in DIMS[:2]]
+    tokens = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_column), F.col(text)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    one = docs.select(*keep, *dims, F.coalesce(topic if topic is not None else content_topic(F.col(text)), F.lit(null)).alias("_topic"), tokens.alias("n_tokens"), draw.alias("_draw"))
     cells = saved(one.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
-    goals = {d: (targets or {}).get(d, None) for d in DIMS}
-    goals = {d: tempered(cells, d, powers[d]) if t is None else t.withColumn(d, F.coalesce(F.col(d), F.lit(null))) for d, t in goals.items()}
+    goals = {d: (targets or {}).get(d) for d in DIMS}
+    goals = {d: tempered(cells, d, powers[d]) if t is None else t.withColumn(d, F.coalesce(F.col(d).cast("string"), F.lit(null))) for d, t in goals.items()}
     raked = saved(rake(cells, goals))
     total = raked.agg(F.sum("tokens")).first()[0] or 0
     c = calibrate(raked, share * total) if total else share
     known = raked.select(*(F.col(d).alias(f"_{d}") for d in DIMS), "factor")
     out = one.join(known, [f"_{d}" for d in DIMS], "left").withColumn("probability", F.least(F.lit(1.0), F.lit(c) * F.col("factor")))
-    u = (F.pmod("_draw", F.lit(1 << 52)) / F.lit(float(1 << 52)))
-    return out.select(*keep, "topic", "n_tokens", "factor", "probability", (u < F.col("probability")).alias("sampled"))
+    return out.select(*keep, F.when(F.col("_topic") != null, F.col("_topic")).alias("topic"), "n_tokens", "factor", "probability", (F.col("_draw") < F.col("probability")).alias("sampled"))

@@ -106,12 +106,13 @@ def _scorer(model):
         weight[m["i"]] = m["w"]
         known = weight != 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                f, d = features(part.column("text"), bits)
+            for part in slices(batch, "_text"):
+                f, d = features(part.column("_text"), bits)
                 hit = known[f]
                 key = np.unique((d[hit] << bits) | f[hit])
                 total = np.bincount(key >> bits, weight[key & ((1 << bits) - 1)], part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.array(_sigmoid(total + m["bias"]))], [*(c for c in part.schema.names if c != "text"), "score"])
+                names = part.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(_sigmoid(total + m["bias"]))], [*names, "score"])
 
     return score
 
@@ -119,6 +120,6 @@ def _scorer(model):
 def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep and score (0 to 1) for every row. Null and empty texts score as the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, whole_text(text))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    rows = docs.select(*keep, whole_text(text).alias("_text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
     return rows.mapInArrow(_scorer(shared), f"{kept}score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lm, mixing, ngram_join, pii, toxicity
+from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, toxicity
 from .common import fold, table
 
 #: The key of the registered query's pseudonyms; a real run passes its own secret.
@@ -29,6 +29,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.fit(docs.filter(fold("doc_id", 7) != 2))
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op4_lm": op4_lm, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_embeddings": op3_embeddings, "op4_lm": op4_lm, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

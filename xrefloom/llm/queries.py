@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, toxicity
+from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, token_counts, toxicity
 from .common import fold, table
 
 #: The key of the registered query's pseudonyms; a real run passes its own secret.
 PII_KEY = b"a key for tests"
 
+#: The vocabulary of the registered token counts; the operator takes any file of that form.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +42,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": fold("doc_id", 7) == 2})
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.load_ranks(VOCABULARY))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -60,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_embeddings": op3_embeddings, "op4_lm": op4_lm, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_embeddings": op3_embeddings, "op4_lm": op4_lm, "op5_token_counts": op5_token_counts, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

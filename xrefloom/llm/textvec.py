@@ -22,7 +22,8 @@ _INV = pow(_MULT, -1, 1 << 64)
 _PIECE = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 
 #: Bytes that end a word: U+0020 and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
@@ -55,11 +56,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of a batch in order: their hashes and documents (row numbers); n: rows of the batch; bounds: n + 1 offsets into words."""
+    """Words of a batch in order: their hashes and documents (row numbers); n: rows of the batch; bounds: n + 1 offsets into words; spans: first and end byte of every word, if asked for."""
 
     hash: np.ndarray
     doc: np.ndarray
     bounds: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def n(self) -> int:
@@ -96,9 +98,11 @@ def _pieces(buf: np.ndarray, sep: np.ndarray):
         a = b
 
 
-def words(col: pa.Array | pa.ChunkedArray, sep: np.ndarray = SPACE) -> Words:
-    """Split every text at the bytes marked in sep."""
+def words(col: pa.Array | pa.ChunkedArray, sep: np.ndarray = SPACE, fold: bool = True, spans: bool = False) -> Words:
+    """Split every text at the bytes marked in sep; fold: A-Z count as a-z."""
     buf, off = text_bytes(col)
+    byte = _FOLDED if fold else _BYTE
+    at: list[tuple[np.ndarray, np.ndarray]] = []
     first = np.zeros(len(buf) + 1, bool)
     first[off] = True
     hashes, docs = [], []
@@ -116,12 +120,15 @@ def words(col: pa.Array | pa.ChunkedArray, sep: np.ndarray = SPACE) -> Words:
         power, inverse = _power_tables(len(part) + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(len(part) + 1, U)
-            np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
+            np.cumsum(byte[part] * power[: len(part)], out=total[1:])
             hashes.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0xA0761D6478BD642F)))
         docs.append(np.searchsorted(off, s + a, "right") - 1)
+        if spans:
+            at.append((s + a, e + a))
     h = np.concatenate(hashes) if hashes else np.zeros(0, U)
     d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    return Words(h, d, np.searchsorted(d, np.arange(len(off))))
+    both = tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in at)]) for k in (0, 1)) if spans else None
+    return Words(h, d, np.searchsorted(d, np.arange(len(off))), both)
 
 
 def ngrams(w: Words, n: int, gaps: tuple[int, ...] | None = None, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:

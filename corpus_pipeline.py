@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xrefloom.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from xrefloom.llm.common import saved, table
+from xrefloom.llm.common import bounded_batches, saved, table
 
 #: The key of the pseudonyms in tests; a real run sets its own secret.
 PII_KEY = b"a key for tests"
@@ -25,6 +25,7 @@ PII_KEY = b"a key for tests"
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labelled documents of this stage's input; keeps rows that score below 0.5. Null and empty texts stay unless the bias alone rejects them."""
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     model = toxicity.fit(docs.join(labels, "doc_id").select("text", "y"))
     return toxicity.score(docs, model, keep=tuple(docs.columns)).filter("score < 0.5").drop("score")
@@ -32,6 +33,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each class; rows that repeat an id count once; rows without an id all stay."""
+    bounded_batches(spark)
     found = ngram_join.classes(docs)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
@@ -39,17 +41,20 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows that contain no item of the table benchmark."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with pseudonyms in the text and its new length in n_chars (null for null texts)."""
+    bounded_batches(spark)
     rest = tuple(c for c in docs.columns if c != "text")
     return pii.pseudonymise(docs, PII_KEY, keep=rest).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled rows, about half of the tokens, with topic, n_tokens, factor and probability."""
+    bounded_batches(spark)
     return mixing.mix(docs, keep=tuple(docs.columns)).filter("sampled").drop("sampled")
 
 

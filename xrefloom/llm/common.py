@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of at most 1,000 rows and about 8 MB, so that a worker's memory does not hang on their lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; a local one is made only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -159,6 +159,15 @@ def possible(size_x, size_y, pos_x, pos_y, percent: int):
     return (100 * np.minimum(size_x, size_y) >= percent * np.maximum(size_x, size_y)) & (np.minimum(size_x - pos_x, size_y - pos_y) >= need)
 
 
+def _cut(rows: np.ndarray, start: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists whose rows by n pairs exceed `most`, cut into portions of rows: rows, start, n and the first row of every portion."""
+    step = np.maximum(1, most // np.maximum(n, 1))
+    portions = -(-rows // step)
+    which = np.repeat(np.arange(len(rows)), portions)
+    offset = (np.arange(len(which)) - np.repeat(np.cumsum(portions) - portions, portions)) * step[which]
+    return np.minimum(step[which], rows[which] - offset), start[which], n[which], offset
+
+
 def _pairer(percent: int, stars: bool):
     """Pairs within each list (rows of one h and block pair): of its first document with the others, or all that cross classes."""
 
@@ -181,23 +190,29 @@ def _pairer(percent: int, stars: bool):
         for k in key:
             change[1:-1] |= k[order][1:] != k[order][:-1]
         edge = np.flatnonzero(change)
-        found, size_found = [], 0
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            at = order[a:b]
-            step = max(1, (1 << 20) // (b - a))
-            for s in range(0, 1 if stars else b - a, step):
-                left = at[:1] if stars else at[s : s + step]
-                i, j = np.meshgrid(np.arange(len(left)), np.arange(b - a), indexing="ij")
-                i, j = left[i.ravel()], at[j.ravel()]
-                ok = (rep[i] < rep[j]) if stars else (cls[i] != cls[j]) & np.where(within[i], rep[i] < rep[j], side[i] < side[j])
-                i, j = i[ok], j[ok]
-                ok = possible(size[i], size[j], pos[i], pos[j], percent)
-                i, j = i[ok], j[ok]
-                if len(i):
-                    found.append(np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0))
-                    size_found += len(found[-1])
+        start, n = edge[:-1], np.diff(edge)
+        # all lists at once, in portions of about a million pairs: each list's rows (its first row only) against its rows
+        rows = np.ones(len(n), np.int64) if stars else n
+        rows, start, n, offset = _cut(rows, start, n, 1 << 20)
+        total = np.concatenate([[0], np.cumsum(rows * n)])
+        found, size_found, k = [], 0, 0
+        while k < len(n):
+            end = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 20), "right")) - 1)
+            m = rows[k:end] * n[k:end]
+            list_ = np.repeat(np.arange(k, end), m)
+            at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            i, j = order[start[list_] + offset[list_] + at // n[list_]], order[start[list_] + at % n[list_]]
+            ok = (rep[i] < rep[j]) if stars else (cls[i] != cls[j]) & np.where(within[i], rep[i] < rep[j], side[i] < side[j])
+            i, j = i[ok], j[ok]
+            ok = possible(size[i], size[j], pos[i], pos[j], percent)
+            i, j = i[ok], j[ok]
+            if len(i):
+                found.append(np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0))
+                size_found += len(found[-1])
+            k = end
             if size_found > 1 << 20:
-                found, size_found = [np.unique(np.concatenate(found), axis=0)], 0
+                found = [np.unique(np.concatenate(found), axis=0)]
+                size_found = 0
                 if len(found[0]) > 1 << 21:
                     yield emit(found)
                     found = []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, token_counts, toxicity
-from .common import fold, table
+from .common import bounded_batches, fold, table
 
 #: The key of the registered query's pseudonyms; a real run passes its own secret.
 PII_KEY = b"a key for tests"
@@ -67,7 +67,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_language": op2_language, "op3_embeddings": op3_embeddings, "op4_lm": op4_lm, "op5_token_counts": op5_token_counts, "op6_ngram_join": op6_ngram_join, "op7_decontaminate": op7_decontaminate, "op8_licenses": op8_licenses, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    def bounded(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: bounded(f) for f in (op1_toxicity, op2_language, op3_embeddings, op4_lm, op5_token_counts, op6_ngram_join, op7_decontaminate, op8_licenses, op9_pii, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -111,7 +111,7 @@ def _counter(shared, passed: list[str]):
         for batch in batches:
             for part in slices(batch, "_text", 8 << 20):
                 tokens, score, pretokens = count_batch(part.column("_text"), ends)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(tokens), pa.array(pretokens.astype(np.int64)), pa.array(score)], [*passed, "n_tokens", "n_pretokens", "log_probability"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(tokens), pa.array(pretokens.astype(np.int64)), pa.array(score.astype(np.float64))], [*passed, "n_tokens", "n_pretokens", "log_probability"])
 
     return count
 

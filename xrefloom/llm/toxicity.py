@@ -7,7 +7,8 @@ weights, in practice a few thousand, whatever the size of the corpus.
 
 Training uses a bounded sample: about `sample_rows` labelled rows (a documented parameter), chosen by a hash of the text,
 so copies of one text are in or out together. The sample is dealt over `shards` tasks; each runs FTRL over its rows, and
-the shards' weights are averaged by coordinate, weighted with the gradient mass that each has seen. Scoring reads whole
+the shards' weights are averaged by coordinate (a weight that L1 keeps at zero in a shard counts as zero there), and the
+mean is scaled and shifted so that the sample's scores are probabilities. Scoring reads whole
 texts, all rows, in one pass without a shuffle.
 """
 
@@ -62,7 +63,7 @@ def _trainer(bits: int, epochs: int, options: dict):
         model = Ftrl(bits, **options)
         rows, labels = [], []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 f, d = features(part.column("text"), bits)
                 key = np.unique((d << bits) | f)
                 bounds = np.searchsorted(key >> bits, np.arange(part.num_rows + 1))
@@ -73,12 +74,34 @@ def _trainer(bits: int, epochs: int, options: dict):
         for _ in range(epochs):
             for k in order.permutation(len(rows)):
                 model.learn(rows[k], labels[k])
-        seen = np.flatnonzero(model.n)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(seen, pa.int32()), "w": model.weights(seen), "n": model.n[seen]})
+        w = model.weights(np.arange(len(model.z)))
+        on = np.flatnonzero(w)
+        if rows:  # the bias stands in for the shard itself, even where it is zero
+            on = np.union1d(on, [1 << bits])
+        yield pa.RecordBatch.from_pydict({"i": pa.array(on, pa.int32()), "w": w[on]})
 
     return train
 
 
+def calibrate(scores: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift (Platt's, by Newton steps) that make scores probabilities; 1 and 0 where only one class is there."""
+    if len(np.unique(y)) < 2:
+        return 1.0, 0.0
+    x = np.log(np.clip(scores, 1e-12, 1 - 1e-12) / (1 - np.clip(scores, 1e-12, 1 - 1e-12)))
+    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+    t = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = _sigmoid(t[0] * x + t[1])
+        v = np.maximum(p * (1 - p), 1e-9)
+        gradient = np.array([((p - goal) * x).sum() + 1e-3 * (t[0] - 1), (p - goal).sum()])
+        hessian = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]])
+        step = np.linalg.solve(hessian, gradient)
+        t = t - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(float(t[0]), 0.05), float(t[1])
+
+
 def fit(labelled: DataFrame, bits: int = 22, sample_rows: int = 12_000, shards: int = 3, epochs: int = 4, **options) -> dict:
     """Learn from columns text and y (0 or 1; other rows are left out). Returns {i, w, bias, bits}; i and w list only non-zero weights.
 
@@ -89,13 +112,16 @@ def fit(labelled: DataFrame, bits: int = 22, sample_rows: int = 12_000, shards:
     n = labelled.count()
     share = min(1.0, sample_rows / max(n, 1))
     sample = labelled.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).repartition(shards, "h").select("text", "y")
-    parts = sample.mapInArrow(_trainer(bits, epochs, FTRL | options), "i int, w double, n double")
-    mean = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).filter("w <> 0")
-    got = mean.toArrow()  # at most 2**bits + 1 rows
-    i, w = got["i"].to_numpy(), got["w"].to_numpy()
+    parts = sample.mapInArrow(_trainer(bits, epochs, FTRL | options), "i int, w double")
+    got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # the weights that are not zero
+    i, w, n = (got[c].to_numpy() for c in ("i", "w", "n"))
+    w = w / max(1, n[i == 1 << bits].sum())
     bias = float(w[i == 1 << bits].sum())
     keep = i < 1 << bits
-    return {"i": i[keep], "w": w[keep].astype(np.float32), "bias": bias, "bits": bits}
+    model = {"i": i[keep], "w": w[keep].astype(np.float32), "bias": bias, "bits": bits}
+    told = score(sample, model, keep=("y",)).toArrow()  # about sample_rows rows of two numbers
+    a, b = calibrate(told["score"].to_numpy(), told["y"].to_numpy())
+    return model | {"w": (a * model["w"]).astype(np.float32), "bias": a * bias + b}
 
 
 def _scorer(model):
@@ -106,7 +132,7 @@ def _scorer(model):
         weight[m["i"]] = m["w"]
         known = weight != 0
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 1 << 20):
                 f, d = features(part.column("_text"), bits)
                 hit = known[f]
                 key = np.unique((d[hit] << bits) | f[hit])

@@ -32,7 +32,8 @@ def test_all_have_sql():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(Q))
 def test_equals_sql(spark, duck, name):
-    got = pd.DataFrame([r.asDict() for r in (df := Q[name](spark, SF)).collect()], columns=df.columns, dtype=object)
-    want = duck.execute(SQL[name]).fetch_arrow_table()
+    df = Q[name](spark, SF)
+    got = pd.DataFrame([r.asDict() for r in df.collect()], columns=df.columns, dtype=object)
+    want = duck.execute(SQL[name]).to_arrow_table()
     want = pd.DataFrame(want.to_pylist(), columns=want.column_names, dtype=object)
     assert rows(got) == rows(want)

@@ -154,7 +154,7 @@ def a03_labels(spark, sf_dir):
 
 
 @query(f"""WITH {_NODES}, x AS (SELECT lang AS label, CASE WHEN strlen(name) % 5 = 0 THEN 'failed' WHEN strlen(name) % 5 = 1 THEN 'empty' ELSE 'ok' END AS status, strlen(name) AS bytes FROM nodes)
-  SELECT label, count(*) AS units, count_if(status = 'ok') AS ok, count_if(status = 'empty') AS empty, count_if(status = 'failed') AS failed, CAST(sum(bytes) AS BIGINT) AS bytes FROM x GROUP BY ROLLUP (label)""")
+  SELECT label, count(*) AS units, CAST(count_if(status = 'ok') AS BIGINT) AS ok, CAST(count_if(status = 'empty') AS BIGINT) AS empty, CAST(count_if(status = 'failed') AS BIGINT) AS failed, CAST(sum(bytes) AS BIGINT) AS bytes FROM x GROUP BY ROLLUP (label)""")
 def a05_language_counts(spark, sf_dir):
     n = F.octet_length("name")
     status = F.when(n % 5 == 0, "failed").when(n % 5 == 1, "empty").otherwise("ok")

@@ -176,9 +176,10 @@ def _pairer(percent: int, stars: bool):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
 
     def pair(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        own = [b for b in batches if b.num_rows]
+        if not own:  # a partition without rows
             return
+        table = pa.Table.from_batches(own)
         key = [table[c].to_numpy() for c in (("h",) if stars else ("h", "i", "j"))]
         rep, pos, size = (table[c].to_numpy().astype(np.int64) for c in ("rep", "pos", "size"))
         cls = rep if stars else table["cls"].to_numpy()

@@ -147,6 +147,21 @@ def test_lm_filter_tells_counts(spark):
     assert (lm.probe(h ^ np.uint64(12345), 0, model["cells"], model["bits"]) == 0).mean() > 0.97
 
 
+def test_lm_filter_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 4000, 500))) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(d, region_bits=1 << 12)  # far less than the words need
+    assert model["regions"] > 16 and model["bits"] == model["regions"] << 12
+    c = collections.Counter(w for _, t in rows for w in t.split())
+    h = textvec.words(pa.array([" ".join(c)])).hash
+    q, exact = lm.probe(h, 0, model["cells"], model["bits"], model["regions"]), lm.level(np.array(list(c.values())))
+    assert (q >= exact).all() and (q == exact).mean() > 0.97  # no word is left out
+    whole = lm.fit(d)
+    a, b = ({x.doc_id: x.score for x in lm.score(d, m).collect()} for m in (model, whole))
+    assert len(a) == 40 and all(abs(a[k] - b[k]) < 0.01 * abs(b[k]) for k in a)
+
+
 def test_lm_prefers_what_it_has_seen(spark):
     d = spark.createDataFrame([(1, "the cat sat on the mat " * 30), (2, "mat the on sat cat the " * 30)], "doc_id long, text string")
     model = lm.fit(d.filter("doc_id = 1"))

@@ -2,15 +2,17 @@
 
 Words and word pairs of all training texts are counted exactly: tasks count what they read, send packed blocks of
 (hash, count) to the owner of a slice of the hash space, and the owners add up. The counts are then quantised by
-logarithm: an n-gram with quantised count q is put into a Bloom filter as q members, (n-gram, 1) to (n-gram, q). The
-filter is broadcast; a count is read back by probing (n-gram, 1), (n-gram, 2), ... until a probe fails. Word
-probabilities are smoothed: a pair's count is mixed with the word's own probability (a Dirichlet prior of `prior` pseudo
-counts), and that with one more than its count.
-
-The filter never exceeds `most_bits` bits (32 MB as set). It takes 12 bits a member; where the corpus has more members
-than fit, the least count that an n-gram must have rises until they do. Counting itself has no such limit and leaves
-nothing out. The exact add-one base score needs exact counts of all words: those of the most frequent ones (at most
-2**18 words, 4 MB) are broadcast, and the remaining words of each text are joined with their counts by hash slice.
+logarithm: an n-gram with quantised count q is put into a Bloom filter as q members, (n-gram, 1) to (n-gram, q). A count
+is read back by probing (n-gram, 1), (n-gram, 2), ... until a probe fails. Word probabilities are smoothed: a pair's count
+is mixed with the word's own probability (a Dirichlet prior of `prior` pseudo counts), and that with one more than its
+count.
+
+The filter takes at least 12 bits a member and is cut into regions by the n-gram's first hash bits, of at most
+`region_bits` bits (2 MB as set): a larger corpus has more regions. It is never in one place: texts are gathered in chunks of about CHUNK
+bytes, each chunk's distinct n-grams are sent to their regions' tasks (KEY_BYTES bytes for each), and one byte for each,
+its quantised count, comes back to the chunk. The exact add-one base score needs exact counts of all words: those of the
+most frequent ones (at most 2**18 words, 4 MB) are broadcast, and the remaining words of each text are joined with their
+counts by hash slice.
 
 Word identity is a 64-bit hash. Every text ends with one end token, which is also the left neighbour of its first word.
 """
@@ -21,6 +23,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,9 @@ BASE = 1.5
 MOST_FREQUENT = 1 << 18
 REGIONS = 16
 PROBES = 3
+KEY_BYTES = 5
+CHUNK = 4 << 20
+_ASK = "region int, kind int, chunk long, b binary"
 _BLOCK = "kind int, seg int, h binary, c binary"
 
 
@@ -154,93 +161,103 @@ def _frequent(least: int):
     return pick
 
 
-def _slots(h: np.ndarray, q: int, i: int, bits: int, kind: int) -> np.ndarray:
-    """Bit number of probe i for (n-gram, q); an n-gram's bits all lie in the region that its first 4 hash bits name."""
+def _key(h: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The region that an n-gram's first hash bits name, and its last 40 hash bits, which stand for it there."""
+    return h >> np.uint64(64 - int(math.log2(regions))), h & np.uint64((1 << 8 * KEY_BYTES) - 1)
+
+
+def _slots(key: np.ndarray, q: int, i: int, size: int, kind: int) -> np.ndarray:
+    """Bit number, in a region of size bits, of probe i for (n-gram, q)."""
     with np.errstate(over="ignore"):
-        x = tv.mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((q * 0x165667B19E3779F9 + (2 * i + kind) * 0x27D4EB2F165667C5) & (1 << 64) - 1))
-    size = bits // REGIONS
-    return (h >> np.uint64(60)) * np.uint64(size) + (x & np.uint64(size - 1))
+        x = tv.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((q * 0x165667B19E3779F9 + (2 * i + kind) * 0x27D4EB2F165667C5) & (1 << 64) - 1))
+    return x & np.uint64(size - 1)
 
 
-def _pruner(least: tuple[int, int]):
-    """Only the n-grams that enter the filter, a bounded number."""
+def _pack(key: np.ndarray) -> bytes:
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
-    def prune(batches):
-        for batch in batches:
-            for row, (kind, seg) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("seg").to_pylist(), strict=True)):
-                h, c = _read(batch, row)
-                keep = level(c) >= least[kind]
-                if keep.any():
-                    yield _blocks([(kind, seg, h[keep], c[keep])])
 
-    return prune
+def _unpack(b) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :KEY_BYTES] = x
+    return out.view("<u8").ravel()
 
 
-def _filler(bits: int):
+def _filler(regions: int, size: int):
+    """The regions' bits, as rows of _ASK with kind -1; all n-grams of a region are in one task."""
+
     def fill(batches):
-        size = bits // REGIONS
         made: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, kind in enumerate(batch.column("kind").to_pylist()):
                 h, c = _read(batch, row)
+                region, key = _key(h, regions)
                 q = level(c)
-                for k in range(1, int(q.max(initial=0)) + 1):
-                    for i in range(PROBES):
-                        slot = _slots(h[q >= k], k, i, bits, kind)
-                        region = (slot // np.uint64(size)).astype(int)
-                        for r in np.unique(region).tolist():
-                            cells = made.setdefault(r, np.zeros(size // 8, np.uint8))
-                            s = (slot[region == r] & np.uint64(size - 1)).astype(np.int64)
+                edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(h) else []
+                for a, b in zip(edges[:-1], edges[1:], strict=True):  # h is sorted
+                    cells = made.setdefault(int(region[a]), np.zeros(size // 8, np.uint8))
+                    for k in range(1, int(q[a:b].max()) + 1):
+                        x = key[a:b][q[a:b] >= k]
+                        for i in range(PROBES):
+                            s = _slots(x, k, i, size, kind).astype(np.int64)
                             np.bitwise_or.at(cells, s >> 3, (1 << (s & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"region": pa.array(list(made), pa.int32()), "cells": pa.array([x.tobytes() for x in made.values()], pa.binary())})
+        for region, cells in made.items():
+            yield pa.RecordBatch.from_pydict({"region": pa.array([region], pa.int32()), "kind": pa.array([-1], pa.int32()), "chunk": pa.array([-1], pa.int64()), "b": pa.array([cells.tobytes()], pa.binary())})
 
     return fill
 
 
-def fit(training: DataFrame, text: str = "text", most_bits: int = 1 << 28, prior: float = 50.0) -> dict:
+class Model(dict):
+    """What fit returns. The whole filter comes to the driver, as `cells`, only if it is asked for."""
+
+    def __missing__(self, name: str):
+        if name != "cells":
+            raise KeyError(name)
+        cells = np.zeros((self["regions"], self["bits"] // self["regions"] // 8), np.uint8)
+        for r in self["filter"].toLocalIterator():
+            cells[r["region"]] = np.frombuffer(r["b"], np.uint8)
+        return self.setdefault(name, cells.ravel())
+
+
+def _segments(rows: DataFrame) -> int:
+    """How many slices (a power of two) a table of texts is worked in: about a million tokens each."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << max(4, math.ceil(math.log2(size / (6 << 20) + 1)))
+
+
+def fit(training: DataFrame, text: str = "text", region_bits: int = 1 << 24, prior: float = 50.0) -> Model:
     """Count all training texts and build the filter. An empty table gives a model with N = V = 0.
 
-    Returns N (tokens), V (distinct tokens), counts (a table of exact word counts in hash slices), segs, and what is
-    broadcast: the filter, and hashes and counts of the most frequent words.
+    Returns N (tokens), V (distinct tokens), counts (a table of exact counts in hash slices), segs, filter (a table of
+    regions regions, bits bits together), and what is broadcast: hashes and counts of the most frequent words.
     """
     rows = training.select(whole_text(text))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segs = 1 << max(4, math.ceil(math.log2(size / (6 << 20) + 1)))  # about a million tokens each
+    segs = _segments(rows)
     counted = rows.mapInArrow(_counter(segs), _BLOCK).repartition(segs, "seg").mapInArrow(_adder, _BLOCK)
     counts = saved(counted)
     hist = counts.mapInArrow(_histogram, "kind int, q int, n long, c long").groupBy("kind", "q").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()
-    by = {(r["kind"], r["q"]): r["n"] for r in hist}
-    words = [r for r in hist if r["kind"] == 0]
-    total, distinct = sum(r["c"] for r in words), sum(r["n"] for r in words)
-    top = max((q for _, q in by), default=0)
-
-    def members(least: tuple[int, int]) -> int:
-        return sum(n * q for (kind, q), n in by.items() if q >= least[kind])
-
-    least = [1, 1]
-    while members(least) * 12 > most_bits and least[1] <= top:
-        least[1 if least[1] <= least[0] + 2 else 0] += 1
-    bits = min(most_bits, 1 << max(16, math.ceil(math.log2(members(least) * 12 + 1))))
-    frequent = next((q for q in range(1, top + 2) if sum(n for (kind, x), n in by.items() if kind == 0 and x >= q) <= MOST_FREQUENT), 1)
+    words = {r["q"]: r["n"] for r in hist if r["kind"] == 0}
+    total, distinct = sum(r["c"] for r in hist if r["kind"] == 0), sum(words.values())
+    bits = 1 << max(16, math.ceil(math.log2(sum(r["n"] * r["q"] for r in hist) * 12 + 1)))
+    regions = max(REGIONS, bits // region_bits)
+    frequent = next((q for q in range(1, max(words, default=0) + 2) if sum(n for x, n in words.items() if x >= q) <= MOST_FREQUENT), 1)
     known = counts.filter("kind = 0").mapInArrow(_frequent(frequent), "h long, n long").toArrow()  # at most MOST_FREQUENT rows
     h, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
     order = np.argsort(h)
-    region = F.shiftright("seg", int(math.log2(segs // REGIONS)))
-    kept = counts.mapInArrow(_pruner(tuple(least)), _BLOCK).repartition(REGIONS, region)
-    filled = kept.mapInArrow(_filler(bits), "region int, cells binary").toArrow()  # bits / 8 bytes, as every region has one owner
-    cells = np.zeros((REGIONS, bits // REGIONS // 8), np.uint8)
-    for region, x in zip(filled["region"].to_pylist(), filled["cells"].to_pylist(), strict=True):
-        cells[region] = np.frombuffer(x, np.uint8)
-    return {"N": total, "V": distinct, "segs": segs, "counts": counts, "prior": prior, "bits": bits, "cells": cells.ravel(), "h": h[order], "n": n[order]}
-
-
-def probe(h: np.ndarray, kind: int, cells: np.ndarray, bits: int) -> np.ndarray:
-    """Quantised counts read from the filter: the last of the levels 1, 2, ... that is a member."""
-    q = np.zeros(len(h), np.int64)
-    live = np.arange(len(h))
+    owner = F.shiftright("seg", max(0, int(math.log2(segs)) - int(math.log2(regions))))
+    filled = saved(counts.repartition(min(segs, regions), owner).mapInArrow(_filler(regions, bits // regions), _ASK))
+    return Model({"N": total, "V": distinct, "segs": segs, "counts": counts, "prior": prior, "bits": bits, "regions": regions, "filter": filled, "h": h[order], "n": n[order]})
+
+
+def _probe(key: np.ndarray, start, kind: int, cells: np.ndarray, size: int) -> np.ndarray:
+    """Quantised counts read from the filter: the last of the levels 1, 2, ... that is a member; start: the first bit of each key's region."""
+    q = np.zeros(len(key), np.int64)
+    start = np.broadcast_to(np.asarray(start, np.uint64), key.shape)
+    live = np.arange(len(key))
     for k in range(1, 120):
         for i in range(PROBES):
-            slot = _slots(h[live], k, i, bits, kind).astype(np.int64)
+            slot = (start[live] + _slots(key[live], k, i, size, kind)).astype(np.int64)
             live = live[(cells[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
         q[live] = k
         if not len(live):
@@ -248,36 +265,97 @@ def probe(h: np.ndarray, kind: int, cells: np.ndarray, bits: int) -> np.ndarray:
     return q
 
 
-def _scorer(model, passed: list[str]):
+def probe(h: np.ndarray, kind: int, cells: np.ndarray, bits: int, regions: int = REGIONS) -> np.ndarray:
+    """Quantised counts of n-grams by their hashes, from a whole filter."""
+    region, key = _key(h, regions)
+    return _probe(key, region * np.uint64(bits // regions), kind, cells, bits // regions)
+
+
+def _baser(model, passed: list[str]):
+    """Base scores as far as the frequent words tell them, the rare words, and each text's chunk."""
+
     def score(batches):
         m = model.value
         total = m["N"] + m["V"] + 1.0
+        chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                tok, left, doc, counts = tokens(part.column("text"))
+                tok, _, doc, counts = tokens(part.column("text"))
                 n = part.num_rows
+                size = pc.sum(pc.binary_length(part.column("text"))).as_py()
+                if held and held + size > CHUNK:
+                    chunk, held = chunk + 1, 0
+                held += size + n
                 u, back = np.unique(tok, return_inverse=True)
-                # exact counts of frequent words
                 at = np.minimum(np.searchsorted(m["h"], u), max(0, len(m["h"]) - 1))
                 known = m["h"][at] == u if len(m["h"]) else np.zeros(len(u), bool)
                 c = np.where(known, m["n"][at] if len(m["n"]) else 0, 0)
                 base = np.bincount(doc, np.where(known, np.log10((c + 1) / total), 0.0)[back], n)
                 rare = ~known[back]
                 words = [tok[rare][a:b].tobytes() for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(doc[rare], np.arange(n + 1))), strict=True)]
-                # the model: counts as the filter tells them
-                single = _typical(probe(u, 0, m["cells"], m["bits"]))
-                p1 = ((single + 1) / total)[back]
-                context = single[np.searchsorted(u, left)] if len(u) else p1
-                up, pback = np.unique(pair(left, tok), return_inverse=True)
-                both = np.minimum(_typical(probe(up, 1, m["cells"], m["bits"]))[pback], context)
-                p = (both + m["prior"] * p1) / (context + m["prior"])
                 cols = [part.column(x) for x in passed]
-                cols += [pa.array(counts), pa.array(np.bincount(doc, known[back], n).astype(np.int64)), pa.array(base), pa.array(np.bincount(doc, np.log10(p), n)), pa.array(words, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, [*passed, "n_tokens", "n_known", "base_score", "score", "rare"])
+                cols += [pa.array(counts), pa.array(np.bincount(doc, known[back], n).astype(np.int64)), pa.array(base), pa.array(words, pa.binary()), part.column("text"), pa.array(np.full(n, chunk))]
+                yield pa.RecordBatch.from_arrays(cols, [*passed, "n_tokens", "n_known", "base_score", "rare", "text", "chunk"])
 
     return score
 
 
+def _asker(regions: int):
+    """A chunk's distinct n-grams, by kind and region."""
+
+    def ask(key, texts):
+        tok, left, _, _ = tokens(texts["text"])
+        rows = []
+        for kind, h in enumerate((np.unique(tok), np.unique(pair(left, tok)))):
+            _, keys = _key(h, regions)
+            rows += [(k, kind, _pack(keys[a:b])) for k, a, b in _by_slice(h, regions)]
+        return pa.table({"region": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "b": pa.array([r[2] for r in rows], pa.binary())})
+
+    return ask
+
+
+def _answerer(size: int):
+    """Per region, its bits come first (kind -1), then chunks' n-grams: their quantised counts, a byte each."""
+
+    def answer(batches):
+        at, cells = -1, np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            region, kind, b = batch.column("region").to_pylist(), batch.column("kind").to_pylist(), batch.column("b")
+            ask, out = [], []
+            for row in range(batch.num_rows):
+                if region[row] != at:
+                    at, cells = region[row], np.zeros(size // 8, np.uint8)
+                if kind[row] < 0:
+                    cells = np.frombuffer(b[row].as_buffer(), np.uint8)
+                    continue
+                ask.append(row)
+                out.append(_probe(_unpack(b[row].as_buffer()), 0, kind[row], cells, size).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(ask, pa.int32())) for c in ("region", "kind", "chunk")), pa.array(out, pa.binary())], ["region", "kind", "chunk", "b"])
+
+    return answer
+
+
+def _finisher(total: float, prior: float, names: list[str]):
+    """Scores of a chunk's texts; levels, by kind and region, are in the order of its sorted n-grams."""
+
+    def finish(texts, levels):
+        tok, left, doc, _ = tokens(texts["text"])
+        order = levels.sort_by([("kind", "ascending"), ("region", "ascending")])
+        q = np.frombuffer(b"".join(order["b"].to_pylist()), np.uint8).astype(np.int64)
+        u, back = np.unique(tok, return_inverse=True)
+        up, pback = np.unique(pair(left, tok), return_inverse=True)
+        if len(q) != len(u) + len(up):
+            raise RuntimeError(f"{len(q)} counts for {len(u) + len(up)} n-grams")
+        single = _typical(q[: len(u)])
+        p1 = ((single + 1) / total)[back]
+        context = single[np.searchsorted(u, left)]
+        both = np.minimum(_typical(q[len(u) :])[pback], context)
+        p = (both + prior * p1) / (context + prior)
+        return texts.select(names).append_column("score", pa.array(np.bincount(doc, np.log10(p), texts.num_rows)))
+
+    return finish
+
+
 def _dealer(segs: int):
     """Words of texts, packed by hash slice, each with its text's key."""
 
@@ -322,15 +400,24 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Colu
     A null or empty text has one token, its end. Rows with equal texts have equal scores.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
+    shared = spark.sparkContext.broadcast({k: model[k] for k in ("N", "V", "h", "n")})
     keep = keep or {"doc_id": F.col("doc_id")}
     rows = docs.select(*(v.alias(k) for k, v in keep.items()), whole_text(text)).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
+    named = [f"_{k}" for k in range(len(keep))]  # the caller's names could be those of this function's columns
+    rows = rows.toDF(*named, "text", "k1", "k2")
     passed = [f for f in rows.schema if f.name != "text"]
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
-    part = saved(rows.mapInArrow(_scorer(shared, [f.name for f in passed]), f"{kept}n_tokens long, n_known long, base_score double, score double, rare binary"))
+    part = saved(rows.mapInArrow(_baser(shared, [f.name for f in passed]), f"{kept}n_tokens long, n_known long, base_score double, rare binary, text string, chunk long"))
+    segs, regions, total = _segments(rows), model["regions"], model["N"] + model["V"] + 1.0
+    names = [*(f.name for f in passed), "n_tokens", "n_known", "base_score"]
+    texts = part.select(*names, "text", "chunk").repartition(segs, "chunk")
+    asked = model["filter"].unionByName(texts.groupBy("chunk").applyInArrow(_asker(regions), _ASK))
+    answered = asked.repartition(regions, "region").sortWithinPartitions("region", "kind").mapInArrow(_answerer(model["bits"] // regions), _ASK)
+    both = texts.groupBy("chunk").cogroup(answered.repartition(segs, "chunk").groupBy("chunk"))
+    scored = saved(both.applyInArrow(_finisher(total, model["prior"], names), f"{kept}n_tokens long, n_known long, base_score double, score double"))
     rare = part.filter("octet_length(rare) > 0").select("k1", "k2", "rare").dropDuplicates(["k1", "k2"])
     dealt = model["counts"].filter("kind = 0").unionByName(rare.mapInArrow(_dealer(model["segs"]), _BLOCK))
     met = dealt.repartition(model["segs"], "seg").sortWithinPartitions("seg", "kind")
-    more = met.mapInArrow(_joiner(model["N"] + model["V"] + 1.0), "k1 long, k2 long, more long, rest double").groupBy("k1", "k2").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"))
-    out = part.drop("rare").join(more, ["k1", "k2"], "left")
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    more = met.mapInArrow(_joiner(total), "k1 long, k2 long, more long, rest double").groupBy("k1", "k2").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"))
+    out = scored.join(more, ["k1", "k2"], "left")
+    return out.select(*(F.col(c).alias(k) for c, k in zip(named, keep, strict=True)), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")

@@ -162,6 +162,15 @@ def test_lm_filter_grows_with_the_corpus(spark):
     assert len(a) == 40 and all(abs(a[k] - b[k]) < 0.01 * abs(b[k]) for k in a)
 
 
+def test_lm_knows_pairs_seen_once(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "b a"), (4, "a b " * 2)], "doc_id long, text string")
+    out = {x.doc_id: x.score for x in lm.score(d, lm.fit(d.filter("doc_id < 3"))).collect()}
+    n, v, prior = 6, 5, 50.0  # a, b, c, d and two ends
+    p = lambda pair, left, one: math.log10((pair + prior * (one + 1) / (n + v + 1)) / (left + prior))
+    assert abs(out[1] - (p(1, 2, 1) + p(1, 1, 1) + p(1, 1, 2))) < 1e-9  # all pairs seen once
+    assert abs(out[3] - (p(0, 2, 1) + p(0, 1, 1) + p(0, 1, 2))) < 1e-9  # none seen
+
+
 def test_lm_prefers_what_it_has_seen(spark):
     d = spark.createDataFrame([(1, "the cat sat on the mat " * 30), (2, "mat the on sat cat the " * 30)], "doc_id long, text string")
     model = lm.fit(d.filter("doc_id = 1"))

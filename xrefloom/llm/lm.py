@@ -122,7 +122,7 @@ def _read(batch, row: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _adder(batches):
-    """Add up the blocks of each hash slice; pairs seen once are left out (they never enter the filter)."""
+    """Add up the blocks of each hash slice."""
     kept: dict[tuple[int, int], list] = {}
     for batch in batches:
         for row, key in enumerate(zip(batch.column("kind").to_pylist(), batch.column("seg").to_pylist(), strict=True)):
@@ -130,10 +130,7 @@ def _adder(batches):
             if sum(len(x[0]) for x in kept[key][1:]) > 4 * len(kept[key][0]) + (1 << 20):
                 kept[key] = [_add(kept[key])]
     for (kind, seg), parts in kept.items():
-        h, c = _add(parts)
-        if kind:
-            h, c = h[c > 1], c[c > 1]
-        yield _blocks([(kind, seg, h, c)])
+        yield _blocks([(kind, seg, *_add(parts))])
 
 
 def _histogram(batches):

@@ -59,6 +59,32 @@ def test_what_is_not_personal_stays(text):
     assert P.text(f"x {text} y") == (f"x {text} y", [0] * len(pii.KINDS))
 
 
+CARD, IBAN, PHONE = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "+1 980 555 6268"
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        (f"{CARD} 10.1.2.3", {"card": CARD, "ip": "10.1.2.3"}),
+        (f"{CARD} 12/25", {"card": CARD}),
+        (f"{CARD} 737", {"card": CARD}),
+        (f"12 {CARD}", {"card": CARD}),
+        (f"{IBAN} EUR", {"iban": IBAN}),
+        (f"{PHONE} 12/10/2020", {"phone": PHONE, "date": "12/10/2020"}),
+        (f"{PHONE} {CARD}", {"phone": PHONE, "card": CARD}),
+        (f"{PHONE} 12 items", {"phone": PHONE}),
+        (f"+44 20 7946 0958 {CARD}", {"phone": "+44 20 7946 0958", "card": CARD}),
+        ("+44 20 7946 0958 12/10/2020", {"phone": "+44 20 7946 0958", "date": "12/10/2020"}),
+        ("1234 5678 9012 3456 10.1.2.3", {"ip": "10.1.2.3"}),
+    ],
+)
+def test_values_before_other_numbers(text, parts):
+    want = text
+    for kind, v in parts.items():
+        want = want.replace(v, getattr(P, kind)(v))
+    assert P.text(f"x {text} y") == (f"x {want} y", [int(k in parts) for k in pii.KINDS])
+
+
 def test_values_stay_linked_across_rows(spark):
     c = card(123)
     rows = [(1, f"pay {c}."), (2, f"card: {c}, mail er.49@mail9.example.com"), (3, None), (4, ""), (5, "no data " * 30000), (None, f"{c} 10.1.2.3 1.2.3.4")]

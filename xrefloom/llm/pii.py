@@ -41,6 +41,9 @@ _ANY = re.compile(
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
 )
 _DIGIT_OR_AT = re.compile("[0-9@]")
+#: Where a match may end before its end, as the next number or word can be another's.
+_CUTS = {"phone": re.compile(" "), "card": re.compile("[ -]"), "iban": re.compile(" ")}
+_GROUP = re.compile(r"\+?\w+")
 
 
 class Feistel:
@@ -204,18 +207,45 @@ class Pseudonyms:
             return image(self.f.walk(day - _FIRST, _LAST - _FIRST + 1, f"date|{v[4:5] == '-'}|{orders[k]}", same))
         return None
 
+    def _valid(self, kind: str, v: str) -> str | None:
+        return None if kind == "card" and len(_digits(v)) < 13 else getattr(self, kind)(v)
+
+    def _part(self, text: str, m: re.Match) -> tuple[int, str] | None:
+        """End and pseudonym of what is valid of a match: all of it, or a part that ends before one of its later groups.
+
+        A number of the +1 plan has ten digits after it. Else the longest part that another valid value follows goes first,
+        then the longest part.
+        """
+        kind = m.lastgroup
+        ends = [m.end(), *(m.start() + x.start() for x in reversed(list(_CUTS[kind].finditer(m[0]))))] if kind in _CUTS else [m.end()]
+        got = [(end, new) for end in ends if (new := self._valid(kind, text[m.start() : end])) is not None]
+        if kind == "phone" and re.match(r"\+1(?!\d)", m[0]):
+            got = [g for g in got if len(_digits(g[1])) == 11] or got
+        if len(got) > 1 or (got and got[0][0] < m.end()):
+            for g in got:
+                after = _ANY.match(text, g[0] + 1)
+                if after and after.lastgroup != kind and self._valid(after.lastgroup, after[0]) is not None:
+                    return g
+        return got[0] if got else None
+
     def text(self, text: str) -> tuple[str, list[int]]:
-        """The text with pseudonyms, and how many values of each kind were replaced."""
-        found = [0] * len(KINDS)
+        """The text with pseudonyms, and how many values of each kind were replaced.
 
-        def swap(m: re.Match) -> str:
-            new = getattr(self, m.lastgroup)(m[0])
-            if new is None:
-                return m[0]
+        The search goes on right after what was replaced, or after the first group of a match that has no valid part.
+        """
+        found = [0] * len(KINDS)
+        if not _DIGIT_OR_AT.search(text):
+            return text, found
+        out, done, at = [], 0, 0
+        while m := _ANY.search(text, at):
+            got = self._part(text, m)
+            if got is None:
+                at = m.start() + len(_GROUP.match(m[0])[0])
+                continue
+            out += [text[done : m.start()], got[1]]
+            done = at = got[0]
             found[KINDS.index(m.lastgroup)] += 1
-            return new
-
-        return (_ANY.sub(swap, text), found) if _DIGIT_OR_AT.search(text) else (text, found)
+        return "".join([*out, text[done:]]), found
 
 
 def _replacer(key: bytes, names: list[str], text: str):

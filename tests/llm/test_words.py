@@ -55,6 +55,14 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxicity.score(edge(spark, []), model).count() == 0
 
 
+def test_toxicity_sample_holds_each_text_once(spark, monkeypatch):
+    rows = [(f"common {k}", k % 2) for k in range(3) for _ in range(400)] + [(f"text {k} awful", 1) for k in range(20)]
+    told = []
+    monkeypatch.setattr(toxicity, "calibrate", lambda scores, y, copies: told.append((len(scores), sorted(copies))) or (1.0, 0.0))
+    toxicity.fit(spark.createDataFrame(rows, "text string, y int"))
+    assert told == [(23, [1] * 20 + [400] * 3)]
+
+
 def test_ftrl_step_equals_formula():
     m = toxicity.Ftrl(4, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
     z, n = np.zeros(17), np.zeros(17)

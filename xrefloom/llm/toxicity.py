@@ -5,8 +5,8 @@ one word, each hashed to `bits` bits. Weights are learned by FTRL-proximal: ever
 and an L1 penalty, so most weights are exactly zero and the model that goes to the workers is small: at most 2**bits
 weights, in practice a few thousand, whatever the size of the corpus.
 
-Training uses a bounded sample: about `sample_rows` labelled rows (a documented parameter), chosen by a hash of the text,
-so copies of one text are in or out together. The sample is dealt over `shards` tasks; each runs FTRL over its rows, and
+Training uses a bounded sample: about `sample_rows` distinct labelled texts (a documented parameter), chosen by a hash of
+the text; each is one row with its mean label, weighted by its number of copies. The sample is dealt over `shards` tasks; each runs FTRL over its rows, and
 the shards' weights are averaged by coordinate (a weight that L1 keeps at zero in a shard counts as zero there), and the
 mean is scaled and shifted so that the sample's scores are probabilities. Scoring reads whole
 texts, all rows, in one pass without a shuffle.
@@ -50,9 +50,9 @@ class Ftrl:
         w = (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 
-    def learn(self, i: np.ndarray, y: float) -> None:
+    def learn(self, i: np.ndarray, y: float, copies: int = 1) -> None:
         w = self.weights(i)
-        g = _sigmoid(w.sum()) - y
+        g = copies * (_sigmoid(w.sum()) - y)
         n = self.n[i]
         self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[i] = n + g * g
@@ -61,7 +61,7 @@ class Ftrl:
 def _trainer(bits: int, epochs: int, options: dict):
     def train(batches):
         model = Ftrl(bits, **options)
-        rows, labels = [], []
+        rows, labels, copies = [], [], []
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 f, d = features(part.column("text"), bits)
@@ -70,10 +70,11 @@ def _trainer(bits: int, epochs: int, options: dict):
                 f = (key & ((1 << bits) - 1)).astype(np.int32)
                 rows += [np.append(f[a:b], 1 << bits) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 labels += part.column("y").to_pylist()
+                copies += part.column("copies").to_pylist()
         order = np.random.Generator(np.random.PCG64(7))
         for _ in range(epochs):
             for k in order.permutation(len(rows)):
-                model.learn(rows[k], labels[k])
+                model.learn(rows[k], labels[k], copies[k])
         w = model.weights(np.arange(len(model.z)))
         on = np.flatnonzero(w)
         if rows:  # the bias stands in for the shard itself, even where it is zero
@@ -83,17 +84,22 @@ def _trainer(bits: int, epochs: int, options: dict):
     return train
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift (Platt's, by Newton steps) that make scores probabilities; 1 and 0 where only one class is there."""
-    if len(np.unique(y)) < 2:
+def calibrate(scores: np.ndarray, y: np.ndarray, copies: np.ndarray | float = 1.0, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift (Platt's, by Newton steps) that make scores probabilities; 1 and 0 where only one class is there.
+
+    A row stands for its number of copies, of which the share y is of class 1.
+    """
+    ones, zeros = (copies * y).sum(), (copies * (1 - y)).sum()
+    if not ones or not zeros:
         return 1.0, 0.0
     x = np.log(np.clip(scores, 1e-12, 1 - 1e-12) / (1 - np.clip(scores, 1e-12, 1 - 1e-12)))
-    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+    goal = y * (ones + 1) / (ones + 2) + (1 - y) / (zeros + 2)
     t = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = _sigmoid(t[0] * x + t[1])
-        v = np.maximum(p * (1 - p), 1e-9)
-        gradient = np.array([((p - goal) * x).sum() + 1e-3 * (t[0] - 1), (p - goal).sum()])
+        v = copies * np.maximum(p * (1 - p), 1e-9)
+        off = copies * (p - goal)
+        gradient = np.array([(off * x).sum() + 1e-3 * (t[0] - 1), off.sum()])
         hessian = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]])
         step = np.linalg.solve(hessian, gradient)
         t = t - np.clip(step, -1, 1)
@@ -109,9 +115,10 @@ def fit(labelled: DataFrame, bits: int = 22, sample_rows: int = 12_000, shards:
     """
     labelled = labelled.select(whole_text("text"), F.col("y").cast("int").alias("y")).filter("y in (0, 1)")
     labelled = labelled.withColumn("h", F.xxhash64("text"))
-    n = labelled.count()
+    n = labelled.select("h").distinct().count()
     share = min(1.0, sample_rows / max(n, 1))
-    sample = labelled.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).repartition(shards, "h").select("text", "y")
+    chosen = labelled.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = chosen.groupBy("h", "text").agg(F.avg("y").alias("y"), F.count("*").alias("copies")).repartition(shards, "h").select("text", "y", "copies")
     parts = sample.mapInArrow(_trainer(bits, epochs, FTRL | options), "i int, w double")
     got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # the weights that are not zero
     i, w, n = (got[c].to_numpy() for c in ("i", "w", "n"))
@@ -119,8 +126,8 @@ def fit(labelled: DataFrame, bits: int = 22, sample_rows: int = 12_000, shards:
     bias = float(w[i == 1 << bits].sum())
     keep = i < 1 << bits
     model = {"i": i[keep], "w": w[keep].astype(np.float32), "bias": bias, "bits": bits}
-    told = score(sample, model, keep=("y",)).toArrow()  # about sample_rows rows of two numbers
-    a, b = calibrate(told["score"].to_numpy(), told["y"].to_numpy())
+    told = score(sample, model, keep=("y", "copies")).toArrow()  # about sample_rows rows of three numbers
+    a, b = calibrate(told["score"].to_numpy(), told["y"].to_numpy(), told["copies"].to_numpy())
     return model | {"w": (a * model["w"]).astype(np.float32), "bias": a * bias + b}
 
 

@@ -32,11 +32,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class; rows that repeat an id count once; rows without an id all stay."""
+    """Keeps the smallest id of each class; rows without an id all stay.
+
+    Rows that repeat an id and a text count once (the smallest by the other columns stays). Of the different texts of an
+    id, the one with the smallest hash goes by the id, the others by numbers from 2**62 that hash id and text, so they
+    stay unless their class has another representative.
+    """
     bounded_batches(spark)
-    found = ngram_join.classes(docs)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.isnull("text").alias("n"))
+    rows = docs.filter("doc_id is not null").withColumn("_key", key)
+    one = rows.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*", "_key")
+    several = rows.groupBy("doc_id").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).filter("_least <> _most").select("doc_id", "_least")
+    other = F.xxhash64("doc_id", "_key").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.coalesce(F.col("_key") != F.col("_least"), F.lit(False)), other).otherwise(F.col("doc_id").cast("long"))
+    nodes = saved(one.join(several, "doc_id", "left").withColumn("_node", own).select(*docs.columns, "_node"))
+    found = ngram_join.classes(nodes.select(F.col("_node").alias("doc_id"), "text"))
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
+    return nodes.join(stay, "_node", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

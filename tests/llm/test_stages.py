@@ -163,6 +163,19 @@ def test_pipeline_on_small_tables(spark, tmp_path):
         assert stage(spark, df.select(docs.columns).limit(0), str(tmp_path)).count() == 0
 
 
+def test_texts_of_a_repeated_id_are_not_lost(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (2, text(2)), (3, text(3)), (3, text(4)), (3, None), (4, text(4)), (None, text(1)), (5, text(5)), (5, text(5) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(repr, ((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect())))
+    texts = [t for _, t in map(eval, got)]
+    assert (1, text(1)) in map(eval, got) and (2, text(1)) not in map(eval, got) and texts.count(text(1)) == 2  # one of them without an id
+    assert all(texts.count(text(k)) == 1 for k in (2, 3, 4)) and texts.count(None) == 1
+    assert len([t for t in texts if t and t.startswith(text(5))]) == 1 and len(got) == 7
+
+
 def test_queries_are_all_there(spark):
     from xrefloom.llm import queries
 

@@ -108,6 +108,22 @@ def test_language_mixture_and_edges(spark, langs):
     assert {x.lang_pred for x in language.predict(edge(spark), nothing).collect()} == {"und"}
 
 
+def test_language_sets_do_not_hang_on_neighbours(monkeypatch):
+    col = pa.array(["aa bb cc " * 20, "aa bb " * 20])
+    model = {"langs": ["a", "b", "c"], "logp": np.log(np.full((3, 1 << 10), 1e-3, np.float32)), "bits": 10}
+    for k, w in enumerate(("aa", "bb", "cc")):
+        model["logp"][k, language.trigrams(pa.array([w]), 10)[0]] = np.log(0.2)
+    plain = language._mixture
+
+    def mixture(like, best, docs, n, mask, rounds):  # for the longer text, two languages are no better than one
+        pi, seen = plain(like, best, docs, n, mask, rounds)
+        return pi, np.where((mask.sum(1) == 2) & (np.bincount(docs, minlength=n) == 60), -1e9, seen)
+
+    monkeypatch.setattr(language, "_mixture", mixture)
+    together, alone = language.infer(col, model), language.infer(col[:1], model)
+    assert [x[0] for x in together] == [x[0] for x in alone] and alone[2][0] == 3
+
+
 def test_mixture_equals_plain_em():
     r = np.random.Generator(np.random.PCG64(0))
     like = r.random((40, 3)).astype(np.float32)

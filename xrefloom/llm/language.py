@@ -4,7 +4,8 @@ Training counts byte trigrams of words (with word ends marked) by language over
 one of 2**bits cells, so the model is a table of bounded size. A document is taken as a mixture: every word comes from
 one language of a set, and expectation-maximisation over the words estimates the languages' proportions from their
 trigram likelihoods. Sets of 1, 2, ... languages, nested by the proportions of the full mixture, are compared by
-penalised likelihood (BIC: half the logarithm of the word count for each language more), and the best set's largest
+penalised likelihood (BIC: half the logarithm of the word count for each language more), all of them for every document
+whose words leave the question open, so that no result hangs on a document's neighbours; and the best set's largest
 proportion names the document's language.
 """
 
@@ -146,8 +147,6 @@ def infer(col: pa.Array, model: dict, rounds: int = 5) -> tuple[np.ndarray, np.n
         won = seen - k * penalty[at] > score[at]
         w = at[won]
         score[w], lang[w], share[w], size[w] = (seen - k * penalty[at])[won], pi[won].argmax(1), pi[won].max(1), k
-        if not won.any():
-            break
     return lang, share, size
 
 

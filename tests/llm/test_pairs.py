@@ -179,3 +179,16 @@ def test_decontamination_of_tables(spark):
     clean = decontaminate.clean(docs, items, shard_items=1)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {2, 3, 4, 5, 6}
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), items).count() == 0
+
+
+def test_embeddings_of_all_lengths_link(spark):
+    rng = np.random.default_rng(11)
+    rows, n = [], 0
+    for dim in (64, 64, 32, 8, 20, 100):
+        for _ in range(20):
+            v = rng.normal(size=dim)
+            rows += [(n, "a", v.tolist()), (n + 1, "a", (v * 1.01 + 1e-4).tolist())]
+            n += 2
+    rows += [(1000, "a", [1.0] * 5), (1001, "a", [1.0] * 6)]  # alone in their lengths
+    got = {r.vec_id: r.component_id for r in embeddings.classes(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert len(got) == n + 2 and all(got[k] == got[k + 1] for k in range(0, n, 2)) and got[1001] == 1001

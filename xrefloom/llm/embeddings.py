@@ -1,16 +1,16 @@
 """Near-duplicate embeddings by iterative quantisation.
 
 1. Equal vectors with equal labels are one representative, with its number of copies.
-2. A rotation for binary codes is learned (PCA, then alternating code and rotation updates) from a bounded sample of
-   about `sample_rows` representatives; every representative gets a code of up to 64 bits.
+2. For each length of vectors, a rotation for binary codes is learned (PCA, then alternating code and rotation updates)
+   from a bounded sample of about `sample_rows` representatives of that length; every representative gets a code of up to 64 bits.
 3. Codes are indexed in tables of 16-bit substrings. Each code looks up its own substring and those that differ in one
    bit, so every pair with at most 2 * tables - 1 differing bits is found, and most pairs beyond. A pair that several
    tables find is kept from the first of them, which both codes tell without a shuffle; pairs with more than `radius`
    differing bits go.
 4. The remaining pairs are reranked with their original vectors, in double precision: links have cosine >= `least`.
 
-Vectors are compared only where labels are equal and not null. Null and zero vectors, vectors with null or non-finite
-components, and vectors of another length than most (the length that the index is built for) link with nothing. The
+Vectors are compared only where labels are equal and not null, and lengths are equal. Null and zero vectors and vectors
+with null or non-finite components link with nothing. The
 index holds all other vectors; recall is measured in the tests.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +68,33 @@ def encode(x: np.ndarray, model: dict) -> np.ndarray:
     return (on.astype(np.uint64) << np.arange(model["bits"], dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def _stacked(col: pa.Array) -> np.ndarray:
+    """Packed vectors of one length as a matrix."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
+
+
+def _lengths(col: pa.Array):
+    """The lengths of packed vectors, each with its rows."""
+    n = pc.binary_length(col).to_numpy() // 8
+    return [(d, np.flatnonzero(n == d)) for d in np.unique(n).tolist()]
+
+
+def _learner(key, table):
+    x = _stacked(table["vec"])
+    m = learn(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+    return pa.table({"dim": pa.array([m["dim"]], pa.int32()), "mean": pa.array([m["mean"].tobytes()], pa.binary()), "project": pa.array([np.ascontiguousarray(m["project"]).tobytes()], pa.binary())})
+
+
 def _coder(shared):
     def code(batches):
-        m = shared.value
+        models = dict(shared.value)
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(-1, m["dim"])
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.array(encode(x, m))], ["rep", "label", "code"])
+            codes = np.zeros(batch.num_rows, np.int64)
+            for d, at in _lengths(batch.column("vec")):
+                if d not in models:  # nothing of this length is in the sample
+                    models[d] = learn(np.zeros((0, d)))
+                codes[at] = encode(_stacked(batch.column("vec").take(pa.array(at))), models[d])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), batch.column("dim"), pa.array(codes)], ["rep", "label", "dim", "code"])
 
     return code
 
@@ -82,10 +104,12 @@ def _ranker(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(batch.num_rows, -1) for c in ("vx", "vy"))
-            with np.errstate(over="ignore", invalid="ignore"):
-                x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))  # no overflow in squares
-                cosine = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+            cosine = np.zeros(batch.num_rows)
+            for _, at in _lengths(batch.column("vx")):
+                x, y = (_stacked(batch.column(c).take(pa.array(at))) for c in ("vx", "vy"))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))  # no overflow in squares
+                    cosine[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
             keep = pa.array(cosine >= least)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep), pa.array(cosine).filter(keep)], ["x", "y", "cosine"])
 
@@ -97,27 +121,25 @@ def links(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, ra
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v")).filter("label is not null and vec_id is not null and v is not null")
     read = saved(rows.mapInArrow(_reader, "vec_id long, label string, dim int, vec binary"))
-    most = read.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = most["dim"] if most else 1
-    read = read.filter(F.col("dim") == dim)
-    reps = saved(read.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    reps = saved(read.groupBy("label", "vec", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     members = read.join(reps, ["label", "vec"]).select("vec_id", "rep", "copies")
-    n = reps.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    sample = reps.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toArrow()["vec"].to_pylist()
-    x = np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim)
-    model = learn(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
-    shared = spark.sparkContext.broadcast(model)
-    codes = saved(reps.select("rep", "label", "vec").mapInArrow(_coder(shared), "rep long, label string, code long"))
-
-    tables = max(1, -(-model["bits"] // WIDTH))
+    share = reps.groupBy("dim").agg(F.least(F.lit(1.0), sample_rows / F.count("*")).alias("share"))
+    sample = reps.join(share, "dim").filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < (F.col("share") * (1 << 30)).cast("long")).select("dim", "vec")
+    models = {}
+    for r in sample.groupBy("dim").applyInArrow(_learner, "dim int, mean binary, project binary").collect():
+        bits = min(64, r["dim"])
+        models[r["dim"]] = {"mean": np.frombuffer(r["mean"]), "project": np.frombuffer(r["project"]).reshape(r["dim"], bits), "bits": bits, "dim": r["dim"]}
+    shared = spark.sparkContext.broadcast(models)
+    codes = saved(reps.select("rep", "label", "dim", "vec").mapInArrow(_coder(shared), "rep long, label string, dim int, code long"))
+
+    tables = 64 // WIDTH  # shorter codes use only the first of them
     mask = (1 << WIDTH) - 1
     near = lambda t: F.bit_count(F.shiftrightunsigned(F.col("cx").bitwiseXOR(F.col("cy")), WIDTH * t).bitwiseAND(F.lit(mask).cast("long"))) <= 1
     parts = F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("code", WIDTH * t).bitwiseAND(F.lit(mask).cast("long")).alias("key")) for t in range(tables)))
-    own = codes.select("rep", "label", "code", F.explode(parts).alias("p")).select("rep", "label", "code", "p.t", "p.key")
+    own = codes.select("rep", "label", "dim", "code", F.explode(parts).alias("p")).select("rep", "label", "dim", "code", "p.t", "p.key").filter(F.col("t") * WIDTH < F.col("dim"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(WIDTH)))
-    asked = own.select(F.col("rep").alias("x"), "label", F.col("code").alias("cx"), "t", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    met = own.select(F.col("rep").alias("y"), "label", F.col("code").alias("cy"), "t", "key").join(asked, ["label", "t", "key"])
+    asked = own.select(F.col("rep").alias("x"), "label", "dim", F.col("code").alias("cx"), "t", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    met = own.select(F.col("rep").alias("y"), "label", "dim", F.col("code").alias("cy"), "t", "key").join(asked, ["label", "dim", "t", "key"])
     first = F.lit(True)
     for t in range(tables - 1):
         first = first & ((F.col("t") <= t) | ~near(t))

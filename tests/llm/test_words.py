@@ -144,13 +144,16 @@ def brute_base(train, texts):
     return n, [(len(toks(t)), sum(c[x] > 0 for x in toks(t)), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in toks(t))) for t in texts]
 
 
-@pytest.mark.parametrize("frequent", [1 << 18, 20])
-def test_lm_base_equals_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(lm, "MOST_FREQUENT", frequent)
+WAYS = [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "region_bytes": 1 << 14}]  # broadcast; in regions; in many more regions
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_lm_base_equals_brute_force(spark, way):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text"))
     rows = [(x.doc_id, x.text) for x in d.collect()]
     train = d.filter("doc_id % 3 <> 0")
-    model = lm.fit(train)
+    model = lm.fit(train, **way)
+    assert ("local" in model) == (not way)
     got = collections.defaultdict(list)
     for x in lm.score(d, model).collect():
         got[x.doc_id].append((x.n_tokens, x.n_known, x.base_score, x.train_tokens, x.score))
@@ -160,30 +163,69 @@ def test_lm_base_equals_brute_force(spark, monkeypatch, frequent):
         assert all(g[4] < 0 and math.isfinite(g[4]) for g in got[i])
 
 
+def plain_scores(train, texts, prior=50.0):
+    """The model with dictionaries of exact counts, each read as its level's typical count, instead of a filter."""
+    toks = lambda t: [*re.findall(SPACE, (t or "").translate(LOWER)), None]
+    words, pairs = collections.Counter(), collections.Counter()
+    for t in train:
+        x = toks(t)
+        words.update(x)
+        pairs.update(zip([None, *x], x))
+    read = lambda c: float(lm.typical(lm.level(np.array([c])))[0]) if c else 0.0
+    total = sum(map(read, words.values())) + len(words) + 1
+    one = lambda left, w: (min(read(pairs[left, w]), words[left]) + prior * (read(words[w]) + 1) / total) / (words[left] + prior)
+    return [sum(math.log10(one(a, b)) for a, b in zip([None, *toks(t)], toks(t))) for t in texts], words, one
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_lm_scores_equal_those_of_exact_counts(spark, way):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text"))
+    rows = [(x.doc_id, x.text) for x in d.collect()]
+    model = lm.fit(d.filter("doc_id % 3 <> 0"), member_bits=256, **way)  # so that the filter hardly errs
+    got = collections.defaultdict(list)
+    for x in lm.score(d, model).collect():
+        got[x.doc_id].append(x.score)
+    want, _, _ = plain_scores([t for i, t in rows if i is not None and i % 3], [t for _, t in rows])
+    near = [min(abs(g - w) for g in got[i]) <= 1e-9 * abs(w) for (i, _), w in zip(rows, want, strict=True)]
+    assert np.mean(near) > 0.97 and all(min(abs(g - w) for g in got[i]) <= 0.02 * abs(w) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(5)
+    train = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 40) % 50) for _ in range(60)]
+    _, words, one = plain_scores(train, [])
+    for left in [None, "w1", "w2", "w7"]:
+        assert abs(sum(one(left, w) for w in [*words, "unknown"]) - 1) < 0.1
+
+
+def test_lm_ways_agree(spark):
+    rows = [(k, " ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 4000, 500))) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(d)
+    regions = {k: v for k, v in model.items() if k != "local"}
+    a, b = ({x.doc_id: x for x in lm.score(d, m).collect()} for m in (model, regions))
+    assert len(a) == 40 and a == b
+    many = lm.fit(d, region_bytes=1 << 12)
+    assert many["bits"] > model["bits"] and (many["N"], many["V"], many["typical"]) == (model["N"], model["V"], model["typical"])
+
+
 def test_lm_filter_tells_counts(spark):
     words = [f"w{k}" for k in range(200)]
     text = " ".join(w for k, w in enumerate(words) for _ in range(k + 1))
     model = lm.fit(spark.createDataFrame([(text,)], "text string"))
+    known = lm.regions(model["local"])
     h = textvec.words(pa.array([" ".join(words)])).hash
-    q = lm.probe(h, 0, model["cells"], model["bits"])
-    exact = lm.level(np.arange(1, 201))
+    read = lambda h: np.array([known[int(x >> np.uint64(64 - model["bits"]))].levels(np.array([x]), lm.WORD)[0] for x in h])
+    q, exact = read(h), lm.level(np.arange(1, 201))
     assert (q >= exact).all() and (q == exact).mean() > 0.97  # a Bloom filter only ever adds
-    assert (lm.probe(h ^ np.uint64(12345), 0, model["cells"], model["bits"]) == 0).mean() > 0.97
+    assert (read(h ^ np.uint64(12345)) == 0).mean() > 0.97
 
 
-def test_lm_filter_grows_with_the_corpus(spark):
-    rng = np.random.default_rng(3)
-    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 4000, 500))) for k in range(40)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm.fit(d, region_bits=1 << 12)  # far less than the words need
-    assert model["regions"] > 16 and model["bits"] == model["regions"] << 12
-    c = collections.Counter(w for _, t in rows for w in t.split())
-    h = textvec.words(pa.array([" ".join(c)])).hash
-    q, exact = lm.probe(h, 0, model["cells"], model["bits"], model["regions"]), lm.level(np.array(list(c.values())))
-    assert (q >= exact).all() and (q == exact).mean() > 0.97  # no word is left out
-    whole = lm.fit(d)
-    a, b = ({x.doc_id: x.score for x in lm.score(d, m).collect()} for m in (model, whole))
-    assert len(a) == 40 and all(abs(a[k] - b[k]) < 0.01 * abs(b[k]) for k in a)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_packing_is_a_round_trip(x):
+    a = np.array(sorted(x), np.uint64)
+    assert lm.unpack_sorted(lm.pack_sorted(a)).tolist() == a.tolist() and lm.unpack(lm.pack(a[::-1].copy())).tolist() == a[::-1].tolist()
 
 
 def test_lm_knows_pairs_seen_once(spark):
@@ -242,9 +284,8 @@ SELECT any_value(doc_id), len(any_value(w)), count(i), min(i), max(i), coalesce(
 def test_licenses_equal_sql_and_own_labels(spark):
     extra = [(20, "CC-BY cc by, all RIGHTS  reserved; GNU General Public License."), (21, "Licensed under the Apache License, Version 2.0."), (22, "licensed under an old apache license version 2 0"), (23, "by cc all rightsé reserved general public"), (24, "cc by " * 5000)]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(edge(spark).select("doc_id", "text")).unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    rows = docs.toPandas()
     con = duckdb.connect()
-    con.register("d", rows)
+    con.register("d", docs.toArrow())
     want = sorted(map(repr, con.execute(BASE_SQL).fetchall()))
     out = licenses.scan(docs).collect()
     assert sorted(repr((x.doc_id, x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels)) for x in out) == want

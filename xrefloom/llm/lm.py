@@ -1,20 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words and word pairs of all training texts are counted exactly: tasks count what they read, send packed blocks of
-(hash, count) to the owner of a slice of the hash space, and the owners add up. The counts are then quantised by
-logarithm: an n-gram with quantised count q is put into a Bloom filter as q members, (n-gram, 1) to (n-gram, q). A count
-is read back by probing (n-gram, 1), (n-gram, 2), ... until a probe fails. Word probabilities are smoothed: a pair's count
-is mixed with the word's own probability (a Dirichlet prior of `prior` pseudo counts), and that with one more than its
-count.
-
-The filter takes at least 12 bits a member and is cut into regions by the n-gram's first hash bits, of at most
-`region_bits` bits (2 MB as set): a larger corpus has more regions. It is never in one place: texts are gathered in chunks of about CHUNK
-bytes, each chunk's distinct n-grams are sent to their regions' tasks (KEY_BYTES bytes for each), and one byte for each,
-its quantised count, comes back to the chunk. The exact add-one base score needs exact counts of all words: those of the
-most frequent ones (at most 2**18 words, 4 MB) are broadcast, and the remaining words of each text are joined with their
-counts by hash slice.
-
-Word identity is a 64-bit hash. Every text ends with one end token, which is also the left neighbour of its first word.
+Words and word pairs of all training texts are counted: tasks count what they read and send packed blocks of (n-gram,
+count) to the owner of a region of the hash space, and the owners add up. The counts are then quantised by logarithm: an
+n-gram with quantised count q is put into its region's Bloom filter as q members, (n-gram, 1) to (n-gram, q). A count is
+read back by probing (n-gram, 1), (n-gram, 2), ... until a probe fails. Word probabilities are smoothed: a pair's count is
+mixed with the word's own probability (a Dirichlet prior of `prior` pseudo counts), and that with one more than its count.
+Word probabilities sum to 1 over the known words and one unknown. What follows a word sums to 1 as far as the pairs'
+quantised counts add up to the word's exact count (counts up to 3 are kept exactly): within a few percent.
+
+The filter takes `member_bits` bits a member. A region stands for about `region_bytes` bytes of training text, so a larger corpus has
+more regions, each of the same size, and no n-gram is left out. Where the whole filter, with the exact word counts that
+the base score needs, takes at most `broadcast_bytes` bytes, it is broadcast to the workers, which score texts in one
+pass. A larger one stays in its regions: texts are gathered in chunks of about CHUNK bytes, each chunk's distinct n-grams
+are sent to their regions' tasks, and their counts come back to the chunk. Both ways run the same probes and give the
+same scores.
+
+Words are told apart by 64-bit hashes, pairs by their region and 40 more bits. Every text ends with one end token, which is
+also the left neighbour of its first word.
 """
 
 from __future__ import annotations
@@ -33,13 +35,16 @@ from .common import saved, slices, whole_text
 
 END = np.uint64(0xE14D0FE14D0F0001)
 BASE = 1.5
-MOST_FREQUENT = 1 << 18
-REGIONS = 16
-PROBES = 3
-KEY_BYTES = 5
+PROBES = 4
+KEY_BITS = 40
 CHUNK = 4 << 20
+LEAST_REGIONS = 4  # as a power of two
+WORD, PAIR = 0, 1
+#: Parts of a region's store, in the order in which its task reads them: word hashes, word counts, filter.
+HASHES, COUNTS, CELLS = -3, -2, -1
+_BLOCK = "region int, kind int, h binary, c binary"
+_STORE = "region int, kind int, chunk long, b binary, tokens long, words long, typical double"
 _ASK = "region int, kind int, chunk long, b binary"
-_BLOCK = "kind int, seg int, h binary, c binary"
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,9 +61,16 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return tok, left, doc, counts
 
 
-def pair(left: np.ndarray, tok: np.ndarray) -> np.ndarray:
+def pair(left: np.ndarray, tok: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of pairs: the region (2**bits of them), then KEY_BITS bits of a hash."""
     with np.errstate(over="ignore"):
-        return tv.mix(left * np.uint64(0x9FB21C651E98DF25) + tok)
+        h = tv.mix(left * np.uint64(0x9FB21C651E98DF25) + tok)
+    return h >> np.uint64(64 - bits) << np.uint64(KEY_BITS) | _key(h)
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    """What stands for an n-gram inside its region's filter."""
+    return h & np.uint64((1 << KEY_BITS) - 1)
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -66,39 +78,54 @@ def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _typical(q: np.ndarray) -> np.ndarray:
+def typical(q: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of the counts with that level; 0 for level 0."""
     low, high = np.ceil(BASE ** (q - 1.0) - 1e-9), np.ceil(BASE ** (q * 1.0) - 1e-9) - 1
     return np.where(q > 0, np.maximum(1.0, (low + np.maximum(high, low)) / 2), 0.0)
 
 
-def _by_slice(h: np.ndarray, segs: int):
-    """Start and end, in sorted hashes, of every slice of the hash space that has any."""
-    cut = np.searchsorted(h, np.arange(1, segs, dtype=np.uint64) << np.uint64(64 - int(math.log2(segs)))) if segs > 1 else np.zeros(0, int)
-    edges = np.concatenate([[0], cut, [len(h)]])
-    return [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes: how many bytes the largest one takes, then all first bytes, all second bytes, ..."""
+    x = x.astype("<u8", copy=False)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([p[1] for p in parts])
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[at], np.add.reduceat(c, at)
+def unpack(b) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8)
+    width = int(x[0])
+    out = np.zeros(((len(x) - 1) // width, 8), np.uint8)
+    out[:, :width] = x[1:].reshape(width, -1).T
+    return out.view("<u8").ravel()
+
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers: their differences, packed."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
-def _blocks(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.int32()), "seg": pa.array([r[1] for r in rows], pa.int32()), "h": pa.array([r[2].tobytes() for r in rows], pa.binary()), "c": pa.array([r[3].astype(np.int64).tobytes() for r in rows], pa.binary())})
 
+def unpack_sorted(b) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64)
+
+
+def _by_region(x: np.ndarray, kind: int, bits: int) -> list[tuple[int, int, int]]:
+    """Region, start and end of every region that has any of these ascending numbers."""
+    shift = np.uint64(64 - bits if kind == WORD else KEY_BITS)
+    edges = np.concatenate([[0], np.searchsorted(x, np.arange(1, 1 << bits, dtype=np.uint64) << shift), [len(x)]])
+    return [(k, int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def _counter(bits: int, most: int = 1 << 21):
+    """Blocks of distinct n-grams and their counts, after about `most` tokens each."""
 
-def _counter(segs: int, most: int = 1 << 20):
     def flush(kept):
+        rows = []
         for kind, parts in enumerate(kept):
-            if parts:
-                h, c = _add(parts)
-                yield _blocks([(kind, k, h[a:b], c[a:b]) for k, a, b in _by_slice(h, segs)])
-                parts.clear()
+            x, c = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
+            rows += [(k, kind, pack_sorted(x[a:b]), pack(c[a:b])) for k, a, b in _by_region(x, kind, bits)]
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["region", "kind", "h", "c"])
 
     def count(batches):
         kept: tuple[list, list] = ([], [])
@@ -106,315 +133,261 @@ def _counter(segs: int, most: int = 1 << 20):
         for batch in batches:
             for part in slices(batch, "text"):
                 tok, left, _, _ = tokens(part.column("text"))
-                for parts, h in zip(kept, (tok, pair(left, tok)), strict=True):
-                    parts.append(np.unique(h, return_counts=True))
-                    size += len(parts[-1][0])
+                kept[WORD].append(tok)
+                kept[PAIR].append(pair(left, tok, bits))
+                size += len(tok)
                 if size > most:
-                    yield from flush(kept)
+                    yield flush(kept)
                     size = 0
-        yield from flush(kept)
+        if size:
+            yield flush(kept)
 
     return count
 
 
-def _read(batch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(batch.column("h")[row].as_buffer(), np.uint64), np.frombuffer(batch.column("c")[row].as_buffer(), np.int64)
-
-
-def _adder(batches):
-    """Add up the blocks of each hash slice."""
-    kept: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        for row, key in enumerate(zip(batch.column("kind").to_pylist(), batch.column("seg").to_pylist(), strict=True)):
-            kept.setdefault(key, []).append(_read(batch, row))
-            if sum(len(x[0]) for x in kept[key][1:]) > 4 * len(kept[key][0]) + (1 << 20):
-                kept[key] = [_add(kept[key])]
-    for (kind, seg), parts in kept.items():
-        yield _blocks([(kind, seg, *_add(parts))])
-
-
-def _histogram(batches):
-    """By kind and level: n-grams and their counts' sum."""
-    n: dict[tuple[int, int], list[int]] = {}
-    for batch in batches:
-        for row, kind in enumerate(batch.column("kind").to_pylist()):
-            c = _read(batch, row)[1]
-            q = level(c)
-            for k in np.unique(q).tolist():
-                x = n.setdefault((kind, k), [0, 0])
-                x[0] += int((q == k).sum())
-                x[1] += int(c[q == k].sum())
-    yield pa.RecordBatch.from_pydict({"kind": pa.array([k[0] for k in n], pa.int32()), "q": pa.array([k[1] for k in n], pa.int32()), "n": pa.array([x[0] for x in n.values()], pa.int64()), "c": pa.array([x[1] for x in n.values()], pa.int64())})
-
-
-def _frequent(least: int):
-    def pick(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                h, c = _read(batch, row)
-                keep = level(c) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["h", "n"])
-
-    return pick
-
-
-def _key(h: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The region that an n-gram's first hash bits name, and its last 40 hash bits, which stand for it there."""
-    return h >> np.uint64(64 - int(math.log2(regions))), h & np.uint64((1 << 8 * KEY_BYTES) - 1)
+def _add(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of sorted blocks, and the sums of their counts."""
+    if not blocks:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, c = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.add.reduceat(c, at)
 
 
-def _slots(key: np.ndarray, q: int, i: int, size: int, kind: int) -> np.ndarray:
-    """Bit number, in a region of size bits, of probe i for (n-gram, q)."""
+def _slots(key: np.ndarray, q: int, kind: int, size: int):
+    """The places of (n-gram, q) in a filter of size bits, one array for each probe."""
     with np.errstate(over="ignore"):
-        x = tv.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((q * 0x165667B19E3779F9 + (2 * i + kind) * 0x27D4EB2F165667C5) & (1 << 64) - 1))
-    return x & np.uint64(size - 1)
-
-
-def _pack(key: np.ndarray) -> bytes:
-    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-
-
-def _unpack(b) -> np.ndarray:
-    x = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, :KEY_BYTES] = x
-    return out.view("<u8").ravel()
-
-
-def _filler(regions: int, size: int):
-    """The regions' bits, as rows of _ASK with kind -1; all n-grams of a region are in one task."""
-
-    def fill(batches):
-        made: dict[int, np.ndarray] = {}
+        x = tv.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((2 * q + kind) * 0x165667B19E3779F9 & (1 << 64) - 1))
+        a, b = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1)
+        for i in range(PROBES):
+            yield (((a + b * np.uint64(i)) & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def fill(grams: list[tuple[np.ndarray, np.ndarray]], member_bits: int) -> np.ndarray:
+    """A filter's bytes, from each kind's n-grams and their counts."""
+    levels = [level(c) for _, c in grams]
+    size = max(64, -(-member_bits * int(sum(q.sum() for q in levels)) // 8) * 8)
+    on = np.zeros(size, bool)
+    for kind, ((h, _), q) in enumerate(zip(grams, levels, strict=True)):
+        for k in range(1, int(q.max(initial=0)) + 1):
+            for s in _slots(_key(h[q >= k]), k, kind, size):
+                on[s] = True
+    return np.packbits(on, bitorder="little")
+
+
+class Region:
+    """What one region holds: exact word counts, and the filter of its words and pairs."""
+
+    def __init__(self):
+        self.part = {HASHES: np.zeros(0, np.uint64), COUNTS: np.zeros(0, np.int64), CELLS: np.zeros(8, np.uint8)}
+
+    def put(self, kind: int, b) -> None:
+        self.part[kind] = unpack_sorted(b) if kind == HASHES else unpack(b).astype(np.int64) if kind == COUNTS else np.frombuffer(b, np.uint8)
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        own, c = self.part[HASHES], self.part[COUNTS]
+        if not len(own):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        return np.where(own[at] == h, c[at], 0)
+
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """Quantised counts read from the filter: the last of the levels 1, 2, ... that is a member."""
+        cells, key = self.part[CELLS], _key(h)
+        q = np.zeros(len(key), np.uint8)
+        live = np.arange(len(key))
+        k = 0
+        while len(live):
+            k += 1
+            kept = np.ones(len(live), bool)
+            for s in _slots(key[live], k, kind, 8 * len(cells)):
+                kept &= (cells[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+            live = live[kept] if k < 120 else live[:0]
+            q[live] = k
+        return q
+
+
+def _builder(member_bits: int):
+    """Add up each region's blocks; its exact word counts, its filter, and its sums."""
+
+    def built(region: int, blocks: dict[int, list]) -> pa.RecordBatch:
+        words, pairs = (_add(blocks.get(kind, [])) for kind in (WORD, PAIR))
+        rows = [(HASHES, pack_sorted(words[0])), (COUNTS, pack(words[1])), (CELLS, fill([words, pairs], member_bits).tobytes())]
+        sums = [[None, None, int(words[1].sum())], [None, None, len(words[0])], [None, None, float(typical(level(words[1])).sum())]]
+        return pa.RecordBatch.from_pydict(
+            {"region": pa.array([region] * 3, pa.int32()), "kind": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([-1] * 3, pa.int64()), "b": pa.array([b for _, b in rows], pa.binary())}
+            | {n: pa.array(s, t) for n, s, t in zip(("tokens", "words", "typical"), sums, (pa.int64(), pa.int64(), pa.float64()), strict=True)}
+        )
+
+    def build(batches):
+        at, blocks = None, {}
         for batch in batches:
-            for row, kind in enumerate(batch.column("kind").to_pylist()):
-                h, c = _read(batch, row)
-                region, key = _key(h, regions)
-                q = level(c)
-                edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(h) else []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):  # h is sorted
-                    cells = made.setdefault(int(region[a]), np.zeros(size // 8, np.uint8))
-                    for k in range(1, int(q[a:b].max()) + 1):
-                        x = key[a:b][q[a:b] >= k]
-                        for i in range(PROBES):
-                            s = _slots(x, k, i, size, kind).astype(np.int64)
-                            np.bitwise_or.at(cells, s >> 3, (1 << (s & 7)).astype(np.uint8))
-        for region, cells in made.items():
-            yield pa.RecordBatch.from_pydict({"region": pa.array([region], pa.int32()), "kind": pa.array([-1], pa.int32()), "chunk": pa.array([-1], pa.int64()), "b": pa.array([cells.tobytes()], pa.binary())})
-
-    return fill
-
-
-class Model(dict):
-    """What fit returns. The whole filter comes to the driver, as `cells`, only if it is asked for."""
-
-    def __missing__(self, name: str):
-        if name != "cells":
-            raise KeyError(name)
-        cells = np.zeros((self["regions"], self["bits"] // self["regions"] // 8), np.uint8)
-        for r in self["filter"].toLocalIterator():
-            cells[r["region"]] = np.frombuffer(r["b"], np.uint8)
-        return self.setdefault(name, cells.ravel())
-
-
-def _segments(rows: DataFrame) -> int:
-    """How many slices (a power of two) a table of texts is worked in: about a million tokens each."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 << max(4, math.ceil(math.log2(size / (6 << 20) + 1)))
+            for row, (region, kind) in enumerate(zip(batch.column("region").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                if region != at:
+                    if blocks:
+                        yield built(at, blocks)
+                    at, blocks = region, {}
+                blocks.setdefault(kind, []).append((unpack_sorted(batch.column("h")[row].as_buffer()), unpack(batch.column("c")[row].as_buffer()).astype(np.int64)))
+                if sum(len(h) for h, _ in blocks[kind][1:]) > 2 * len(blocks[kind][0][0]) + (1 << 20):
+                    blocks[kind] = [_add(blocks[kind])]
+        if blocks:
+            yield built(at, blocks)
 
+    return build
 
-def fit(training: DataFrame, text: str = "text", region_bits: int = 1 << 24, prior: float = 50.0) -> Model:
-    """Count all training texts and build the filter. An empty table gives a model with N = V = 0.
 
-    Returns N (tokens), V (distinct tokens), counts (a table of exact counts in hash slices), segs, filter (a table of
-    regions regions, bits bits together), and what is broadcast: hashes and counts of the most frequent words.
+def fit(training: DataFrame, text: str = "text", region_bytes: int = 24 << 20, member_bits: int = 12, prior: float = 50.0, broadcast_bytes: int = 16 << 20) -> dict:
+    """Count all training texts and build the filter. An empty table, or one of null texts only, gives a model of ends only.
+
+    Returns N (tokens), V (distinct tokens), typical (the sum of the distinct tokens' quantised counts), bits (2**bits
+    regions), store (the regions' table) and, if it takes at most broadcast_bytes bytes, local (its rows, on the driver).
     """
     rows = training.select(whole_text(text))
-    segs = _segments(rows)
-    counted = rows.mapInArrow(_counter(segs), _BLOCK).repartition(segs, "seg").mapInArrow(_adder, _BLOCK)
-    counts = saved(counted)
-    hist = counts.mapInArrow(_histogram, "kind int, q int, n long, c long").groupBy("kind", "q").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()
-    words = {r["q"]: r["n"] for r in hist if r["kind"] == 0}
-    total, distinct = sum(r["c"] for r in hist if r["kind"] == 0), sum(words.values())
-    bits = 1 << max(16, math.ceil(math.log2(sum(r["n"] * r["q"] for r in hist) * 12 + 1)))
-    regions = max(REGIONS, bits // region_bits)
-    frequent = next((q for q in range(1, max(words, default=0) + 2) if sum(n for x, n in words.items() if x >= q) <= MOST_FREQUENT), 1)
-    known = counts.filter("kind = 0").mapInArrow(_frequent(frequent), "h long, n long").toArrow()  # at most MOST_FREQUENT rows
-    h, n = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
-    order = np.argsort(h)
-    owner = F.shiftright("seg", max(0, int(math.log2(segs)) - int(math.log2(regions))))
-    filled = saved(counts.repartition(min(segs, regions), owner).mapInArrow(_filler(regions, bits // regions), _ASK))
-    return Model({"N": total, "V": distinct, "segs": segs, "counts": counts, "prior": prior, "bits": bits, "regions": regions, "filter": filled, "h": h[order], "n": n[order]})
-
-
-def _probe(key: np.ndarray, start, kind: int, cells: np.ndarray, size: int) -> np.ndarray:
-    """Quantised counts read from the filter: the last of the levels 1, 2, ... that is a member; start: the first bit of each key's region."""
-    q = np.zeros(len(key), np.int64)
-    start = np.broadcast_to(np.asarray(start, np.uint64), key.shape)
-    live = np.arange(len(key))
-    for k in range(1, 120):
-        for i in range(PROBES):
-            slot = (start[live] + _slots(key[live], k, i, size, kind)).astype(np.int64)
-            live = live[(cells[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-        q[live] = k
-        if not len(live):
-            break
-    return q
-
-
-def probe(h: np.ndarray, kind: int, cells: np.ndarray, bits: int, regions: int = REGIONS) -> np.ndarray:
-    """Quantised counts of n-grams by their hashes, from a whole filter."""
-    region, key = _key(h, regions)
-    return _probe(key, region * np.uint64(bits // regions), kind, cells, bits // regions)
-
-
-def _baser(model, passed: list[str]):
-    """Base scores as far as the frequent words tell them, the rare words, and each text's chunk."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(LEAST_REGIONS, math.ceil(math.log2(size / region_bytes + 1)))
+    blocks = rows.mapInArrow(_counter(bits), _BLOCK).repartition(1 << bits, "region").sortWithinPartitions("region")
+    store = saved(blocks.mapInArrow(_builder(member_bits), _STORE))
+    sums = store.agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "typical")), F.sum(F.octet_length("b")).alias("bytes")).first()
+    model = {"N": sums["tokens"] or 0, "V": sums["words"] or 0, "typical": sums["typical"] or 0.0, "bytes": sums["bytes"] or 0, "bits": bits, "prior": prior, "store": store}
+    if model["bytes"] <= broadcast_bytes:
+        model["local"] = [(r["region"], r["kind"], bytes(r["b"])) for r in store.select("region", "kind", "b").toLocalIterator()]
+    return model
+
+
+def regions(rows) -> dict[int, Region]:
+    """Regions from rows (region, kind, bytes) of the store."""
+    out: dict[int, Region] = {}
+    for region, kind, b in rows:
+        out.setdefault(region, Region()).put(kind, b)
+    return out
+
+
+class Scored:
+    """A chunk of texts with its distinct n-grams, and its scores once their counts are known."""
+
+    def __init__(self, texts: pa.Array, bits: int):
+        self.tok, self.left, self.doc, self.n_tokens = tokens(texts)
+        self.words, self.word_at = np.unique(self.tok, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(pair(self.left, self.tok, bits), return_inverse=True)
+
+    def score(self, counts: np.ndarray, word_levels: np.ndarray, pair_levels: np.ndarray, m: dict) -> dict[str, np.ndarray]:
+        """counts: exact ones of words; levels: quantised counts of words and pairs."""
+        n = len(self.n_tokens)
+        base = np.log10((counts + 1) / (m["N"] + m["V"] + 1.0))
+        single = typical(word_levels)
+        p1 = (single + 1) / (m["typical"] + m["V"] + 1.0)
+        context = counts[np.searchsorted(self.words, self.left)]
+        both = np.minimum(typical(pair_levels)[self.pair_at], context)
+        p = (both + m["prior"] * p1[self.word_at]) / (context + m["prior"])
+        return {
+            "n_tokens": self.n_tokens.astype(np.int64), "n_known": np.bincount(self.doc, (counts > 0)[self.word_at], n).astype(np.int64),
+            "base_score": np.bincount(self.doc, base[self.word_at], n), "score": np.bincount(self.doc, np.log10(p), n),
+        }
+
+
+def _scorer(shared, names: list[str]):
+    """Scores with the whole filter, which is small."""
 
     def score(batches):
-        m = model.value
-        total = m["N"] + m["V"] + 1.0
-        chunk, held = TaskContext.get().partitionId() << 32, 0
+        m = shared.value
+        known = regions(m["local"])
+        none = Region()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                tok, _, doc, counts = tokens(part.column("text"))
-                n = part.num_rows
-                size = pc.sum(pc.binary_length(part.column("text"))).as_py()
-                if held and held + size > CHUNK:
-                    chunk, held = chunk + 1, 0
-                held += size + n
-                u, back = np.unique(tok, return_inverse=True)
-                at = np.minimum(np.searchsorted(m["h"], u), max(0, len(m["h"]) - 1))
-                known = m["h"][at] == u if len(m["h"]) else np.zeros(len(u), bool)
-                c = np.where(known, m["n"][at] if len(m["n"]) else 0, 0)
-                base = np.bincount(doc, np.where(known, np.log10((c + 1) / total), 0.0)[back], n)
-                rare = ~known[back]
-                words = [tok[rare][a:b].tobytes() for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(doc[rare], np.arange(n + 1))), strict=True)]
-                cols = [part.column(x) for x in passed]
-                cols += [pa.array(counts), pa.array(np.bincount(doc, known[back], n).astype(np.int64)), pa.array(base), pa.array(words, pa.binary()), part.column("text"), pa.array(np.full(n, chunk))]
-                yield pa.RecordBatch.from_arrays(cols, [*passed, "n_tokens", "n_known", "base_score", "rare", "text", "chunk"])
+            for part in slices(batch, "text"):
+                x = Scored(part.column("text"), m["bits"])
+                counts, levels = np.zeros(len(x.words), np.int64), [np.zeros(len(g), np.uint8) for g in (x.words, x.pairs)]
+                for kind, grams in enumerate((x.words, x.pairs)):
+                    for k, a, b in _by_region(grams, kind, m["bits"]):
+                        levels[kind][a:b] = known.get(k, none).levels(grams[a:b], kind)
+                        if kind == WORD:
+                            counts[a:b] = known.get(k, none).counts(grams[a:b])
+                got = x.score(counts, *levels, m)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *map(pa.array, got.values())], [*names, *got])
 
     return score
 
 
-def _asker(regions: int):
-    """A chunk's distinct n-grams, by kind and region."""
+def _chunker(batches):
+    """Rows with the number of their chunk: consecutive rows of a task, about CHUNK bytes of text."""
+    chunk, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            size = (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + part.num_rows
+            if held and held + size > CHUNK:
+                chunk, held = chunk + 1, 0
+            held += size
+            yield part.append_column("chunk", pa.array(np.full(part.num_rows, chunk)))
+
+
+def _asker(bits: int):
+    """A chunk's distinct n-grams, by region."""
 
     def ask(key, texts):
-        tok, left, _, _ = tokens(texts["text"])
-        rows = []
-        for kind, h in enumerate((np.unique(tok), np.unique(pair(left, tok)))):
-            _, keys = _key(h, regions)
-            rows += [(k, kind, _pack(keys[a:b])) for k, a, b in _by_slice(h, regions)]
+        x = Scored(texts["text"], bits)
+        rows = [(k, kind, pack_sorted(grams[a:b] if kind == WORD else _key(grams[a:b]))) for kind, grams in enumerate((x.words, x.pairs)) for k, a, b in _by_region(grams, kind, bits)]
         return pa.table({"region": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "b": pa.array([r[2] for r in rows], pa.binary())})
 
     return ask
 
 
-def _answerer(size: int):
-    """Per region, its bits come first (kind -1), then chunks' n-grams: their quantised counts, a byte each."""
-
-    def answer(batches):
-        at, cells = -1, np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            region, kind, b = batch.column("region").to_pylist(), batch.column("kind").to_pylist(), batch.column("b")
-            ask, out = [], []
-            for row in range(batch.num_rows):
-                if region[row] != at:
-                    at, cells = region[row], np.zeros(size // 8, np.uint8)
-                if kind[row] < 0:
-                    cells = np.frombuffer(b[row].as_buffer(), np.uint8)
-                    continue
-                ask.append(row)
-                out.append(_probe(_unpack(b[row].as_buffer()), 0, kind[row], cells, size).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(ask, pa.int32())) for c in ("region", "kind", "chunk")), pa.array(out, pa.binary())], ["region", "kind", "chunk", "b"])
-
-    return answer
-
-
-def _finisher(total: float, prior: float, names: list[str]):
-    """Scores of a chunk's texts; levels, by kind and region, are in the order of its sorted n-grams."""
-
-    def finish(texts, levels):
-        tok, left, doc, _ = tokens(texts["text"])
-        order = levels.sort_by([("kind", "ascending"), ("region", "ascending")])
-        q = np.frombuffer(b"".join(order["b"].to_pylist()), np.uint8).astype(np.int64)
-        u, back = np.unique(tok, return_inverse=True)
-        up, pback = np.unique(pair(left, tok), return_inverse=True)
-        if len(q) != len(u) + len(up):
-            raise RuntimeError(f"{len(q)} counts for {len(u) + len(up)} n-grams")
-        single = _typical(q[: len(u)])
-        p1 = ((single + 1) / total)[back]
-        context = single[np.searchsorted(u, left)]
-        both = np.minimum(_typical(q[len(u) :])[pback], context)
-        p = (both + prior * p1) / (context + prior)
-        return texts.select(names).append_column("score", pa.array(np.bincount(doc, np.log10(p), texts.num_rows)))
+def _answerer(batches):
+    """Of each region, its store comes first, then chunks' n-grams: their quantised counts, and exact ones of words."""
+    at, own = None, Region()
+    for batch in batches:
+        region, kind, b = batch.column("region").to_pylist(), batch.column("kind").to_pylist(), batch.column("b")
+        asked, levels, counts = [], [], []
+        for row in range(batch.num_rows):
+            if region[row] != at:
+                at, own = region[row], Region()
+            if kind[row] < 0:
+                own.put(kind[row], b[row].as_buffer())
+                continue
+            h = unpack_sorted(b[row].as_buffer())
+            asked.append(row)
+            levels.append(own.levels(h, kind[row]).tobytes())
+            counts.append(pack(own.counts(h)) if kind[row] == WORD else b"")
+        rows = pa.array(asked, pa.int32())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("region", "kind", "chunk")), pa.array(levels, pa.binary()), pa.array(counts, pa.binary())], ["region", "kind", "chunk", "q", "c"])
+
+
+def _finisher(m: dict, names: list[str]):
+    """Scores of a chunk's texts; the answers, by region, are in the order of its sorted n-grams."""
+
+    def finish(texts, answers):
+        x = Scored(texts["text"], m["bits"])
+        order = answers.sort_by([("kind", "ascending"), ("region", "ascending")])
+        q = np.frombuffer(b"".join(order["q"].to_pylist()), np.uint8)
+        if len(q) != len(x.words) + len(x.pairs):
+            raise RuntimeError(f"{len(q)} counts for {len(x.words) + len(x.pairs)} n-grams")
+        counts = np.concatenate([unpack(c) for c in order["c"].to_pylist() if c]).astype(np.int64)
+        got = x.score(counts, q[: len(x.words)], q[len(x.words) :], m)
+        return pa.table([*(texts[c] for c in names), *map(pa.array, got.values())], [*names, *got])
 
     return finish
 
 
-def _dealer(segs: int):
-    """Words of texts, packed by hash slice, each with its text's key."""
-
-    def deal(batches):
-        for batch in batches:
-            lists = batch.column("rare")
-            lengths = np.array([x.as_buffer().size // 8 for x in lists], np.int64)
-            h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in lists)])
-            key = np.repeat(np.stack([batch.column("k1").to_numpy(), batch.column("k2").to_numpy()], 1), lengths, axis=0)
-            order = np.argsort(h, kind="stable")
-            h, key = h[order], key[order]
-            if len(h):
-                yield _blocks([(1, k, h[a:b], key[a:b]) for k, a, b in _by_slice(h, segs)])
-
-    return deal
-
-
-def _joiner(total: float):
-    """Per slice, word counts come first (kind 0), then words of texts: sums of logarithms by text."""
-
-    def join(batches):
-        seg, h, c = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for row, (kind, k) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("seg").to_pylist(), strict=True)):
-                x, y = _read(batch, row)
-                if k != seg:
-                    seg, h, c = k, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if kind == 0:
-                    h, c = _add([(h, c), (x, y)])
-                    continue
-                key = y.reshape(-1, 2)
-                at = np.minimum(np.searchsorted(h, x), max(0, len(h) - 1))
-                n = np.where(h[at] == x, c[at], 0) if len(h) else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array((n > 0).astype(np.int64)), pa.array(np.log10((n + 1) / total))], ["k1", "k2", "more", "rest"])
-
-    return join
-
-
 def score(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """For every row: the columns of keep, n_tokens, n_known, train_tokens, base_score and score (both log10 probabilities).
 
-    A null or empty text has one token, its end. Rows with equal texts have equal scores.
+    A null or empty text has one token, its end. Rows with equal texts have equal scores. Other columns of docs may have
+    any names.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({k: model[k] for k in ("N", "V", "h", "n")})
     keep = keep or {"doc_id": F.col("doc_id")}
-    rows = docs.select(*(v.alias(k) for k, v in keep.items()), whole_text(text)).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
     named = [f"_{k}" for k in range(len(keep))]  # the caller's names could be those of this function's columns
-    rows = rows.toDF(*named, "text", "k1", "k2")
-    passed = [f for f in rows.schema if f.name != "text"]
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
-    part = saved(rows.mapInArrow(_baser(shared, [f.name for f in passed]), f"{kept}n_tokens long, n_known long, base_score double, rare binary, text string, chunk long"))
-    segs, regions, total = _segments(rows), model["regions"], model["N"] + model["V"] + 1.0
-    names = [*(f.name for f in passed), "n_tokens", "n_known", "base_score"]
-    texts = part.select(*names, "text", "chunk").repartition(segs, "chunk")
-    asked = model["filter"].unionByName(texts.groupBy("chunk").applyInArrow(_asker(regions), _ASK))
-    answered = asked.repartition(regions, "region").sortWithinPartitions("region", "kind").mapInArrow(_answerer(model["bits"] // regions), _ASK)
-    both = texts.groupBy("chunk").cogroup(answered.repartition(segs, "chunk").groupBy("chunk"))
-    scored = saved(both.applyInArrow(_finisher(total, model["prior"], names), f"{kept}n_tokens long, n_known long, base_score double, score double"))
-    rare = part.filter("octet_length(rare) > 0").select("k1", "k2", "rare").dropDuplicates(["k1", "k2"])
-    dealt = model["counts"].filter("kind = 0").unionByName(rare.mapInArrow(_dealer(model["segs"]), _BLOCK))
-    met = dealt.repartition(model["segs"], "seg").sortWithinPartitions("seg", "kind")
-    more = met.mapInArrow(_joiner(total), "k1 long, k2 long, more long, rest double").groupBy("k1", "k2").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"))
-    out = scored.join(more, ["k1", "k2"], "left")
-    return out.select(*(F.col(c).alias(k) for c, k in zip(named, keep, strict=True)), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    rows = docs.select(*keep.values(), whole_text(text)).toDF(*named, "text")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    result = f"{kept}n_tokens long, n_known long, base_score double, score double"
+    plain = {k: model[k] for k in ("N", "V", "typical", "bits", "prior")}
+    if "local" in model:
+        shared = docs.sparkSession.sparkContext.broadcast(plain | {"local": model["local"]})
+        scored = rows.mapInArrow(_scorer(shared, named), result)
+    else:
+        regions_ = 1 << model["bits"]
+        texts = rows.mapInArrow(_chunker, f"{kept}text string, chunk long").repartition(regions_, "chunk")
+        asked = model["store"].select("region", "kind", "chunk", "b").unionByName(texts.groupBy("chunk").applyInArrow(_asker(model["bits"]), _ASK))
+        answers = asked.repartition(regions_, "region").sortWithinPartitions("region", "kind").mapInArrow(_answerer, "region int, kind int, chunk long, q binary, c binary")
+        scored = texts.groupBy("chunk").cogroup(answers.repartition(regions_, "chunk").groupBy("chunk")).applyInArrow(_finisher(plain, named), result)
+    names = [F.col(c).alias(k) for c, k in zip(named, keep, strict=True)]
+    return scored.select(*names, "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xrefloom.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from xrefloom.llm.common import bounded_batches, saved, table
+from xrefloom.llm.common import bounded_batches, renamed, saved, table
 
 #: The key of the pseudonyms in tests; a real run sets its own secret.
 PII_KEY = b"a key for tests"
@@ -27,8 +27,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Learns from all labelled documents of this stage's input; keeps rows that score below 0.5. Null and empty texts stay unless the bias alone rejects them."""
     bounded_batches(spark)
     labels = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "y"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).filter("score < 0.5").drop("score")
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    rows, own = renamed(docs)
+    scored = toxicity.score(rows, model, text=own["text"], keep=tuple(rows.columns))
+    return scored.filter("score < 0.5").select(rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,35 +41,46 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     stay unless their class has another representative.
     """
     bounded_batches(spark)
-    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.isnull("text").alias("n"))
-    rows = docs.filter("doc_id is not null").withColumn("_key", key)
-    one = rows.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*", "_key")
+    docs, own = renamed(docs)
+    key = F.struct(F.xxhash64(own["text"]).alias("a"), F.xxhash64(F.lit(1), own["text"]).alias("b"), F.isnull(own["text"]).alias("n"))
+    all_rows = docs.withColumn("doc_id", F.col(own["doc_id"]).cast("long"))
+    rows = all_rows.filter("doc_id is not null").withColumn("_key", key)
+    one = rows.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*", "doc_id", "_key")
     several = rows.groupBy("doc_id").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).filter("_least <> _most").select("doc_id", "_least")
     other = F.xxhash64("doc_id", "_key").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    own = F.when(F.coalesce(F.col("_key") != F.col("_least"), F.lit(False)), other).otherwise(F.col("doc_id").cast("long"))
-    nodes = saved(one.join(several, "doc_id", "left").withColumn("_node", own).select(*docs.columns, "_node"))
-    found = ngram_join.classes(nodes.select(F.col("_node").alias("doc_id"), "text"))
+    node = F.when(F.coalesce(F.col("_key") != F.col("_least"), F.lit(False)), other).otherwise(F.col("doc_id"))
+    nodes = saved(one.join(several, "doc_id", "left").withColumn("_node", node).select(*docs.columns, "_node"))
+    found = ngram_join.classes(nodes.select(F.col("_node").alias("doc_id"), F.col(own["text"]).alias("text")))
     stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
-    return nodes.join(stay, "_node", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    kept = nodes.join(stay, "_node", "left_semi").select(docs.columns)
+    return kept.unionByName(all_rows.filter("doc_id is null").select(docs.columns)).toDF(*own)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows that contain no item of the table benchmark."""
     bounded_batches(spark)
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    rows, own = renamed(docs)
+    return decontaminate.clean(rows, table(spark, sf_dir, "benchmark"), text=own["text"]).toDF(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with pseudonyms in the text and its new length in n_chars (null for null texts)."""
+    """All rows, with pseudonyms in the text and its new length in n_chars, if there is that column (null for null texts)."""
     bounded_batches(spark)
-    rest = tuple(c for c in docs.columns if c != "text")
-    return pii.pseudonymise(docs, PII_KEY, keep=rest).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rows, own = renamed(docs)
+    rest = tuple(c for c in rows.columns if c != own["text"])
+    new = pii.pseudonymise(rows, PII_KEY, text=own["text"], keep=rest)
+    if "n_chars" in own:
+        new = new.withColumn(own["n_chars"], F.length(own["text"]).cast("long"))
+    return new.select(rows.columns).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled rows, about half of the tokens, with topic, n_tokens, factor and probability."""
+    """The sampled rows, about half of the tokens, with topic, n_tokens, factor and probability, which replace columns of docs with these names."""
     bounded_batches(spark)
-    return mixing.mix(docs, keep=tuple(docs.columns)).filter("sampled").drop("sampled")
+    rows, own = renamed(docs)
+    mixed = mixing.mix(rows, text=own["text"], id_column=own["doc_id"], dims=(own["source"], own["lang"]), keep=tuple(rows.columns)).filter("sampled")
+    new = ("topic", "n_tokens", "factor", "probability")
+    return mixed.select(*(F.col(c).alias(k) for k, c in own.items() if k not in new), *new)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

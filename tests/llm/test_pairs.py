@@ -84,6 +84,15 @@ def test_ngram_join_edges(spark):
     assert len(out) == 5 and all(r.component_id == 1 for r in out if r.doc_id in (1, 2))
 
 
+def test_each_set_of_a_repeated_id_links(spark):
+    word = lambda k: [f"w{k}x{i}" for i in range(60)]
+    a, b, c = word(1), word(2), word(3)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*b, "end"])), (8, " ".join([*a, "end"])), (9, " ".join(c)), (3, " ".join(c)), (3, " ".join(a)), (11, " ".join(word(4)))]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in ngram_join.classes(spark.createDataFrame(order, "doc_id long, text string"), sketch_bits=12).collect()}
+        assert got == {(5, 3), (7, 3), (8, 3), (9, 3), (3, 3), (11, 11)}
+
+
 def test_verified_once(spark):
     docs = spark.createDataFrame(near_copies(5), "doc_id long, text string")
     _, links = ngram_join.join(docs, sketch_bits=12)

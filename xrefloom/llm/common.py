@@ -24,7 +24,7 @@ def fold(id_column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """Consecutive parts of a batch with about `most` bytes of text each (at least one row), so that scratch arrays stay small."""
     if not batch.num_rows:
         return
@@ -37,14 +37,35 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
         start, base = end, size[end - 1]
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes: how many bytes the largest one takes, then all first bytes, all second bytes, ..."""
+    x = x.astype("<u8", copy=False)
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(b) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8)
+    width = int(x[0])
+    out = np.zeros(((len(x) - 1) // width, 8), np.uint8)
+    out[:, :width] = x[1:].reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names that no operator's columns have, and these names by the old ones."""
+    names = {c: f"_own{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Spark hand texts to Python in batches of at most 1,000 rows and about 8 MB, so that a worker's memory does not hang on their lengths."""
+    """Let Spark hand texts to Python in batches of at most 1,000 rows and about 4 MB, so that a worker's memory does not hang on their lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import saved, slices, whole_text
+from .common import pack, saved, slices, unpack, whole_text
 
 END = np.uint64(0xE14D0FE14D0F0001)
 BASE = 1.5
@@ -84,21 +84,6 @@ def typical(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, np.maximum(1.0, (low + np.maximum(high, low)) / 2), 0.0)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes: how many bytes the largest one takes, then all first bytes, all second bytes, ..."""
-    x = x.astype("<u8", copy=False)
-    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unpack(b) -> np.ndarray:
-    x = np.frombuffer(b, np.uint8)
-    width = int(x[0])
-    out = np.zeros(((len(x) - 1) // width, 8), np.uint8)
-    out[:, :width] = x[1:].reshape(width, -1).T
-    return out.view("<u8").ravel()
-
-
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending numbers: their differences, packed."""
     return pack(np.diff(x, prepend=np.uint64(0)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import components, saved, slices, whole_text
+from .common import components, pack, saved, slices, unpack, whole_text
 
 PARTS = 16
 
@@ -56,13 +56,13 @@ def _sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _cell_counter(n: int, bits: int):
     def count(batches):
-        cells = np.zeros(1 << bits, np.int64)
+        cells = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 h, _, _ = shingles(part.column("text"), n)
-                np.add.at(cells, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
-        size = (1 << bits) // 64
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(64), pa.int32()), "cells": pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in cells.reshape(64, size)], pa.binary())})
+                own, c = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                cells[own] += c.astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(64), pa.int32()), "cells": pa.array([pack(x) for x in cells.reshape(64, -1)], pa.binary())})
 
     return count
 
@@ -72,9 +72,9 @@ def _cell_adder(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
-            x = np.frombuffer(cells.as_buffer(), np.uint32).astype(np.int64)
+            x = unpack(cells.as_buffer())
             total[block] = total[block] + x if block in total else x
-    yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "cells": pa.array([np.round(np.log2(x + 1) * 4).astype(np.uint8).tobytes() for x in total.values()], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "cells": pa.array([np.round(np.log2(x + 1.0) * 4).astype(np.uint8).tobytes() for x in total.values()], pa.binary())})
 
 
 def rarity(rows: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -95,10 +95,7 @@ def _profiler(shared, n: int, bits: int, percent: int):
                 h, bounds = _sets(part.column("text"), n)
                 size = np.diff(bounds)
                 doc = np.repeat(np.arange(len(size)), size)
-                # what two equal sets share: two sums over the sorted set
-                with np.errstate(over="ignore"):
-                    sums = [np.concatenate([[np.uint64(0)], np.cumsum(tv.mix(h ^ np.uint64(k)))]) for k in (0x51, 0x7A3)]
-                    s1, s2 = ((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums)
+                s1, s2 = _sums(h, bounds)
                 parts = np.bincount(doc * PARTS + (h & np.uint64(PARTS - 1)).astype(np.int64), minlength=len(size) * PARTS).reshape(-1, PARTS).astype(np.int32)
                 order = np.lexsort((h, rare[(h >> np.uint64(64 - bits)).astype(np.int64)], doc))
                 h = h[order]
@@ -137,20 +134,28 @@ def _dealer(segs: int):
 
 
 def _sharer(batches):
-    """Postings of the shingles that at least two documents have: h, rep, pos, size, and how many documents."""
+    """Postings of the shingles that at least two documents have: h, rep, pos, size, how many documents, and the first one's rep, pos and size."""
     kept: dict[int, list] = {}
     for batch in batches:
         for row, seg in enumerate(batch.column("seg").to_pylist()):
             kept.setdefault(seg, []).append([np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("h", np.uint64), ("rep", np.int64), ("pos", np.int32), ("size", np.int32))])
     for blocks in kept.values():
         h, rep, pos, size = (np.concatenate(x) for x in zip(*blocks, strict=True))
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((rep, h))
         h = h[order]
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         many = np.repeat(np.diff(edge), np.diff(edge))
         keep = many > 1
-        at = order[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(rep[at]), pa.array(pos[at]), pa.array(size[at]), pa.array(many[keep].astype(np.int64))], ["h", "rep", "pos", "size", "n"])
+        at, first = order[keep], order[np.repeat(edge[:-1], np.diff(edge))[keep]]
+        columns = [h[keep].view(np.int64), rep[at], pos[at], size[at], many[keep].astype(np.int64), rep[first], pos[first], size[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "rep", "pos", "size", "n", "rep0", "pos0", "size0"])
+
+
+def _possible_star(percent: int):
+    """possible() for a list's first document and another one, as a column."""
+    x, y, px, py = F.col("size0").cast("long"), F.col("size").cast("long"), F.col("pos0"), F.col("pos")
+    need = (F.lit(percent) * (x + y) + F.lit(99 + percent)) / F.lit(100 + percent)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least(x - px, y - py) >= F.floor(need))
 
 
 def possible(size_x, size_y, pos_x, pos_y, percent: int):
@@ -168,8 +173,8 @@ def _cut(rows: np.ndarray, start: np.ndarray, n: np.ndarray, most: int) -> tuple
     return np.minimum(step[which], rows[which] - offset), start[which], n[which], offset
 
 
-def _pairer(percent: int, stars: bool):
-    """Pairs within each list (rows of one h and block pair): of its first document with the others, or all that cross classes."""
+def _pairer(percent: int):
+    """Pairs within each list (rows of one h and block pair) that cross classes."""
 
     def emit(found: list):
         both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -180,30 +185,26 @@ def _pairer(percent: int, stars: bool):
         if not own:  # a partition without rows
             return
         table = pa.Table.from_batches(own)
-        key = [table[c].to_numpy() for c in (("h",) if stars else ("h", "i", "j"))]
-        rep, pos, size = (table[c].to_numpy().astype(np.int64) for c in ("rep", "pos", "size"))
-        cls = rep if stars else table["cls"].to_numpy()
-        side = np.zeros(len(rep), np.int64) if stars else table["side"].to_numpy()
-        within = np.ones(len(rep), bool) if stars else key[1] == key[2]
-        order = np.lexsort((rep, *key))
+        h, first, second = (table[c].to_numpy() for c in ("h", "i", "j"))
+        rep, pos, size, cls, side = (table[c].to_numpy().astype(np.int64) for c in ("rep", "pos", "size", "cls", "side"))
+        within = first == second
+        order = np.lexsort((rep, h, first, second))
         change = np.zeros(len(rep) + 1, bool)
         change[0] = change[-1] = True
-        for k in key:
+        for k in (h, first, second):
             change[1:-1] |= k[order][1:] != k[order][:-1]
         edge = np.flatnonzero(change)
-        start, n = edge[:-1], np.diff(edge)
-        # all lists at once, in portions of about a million pairs: each list's rows (its first row only) against its rows
-        rows = np.ones(len(n), np.int64) if stars else n
-        rows, start, n, offset = _cut(rows, start, n, 1 << 20)
+        # all lists at once, in portions of about a million pairs: a list's rows against its rows
+        rows, start, n, offset = _cut(np.diff(edge), edge[:-1], np.diff(edge), 1 << 18)
         total = np.concatenate([[0], np.cumsum(rows * n)])
         found, size_found, k = [], 0, 0
         while k < len(n):
-            end = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 20), "right")) - 1)
+            end = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 18), "right")) - 1)
             m = rows[k:end] * n[k:end]
             list_ = np.repeat(np.arange(k, end), m)
             at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             i, j = order[start[list_] + offset[list_] + at // n[list_]], order[start[list_] + at % n[list_]]
-            ok = (rep[i] < rep[j]) if stars else (cls[i] != cls[j]) & np.where(within[i], rep[i] < rep[j], side[i] < side[j])
+            ok = (cls[i] != cls[j]) & np.where(within[i], rep[i] < rep[j], side[i] < side[j])
             i, j = i[ok], j[ok]
             ok = possible(size[i], size[j], pos[i], pos[j], percent)
             i, j = i[ok], j[ok]
@@ -214,7 +215,7 @@ def _pairer(percent: int, stars: bool):
             if size_found > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
                 size_found = 0
-                if len(found[0]) > 1 << 21:
+                if len(found[0]) > 1 << 20:
                     yield emit(found)
                     found = []
         yield emit(found)
@@ -238,23 +239,31 @@ def _verifier(percent: int):
     return verify
 
 
+def _sums(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """What two equal sets share: two 64-bit sums over the set."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(tv.mix(h ^ np.uint64(k)))]) for k in (0x51, 0x7A3)]
+        return [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+
+
 def _set_maker(n: int):
     def make(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 h, bounds = _sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "own"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _sums(h, bounds)), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["s1", "s2", "own"])
 
     return make
 
 
-def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int = 5, percent: int = 80, sketch_bits: int = 22, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int = 5, percent: int = 80, sketch_bits: int = 22, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Two tables: documents (doc_id, n_shingles, rep) with one row for each row of docs, and links (x, y) with x < y.
 
-    rep is the smallest id of the documents with the same set (null for empty sets and null ids); links hold
+    rep stands for a set: the smallest id of the documents that have it (null for empty sets and null ids). Links hold
     representatives, namely enough of the similar pairs to connect every two that similar pairs connect: pairs within a
-    class that the first round has already tied together are not all listed. Ids are whole numbers; rows that repeat an id
-    count as one document if their texts are equal, and as documents of one class if they are not.
+    class that the first round has already tied together are not all listed. Ids are whole numbers. Where an id has
+    several texts, each of their sets is compared: one set goes by the id, the others by numbers from 2**62, and further
+    links tie the sets of an id to one class.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text))
@@ -262,12 +271,19 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int
     shared = spark.sparkContext.broadcast(cells)
     profile = saved(rows.mapInArrow(_profiler(shared, n, sketch_bits, percent), "doc_id long, n_shingles long, s1 long, s2 long, prefix binary, parts binary"))
     alive = profile.filter("n_shingles > 0 and doc_id is not null")
-    reps = saved(alive.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
+    sets = saved(alive.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
+    # a set whose smallest id stands for another set already gets a number of its own
+    taken = sets.groupBy("least").agg(F.min(F.struct("s1", "s2")).alias("one"), F.count("*").alias("n")).filter("n > 1").select("least", "one")
+    number = F.xxhash64("least", "s1", "s2").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.col("one").isNull() | (F.struct("s1", "s2") == F.col("one")), F.col("least")).otherwise(number)
+    reps = saved(sets.join(taken, "least", "left").select("s1", "s2", "least", own.alias("rep"), "n_shingles", "prefix", "parts"))
     documents = profile.select("doc_id", "n_shingles", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
+    of_id = documents.filter("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("most")).filter("x < most").select("doc_id", "x")
+    same_id = documents.join(of_id, "doc_id").filter("rep > x").select("x", F.col("rep").alias("y")).distinct()
 
     total = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    segs = 1 << max(4, int(np.ceil(np.log2(total / (8 << 20) + 1))))  # about a million postings each
-    postings = saved(reps.mapInArrow(_dealer(segs), _POST).repartition(segs, "seg").mapInArrow(_sharer, "h long, rep long, pos int, size int, n long"))
+    segs = 1 << max(4, int(np.ceil(np.log2(total / (4 << 20) + 1))))  # about half a million postings each
+    postings = saved(reps.mapInArrow(_dealer(segs), _POST).repartition(segs, "seg").mapInArrow(_sharer, "h long, rep long, pos int, size int, n long, rep0 long, pos0 int, size0 int"))
     parts = reps.select("rep", "parts")
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -276,21 +292,23 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int
         return p.mapInArrow(_suffix(percent), "x long, y long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        sets = saved(rows.join(ids, "doc_id", "left_semi").mapInArrow(_set_maker(n), "id long, own binary").dropDuplicates(["id"]))
-        met = pairs.join(sets.withColumnsRenamed({"id": "x", "own": "set_x"}), "x").join(sets.withColumnsRenamed({"id": "y", "own": "set_y"}), "y")
+        ids = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct()
+        wanted = saved(reps.join(ids, "rep", "left_semi").select("rep", "s1", "s2", F.col("least").alias("doc_id")))
+        made = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_set_maker(n), "s1 long, s2 long, own binary")
+        whole = saved(made.join(wanted.select("s1", "s2", "rep"), ["s1", "s2"]).select("rep", "own").dropDuplicates(["rep"]))
+        met = pairs.join(whole.withColumnsRenamed({"rep": "x", "own": "set_x"}), "x").join(whole.withColumnsRenamed({"rep": "y", "own": "set_y"}), "y")
         return saved(met.select("x", "y", "set_x", "set_y").mapInArrow(_verifier(percent), "x long, y long"))
 
-    by_list = postings.repartition(segs, "h")
-    tried = saved(candidates(by_list.mapInArrow(_pairer(percent, True), "x long, y long")))
-    links = verified(tried)
+    star = postings.filter((F.col("rep") != F.col("rep0")) & _possible_star(percent)).select(F.col("rep0").alias("x"), F.col("rep").alias("y"))
+    tried = saved(candidates(star))
+    links = saved(verified(tried).unionByName(same_id))
     classes = components(links, "x", "y").withColumnsRenamed({"id": "rep", "component_id": "cls"})
-    known = postings.join(classes, "rep", "left").withColumn("cls", F.coalesce("cls", "rep"))
+    known = postings.select("h", "rep", "pos", "size", "n").join(classes, "rep", "left").withColumn("cls", F.coalesce("cls", "rep"))
     # lists with one class have no pair left; long lists are dealt out as pairs of blocks
     mixed = known.groupBy("h").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("h")
     known = known.join(mixed, "h", "left_semi").withColumn("k", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     dealt = known.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", "rep", "pos", "size", "cls", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).cast("long").alias("side"))
-    more = dealt.repartition(segs, "h", "i", "j").mapInArrow(_pairer(percent, False), "x long, y long")
+    more = dealt.repartition(segs, "h", "i", "j").mapInArrow(_pairer(percent), "x long, y long")
     left = saved(candidates(more.join(tried, ["x", "y"], "left_anti")))
     return documents, links.unionByName(verified(left))
 

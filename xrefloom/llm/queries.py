@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    model = toxicity.fit(docs.filter(fold("doc_id", 5) != 0).join(labels, "doc_id").select("text", "y"))
+    model = toxicity.fit(toxicity.labelled(docs.filter(fold("doc_id", 5) != 0), labels))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import slices, whole_text
+from .common import saved, slices, whole_text
 
 FTRL = {"alpha": 1.5, "beta": 1.0, "l1": 5.0, "l2": 0.02}
 
@@ -63,7 +63,7 @@ def _trainer(bits: int, epochs: int, options: dict):
         model = Ftrl(bits, **options)
         rows, labels, copies = [], [], []
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 f, d = features(part.column("text"), bits)
                 key = np.unique((d << bits) | f)
                 bounds = np.searchsorted(key >> bits, np.arange(part.num_rows + 1))
@@ -75,11 +75,10 @@ def _trainer(bits: int, epochs: int, options: dict):
         for _ in range(epochs):
             for k in order.permutation(len(rows)):
                 model.learn(rows[k], labels[k], copies[k])
-        w = model.weights(np.arange(len(model.z)))
-        on = np.flatnonzero(w)
-        if rows:  # the bias stands in for the shard itself, even where it is zero
-            on = np.union1d(on, [1 << bits])
-        yield pa.RecordBatch.from_pydict({"i": pa.array(on, pa.int32()), "w": w[on]})
+        on = np.flatnonzero(model.n)  # coordinates that no row has stay zero
+        w = model.weights(on)
+        on, w = on[(w != 0) | (on == 1 << bits)], w[(w != 0) | (on == 1 << bits)]  # the bias stands in for the shard itself
+        yield pa.RecordBatch.from_pydict({"i": pa.array(on, pa.int32()), "w": w})
 
     return train
 
@@ -108,17 +107,25 @@ def calibrate(scores: np.ndarray, y: np.ndarray, copies: np.ndarray | float = 1.
     return max(float(t[0]), 0.05), float(t[1])
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts with their labels, for fit: labels has the columns doc_id and y; documents of an id that repeats all have its labels."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text)).withColumn("text_hash", F.xxhash64("text"))
+    return rows.join(labels.select("doc_id", "y"), "doc_id").select("text", "text_hash", "y")
+
+
 def fit(labelled: DataFrame, bits: int = 22, sample_rows: int = 12_000, shards: int = 3, epochs: int = 4, **options) -> dict:
     """Learn from columns text and y (0 or 1; other rows are left out). Returns {i, w, bias, bits}; i and w list only non-zero weights.
 
+    A column text_hash, if there, is xxhash64 of the text; with it, texts are counted without being shuffled.
     A table without any usable row gives a model whose every score is 0.5; one with a single class gives its rate.
     """
-    labelled = labelled.select(whole_text("text"), F.col("y").cast("int").alias("y")).filter("y in (0, 1)")
-    labelled = labelled.withColumn("h", F.xxhash64("text"))
+    if "text_hash" not in labelled.columns:
+        labelled = labelled.select(whole_text("text"), "y").withColumn("text_hash", F.xxhash64("text"))
+    labelled = labelled.select("text", F.col("text_hash").alias("h"), F.col("y").cast("int").alias("y")).filter("y in (0, 1)")
     n = labelled.select("h").distinct().count()
     share = min(1.0, sample_rows / max(n, 1))
     chosen = labelled.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = chosen.groupBy("h", "text").agg(F.avg("y").alias("y"), F.count("*").alias("copies")).repartition(shards, "h").select("text", "y", "copies")
+    sample = saved(chosen.groupBy("h", "text").agg(F.avg("y").alias("y"), F.count("*").alias("copies"))).repartition(shards, "h").select("text", "y", "copies")
     parts = sample.mapInArrow(_trainer(bits, epochs, FTRL | options), "i int, w double")
     got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # the weights that are not zero
     i, w, n = (got[c].to_numpy() for c in ("i", "w", "n"))
@@ -139,7 +146,7 @@ def _scorer(model):
         weight[m["i"]] = m["w"]
         known = weight != 0
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text"):
                 f, d = features(part.column("_text"), bits)
                 hit = known[f]
                 key = np.unique((d[hit] << bits) | f[hit])

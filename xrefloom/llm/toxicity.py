@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, bits: int = 22, sample_rows: int = 12_000, shards:
     n = labelled.select("h").distinct().count()
     share = min(1.0, sample_rows / max(n, 1))
     chosen = labelled.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = saved(chosen.groupBy("h", "text").agg(F.avg("y").alias("y"), F.count("*").alias("copies"))).repartition(shards, "h").select("text", "y", "copies")
+    sample = saved(chosen.groupBy("h", "text").agg(F.avg("y").alias("y"), F.count("*").alias("copies"))).repartition(shards, "h").sortWithinPartitions("h", "text").select("text", "y", "copies")
     parts = sample.mapInArrow(_trainer(bits, epochs, FTRL | options), "i int, w double")
     got = parts.groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # the weights that are not zero
     i, w, n = (got[c].to_numpy() for c in ("i", "w", "n"))

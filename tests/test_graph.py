@@ -2,13 +2,17 @@
 
 import base64
 import json
+import random
+import shutil
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from xrefloom import __main__ as cli
 from xrefloom.functions import tickets as K
 from xrefloom.functions.marked import qualified_name
+from xrefloom.operators import names as N
 from xrefloom.operators import serving as S
 from xrefloom.operators import units as U
 from xrefloom.operators.graph import CodeGraph, lines_of
@@ -102,7 +106,13 @@ def test_verbs(graph):
     assert file.count() == 11 and graph.decorations("elsewhere", "c").count() == 0
     assert [tuple(r) for r in graph.ls().collect()] == [("c", False)] and [tuple(r) for r in graph.ls("src", "c").collect()] == [(PATH, True)]
     assert graph.nodes(file.first().target_ticket).count() == 0
-    assert {r.table: r.rows for r in graph.stat().collect()}["call_edges"] == 6
+    stat = {r.table: r for r in graph.stat().collect()}
+    assert stat["call_edges"].rows == 6 and all(r.files > 0 and r.bytes > 0 for r in stat.values())
+    roles = lambda **by: sorted(r.role for r in graph.cross_references("ns::g", **by).collect())
+    assert roles(definitions="none") == ["call"] * 2 and roles(references="noncall") == ["definition"] and roles(references="none", definitions="all", callers="direct") == ["caller", "definition"]
+    assert roles(references="none", definitions="none", callers="overrides") == ["caller"]
+    with pytest.raises(ValueError):
+        graph.cross_references("ns::g", callers="some")
     assert graph.resolve("ns::g", def_in="a.cc").count() == 1 and graph.resolve("ns::k", def_in="a.cc").count() == 0
 
 
@@ -112,6 +122,46 @@ def test_built_equals_direct(graph, entries):
         assert sorted(map(str, own.t[name].select(df.columns).distinct().collect())) == sorted(map(str, df.distinct().collect())), name
 
 
+def test_span_calls_equal_all_pairs(spark):
+    r = random.Random(3)
+    spans = [(r.choice("fg"), f"s{k}", a := r.randrange(1 << r.choice([8, 16, 24, 34])), r.choice([a, a + r.randrange(1, 1 << r.choice([3, 10, 14, 20, 33])), S.OPEN_END])) for k in range(300)]
+    calls = [(r.choice("fgh"), f"c{k}", r.choice([r.randrange(1 << 35), *(x for s in r.sample(spans, 3) for x in (s[2], s[3] - 1, min(s[3], S.OPEN_END)))])) for k in range(400)]
+    got = S.span_calls(spark.createDataFrame(spans, "file_ticket string, caller_ticket string, ds long, de long"), spark.createDataFrame(calls, "file_ticket string, callee_ticket string, at long"))
+    want = {(s[1], c[1], s[2], c[2]) for s in spans for c in calls if s[0] == c[0] and s[2] <= c[2] < s[3]}
+    assert len(want) > 500 and {tuple(x) for x in got.collect()} == want
+
+
+def test_place_in_long_lines(spark):
+    text = "\n".join(["a" * 9000, "", "  b c\t", "x" * 4095, "y" * 4096, "é" * 3000, "end"])
+    size = len(text.encode())
+    marks = [("f", at) for at in (0, 4095, 4096, 8999, 9000, 9001, 9002, 9005, 13105, 17203, size - 1, size, size + 1)] + [("g", 3), ("f", None)]
+    got = {(x.file_ticket, x.start_byte): (x.line, x.col) for x in S.place(spark.createDataFrame(marks, "file_ticket string, start_byte long"), spark.createDataFrame([("f", text)], "file_ticket string, text string")).collect()}
+    for f, at in marks:
+        known = f == "f" and at is not None and at <= size
+        before = text.encode()[:at] if known else b""
+        assert got[f, at] == ((before.count(b"\n") + 1, at - (before.rfind(b"\n") + 1)) if known else (0, 0))
+
+
+def test_same_name(spark):
+    names = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t1"), ("c", "t3"), ("a", "t4")], "name string, ticket string")
+    assert sorted(map(tuple, N.same_name(names).collect())) == [("a", "t1", 3), ("a", "t2", 3), ("a", "t4", 3)]
+    assert N.same_name(names.limit(0)).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.entries").write_text("\n".join(json.dumps(e) for e in golden()))
+    run = lambda *args: cli.run(spark, [str(a) for a in args])
+    assert run("build", tmp_path / "in", tmp_path / "t") == [f"{tmp_path / 't'} is written"]
+    assert run("def", tmp_path / "t", "ns::g") == [f"{PATH}:11:0  xxxxxxxxx"] and len(run("ref", tmp_path / "t", "ns::g", "--json")) == 2
+    assert [json.loads(x)["name"] for x in run("callgraph", tmp_path / "t", "ns::f", "--depth", 1)] == ["ns::f", "ns::g", "ns::h"]
+    assert json.loads(run("super", tmp_path / "t", "ns::m")[0])["label"] == "ns::bm" and run("ls", tmp_path / "t") == ['{"entry":"c","is_file":false}']
+    assert len(run("names", tmp_path / "t", "ns::", "--limit", 3)) == 3 and len(run("stat", tmp_path / "t")) == 8
+    assert run("name-index", tmp_path / "in", tmp_path / "n") and read_names(spark, str(tmp_path / "n")).count() == 11
+    with pytest.raises(SystemExit):
+        run("def", tmp_path / "t")
+
+
 def test_conflicts(spark):
     rows = [fact(vname("a"), "x", "1"), fact(vname("a"), "x", "2"), fact(vname("b"), "x", "1")]
     e = parse_lines(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"))
@@ -119,14 +169,14 @@ def test_conflicts(spark):
 
 
 def test_tickets(spark):
-    v = spark.createDataFrame([("#init", "android.googlesource.com/platform/superproject", "", "frameworks/native/libs/binder/Parcel.cpp", "c++"), ("sig", "c", "", "", "")], "signature string, corpus string, root string, path string, language string")
+    v = spark.createDataFrame([("#new+", "code.example.org/depot main", "", "lib/net//./socket pool.cc", "c++"), ("only", "k", "", "", "")], "signature string, corpus string, root string, path string, language string")
     got = [r[0] for r in v.select(K.ticket(F.struct("*"))).collect()]
-    assert got == ["kythe://android.googlesource.com/platform/superproject?lang=c%2B%2B?path=frameworks/native/libs/binder/Parcel.cpp#%23init", "kythe://c#sig"]
+    assert got == ["kythe://code.example.org/depot%20main?lang=c%2B%2B?path=lib/net/socket%20pool.cc#%23new%2B", "kythe://k#only"]
     paths = {"a//b/./c/../d": "a/b/d", "/../x": "/x", "": "", "./": ".", "../a": "../a", "a/..": "."}
     assert {r.p: r.c for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", K.clean_path(F.col("p")).alias("c")).collect()} == paths
-    names = {"android.os.Binder.clearCallingIdentity()J": "android.os.Binder.clearCallingIdentity", "android.os.Binder": None}
+    names = {"org.sample.Pump.start([BLorg/sample/Mode;)V": "org.sample.Pump.start", "org.sample.Pump": None}
     assert {r.s: r.d for r in spark.createDataFrame([(s,) for s in names], "s string").select("s", K.strip_descriptor(F.col("s")).alias("d")).collect()} == names
-    assert spark.createDataFrame([("bWV0YQ==",), ("bWV0 YQ",), ("?",)], "s string").select(K.from_base64(F.col("s")).cast("string")).collect() == [("meta",), ("meta",), (None,)]
+    assert spark.createDataFrame([("Z3JhcGg=",), ("Z3Jh cGg",), ("?",)], "s string").select(K.from_base64(F.col("s")).cast("string")).collect() == [("graph",), ("graph",), (None,)]
 
 
 def message(pre="", children=(), joiner="", post="", final=False):
@@ -143,14 +193,14 @@ def test_marked_source():
     assert qualified_name(scope) == "a::b" and qualified_name(b"") is None and qualified_name(b"\xff") is None and qualified_name(None) is None
 
 
-UNIT = {"v_name": vname("u", language="JAVA"), "required_input": [{"v_name": vname("", "bar.h"), "info": {"path": "bar.h", "digest": "abc"}}], "argument": ["a", "-fprofile-sample-use=x", "b"], "source_file": [], "output_key": "o", "working_directory": "/w", "entry_context": "x"}
+UNIT = {"v_name": vname("u", language="JAVA"), "required_input": [{"v_name": vname("", "gear.h"), "info": {"path": "gear.h", "digest": "abc"}}], "argument": ["a", "-fprofile-sample-use=x", "b"], "source_file": [], "output_key": "o", "working_directory": "/w", "entry_context": "x"}
 
 
 def test_unit_codec():
     assert wire.from_proto(wire.to_proto(UNIT)) == UNIT
     assert wire.from_json(json.dumps({"unit": UNIT}).encode()) == UNIT
-    camel = {"vName": UNIT["v_name"], "requiredInput": [{"vName": vname("", "bar.h"), "info": {"path": "bar.h", "digest": "abc"}}], "sourceFile": ["foo.cpp"]}
-    assert wire.from_json(json.dumps({"unit": camel}).encode())["source_file"] == ["foo.cpp"]
+    camel = {"vName": UNIT["v_name"], "requiredInput": [{"vName": vname("", "gear.h"), "info": {"path": "gear.h", "digest": "abc"}}], "sourceFile": ["widget.cc"]}
+    assert wire.from_json(json.dumps({"unit": camel}).encode())["source_file"] == ["widget.cc"]
     with pytest.raises(ValueError):
         wire.from_proto(b"\x0a\xff")
 
@@ -162,7 +212,7 @@ def zipped(tmp_path):
             z.writestr(d, b"")
         z.writestr("root/pbunits/u1", wire.to_proto(UNIT))
         z.writestr("root/units/u1", json.dumps({"unit": UNIT | {"output_key": "twin"}}))
-        other = UNIT | {"v_name": vname("v"), "source_file": ["foo.cpp"], "required_input": [{"v_name": vname(), "info": {"path": "d", "digest": d}} for d in ("abc", "def", "gone")]}
+        other = UNIT | {"v_name": vname("v"), "source_file": ["widget.cc"], "required_input": [{"v_name": vname(), "info": {"path": "d", "digest": d}} for d in ("abc", "def", "gone")]}
         z.writestr("root/units/u2", json.dumps({"unit": other}))
         z.writestr("root/units/bad", b"{nope")
         z.writestr("root/units/sub/deep", b"{}")
@@ -186,9 +236,9 @@ def test_archives(spark, zipped, tmp_path):
 def test_planning(spark, zipped):
     units = archive.read_units(spark, zipped).filter("status = 'ok'")
     done = spark.createDataFrame([("u2",)], "sha string")
-    got = {r.sha: r for r in U.plan(units, done, rules=U.parse_rules(["bar::-new", "bar::a"])).collect()}
-    assert (got["u1"].label, got["u1"].primary_path, got["u1"].argument, got["u1"].skipped) == ("java", "bar.h", ["-new", "a", "b"], None)
-    assert (got["u2"].primary_path, got["u2"].skipped) == ("foo.cpp", "done")
+    got = {r.sha: r for r in U.plan(units, done, rules=U.parse_rules(["gear::-new", "gear::a"])).collect()}
+    assert (got["u1"].label, got["u1"].primary_path, got["u1"].argument, got["u1"].skipped) == ("java", "gear.h", ["-new", "a", "b"], None)
+    assert (got["u2"].primary_path, got["u2"].skipped) == ("widget.cc", "done")
     assert {r.sha: r.skipped for r in U.plan(units, done, langs=("cxx",), include=["zzz"]).collect()} == {"u1": "language", "u2": "path"}
     assert tuple(U.skip_counts(U.plan(units, done)).first()) == (0, 0, 1, 1)
     with pytest.raises(ValueError):
@@ -210,3 +260,6 @@ def test_stream(spark, tmp_path):
     assert names.count() == names.distinct().count() == 11
     write_names(names, str(tmp_path / "names"))
     assert read_names(spark, str(tmp_path / "names")).count() == 11
+    shutil.rmtree(f"{out}/checkpoint")
+    with pytest.raises(FileNotFoundError):
+        index_stream(spark, str(folder), out, resume=True)

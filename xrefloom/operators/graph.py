@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,13 +25,13 @@ class CodeGraph:
     mean the same in every verb; limits are by ticket and role, and at least one row is given.
     """
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.t = tables
+    def __init__(self, tables: dict[str, DataFrame], stored: bool = False):
+        self.t, self.stored = tables, stored
         self.spark = next(iter(tables.values())).sparkSession
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> CodeGraph:
-        return cls({n: spark.read.parquet(f"{folder}/{n}") for n in ("names", "labels", "xrefs", "edges", "facts", "anchors", "files", "call_edges")})
+        return cls({n: spark.read.parquet(f"{folder}/{n}") for n in ("names", "labels", "xrefs", "edges", "facts", "anchors", "files", "call_edges")}, stored=True)
 
     @classmethod
     def from_entries(cls, entries: DataFrame) -> CodeGraph:
@@ -46,7 +48,9 @@ class CodeGraph:
         return df.join(labels, column, "left").withColumn("label", N.label_or_signature(F.col("label"), F.col(column)))
 
     def _items(self, roles: tuple[str, ...], name: str, within: str, without: str, limit: int, section: bool = False, **by) -> DataFrame:
-        found = self.resolve(name, limit=limit, **by)
+        return self._placed(roles, self.resolve(name, limit=limit, **by), within, without, limit, section)
+
+    def _placed(self, roles: tuple[str, ...], found: DataFrame, within: str, without: str, limit: int, section: bool) -> DataFrame:
         rows = self.t["xrefs"].filter(F.col("role").isin(*roles)).join(found.withColumnRenamed("ticket", "target_ticket"), "target_ticket")
         path = F.coalesce(F.nullif("path", F.lit("")), path_of(F.col("item_ticket")))
         rows = rows.withColumn("path", path).filter(keeps(F.col("path"), within, without))
@@ -65,6 +69,23 @@ class CodeGraph:
         """Calling functions (role caller) and the calls' own places (role call), each with a limit of its own."""
         return self._items(("caller", "call"), name, within, without, limit, section=True, **by)
 
+    def cross_references(self, name: str, references: str = "all", definitions: str = "binding", callers: str = "none", within: str = "", without: str = "", limit: int = LIMIT, **by) -> DataFrame:
+        """Chosen kinds of cross-references, each with a limit of its own.
+
+        references: all, call, noncall or none; definitions: all (extents too), binding or none; callers: direct, overrides
+        (also those of the methods that the named ones override or that override them) or none.
+        """
+        refs = {"all": ("reference", "call"), "call": ("call",), "noncall": ("reference",), "none": ()}
+        defs = {"all": ("definition", "extent"), "binding": ("definition",), "none": ()}
+        if references not in refs or definitions not in defs or callers not in ("direct", "overrides", "none"):
+            raise ValueError("unknown kind of cross-references")
+        out = self._items((*refs[references], *defs[definitions], *(("caller",) if callers != "none" else ())), name, within, without, limit, section=True, **by)
+        if callers == "overrides":
+            own = self.resolve(name, limit=limit, **by).withColumnRenamed("ticket", "source_ticket")
+            kin = self.t["edges"].filter(F.col("kind").isin("/kythe/edge/overrides", "%/kythe/edge/overrides")).join(own, "source_ticket").select(F.col("target_ticket").alias("ticket")).distinct()
+            out = out.unionByName(self._placed(("caller",), kin.join(own.withColumnRenamed("source_ticket", "ticket"), "ticket", "left_anti"), within, without, limit, True))
+        return out
+
     def _inheritance(self, name: str, sub: bool, within: str, without: str, limit: int, **by) -> DataFrame:
         kinds = [("%" if sub else "") + k for k in INHERITANCE]
         found = self.resolve(name, limit=limit, **by).withColumnRenamed("ticket", "source_ticket")
@@ -116,12 +137,16 @@ class CodeGraph:
         return rows.select(F.concat(F.lit(base), F.substring_index(rest, "/", 1)).alias("entry"), (~F.contains(rest, F.lit("/"))).alias("is_file")).distinct()
 
     def stat(self) -> DataFrame:
-        """Rows and bytes of the tables' files: one row for each table."""
-        counts = [df.agg(F.lit(n).alias("table"), F.count("*").alias("rows"), F.lit(len(df.inputFiles())).cast("long").alias("files")) for n, df in self.t.items()]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.unionByName(c)
-        return out
+        """Rows, files and bytes of the tables' files: one row for each table; tables that are not stored have no files (0) and null bytes."""
+
+        def row(name: str, df: DataFrame) -> DataFrame:
+            counts = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+            if not self.stored:
+                return counts.select("*", F.lit(0).cast("long").alias("files"), F.lit(None).cast("long").alias("bytes"))
+            file = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+            return counts.crossJoin(file.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes")))  # one row each
+
+        return reduce(DataFrame.unionByName, [row(n, df) for n, df in self.t.items()])
 
 
 def lines_of(rows: DataFrame) -> DataFrame:

@@ -61,6 +61,9 @@ def resolve(names: DataFrame, name: str, substr: bool = False, limit: int = 50,
 
 
 def same_name(names: DataFrame) -> DataFrame:
-    """Pairs of different tickets that share a name (both directions), as between languages."""
-    other = names.select("name", F.col("ticket").alias("other"))
-    return names.join(other, "name").filter("ticket <> other").select("name", "ticket", "other")
+    """Tickets that share a name with others, as between languages: name, ticket, and how many tickets the name has.
+
+    Membership instead of pairs: a name that thousands of symbols have costs one row for each of them.
+    """
+    many = names.groupBy("name").agg(F.count("*").alias("tickets")).filter("tickets > 1")
+    return names.join(many, "name").select("name", "ticket", "tickets")

@@ -10,6 +10,12 @@ from ..functions.tickets import squeeze, ticket
 from ..schema import FACTS, Facts
 
 OPEN_END = (1 << 63) - 1
+#: Lines are cut into blocks of this many bytes (as a power of two), so that a place meets the lines of its own block only.
+LINE_BLOCK = 12
+#: A span is kept under the first of these powers of two that its length does not exceed, in at most two blocks.
+SPAN_BLOCKS = (10, 14, 20, 30, 63)
+#: The column that queries look a table up by.
+LOOKUP = {"edges": "source_ticket", "facts": "ticket", "files": "file_ticket", "anchors": "file_ticket", "call_edges": "caller_ticket", "xrefs": "target_ticket", "names": "name", "labels": "ticket"}
 
 
 def dedup(entries: DataFrame) -> DataFrame:
@@ -52,10 +58,12 @@ def lines(files_: DataFrame) -> DataFrame:
 def place(anchors_: DataFrame, files_: DataFrame) -> DataFrame:
     """Anchors with line (from 1), col (bytes, from 0) and snippet (the trimmed line); 0, 0 and '' where the file or place is unknown.
 
-    An interval join on file and byte range: the file equality keeps it an equi-join with a range condition.
+    An equi-join on file and block of bytes, with the line's range as the rest of the condition: an anchor meets the few
+    lines of its block, however large its file is.
     """
-    ls = lines(files_).withColumnRenamed("file_ticket", "_file")
-    on = (F.col("file_ticket") == F.col("_file")) & (F.col("start_byte") >= F.col("line_start")) & (F.col("start_byte") < F.col("line_end"))
+    blocks = F.sequence(F.shiftright("line_start", LINE_BLOCK), F.shiftright(F.col("line_end") - 1, LINE_BLOCK))
+    ls = lines(files_).withColumnRenamed("file_ticket", "_file").withColumn("_block", F.explode(blocks))
+    on = (F.col("file_ticket") == F.col("_file")) & (F.shiftright("start_byte", LINE_BLOCK) == F.col("_block")) & (F.col("start_byte") >= F.col("line_start")) & (F.col("start_byte") < F.col("line_end"))
     zero = F.lit(0).cast("long")
     return anchors_.join(ls, on, "left").select(*anchors_.columns, F.coalesce("line_number", zero).alias("line"), F.coalesce(F.col("start_byte") - F.col("line_start"), zero).alias("col"), F.coalesce(squeeze(F.col("line_text")), F.lit("")).alias("snippet"))
 
@@ -80,9 +88,9 @@ def anchors(entries: DataFrame, f: Facts = FACTS) -> DataFrame:
 
 
 def role(kind: Column, f: Facts = FACTS) -> Column:
-    """definition, call or reference, from the kind of an anchor's edge; null for others."""
+    """definition, extent (a defining anchor other than the name), call or reference, from the kind of an anchor's edge; null for others."""
     short = lambda k: k.rpartition("edge/")[2]
-    return F.when(kind == short(f.definition), "definition").when(F.contains(kind, F.lit(f.call)), "call").when((kind == short(f.refs)) | F.startswith(kind, F.lit(short(f.refs) + "/")), "reference")
+    return F.when(kind == short(f.definition), "definition").when(kind.isin([short(k) for k in f.defines]), "extent").when(F.contains(kind, F.lit(f.call)), "call").when((kind == short(f.refs)) | F.startswith(kind, F.lit(short(f.refs) + "/")), "reference")
 
 
 def call_edges(anchors_: DataFrame, f: Facts = FACTS) -> DataFrame:
@@ -96,9 +104,27 @@ def call_edges(anchors_: DataFrame, f: Facts = FACTS) -> DataFrame:
 
 
 def span_calls(spans: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls (file_ticket, callee_ticket, at) inside half-open spans (file_ticket, caller_ticket, ds, de), distinct, with callee order."""
-    c = calls.withColumnRenamed("file_ticket", "_file")
-    met = spans.join(c, (F.col("file_ticket") == F.col("_file")) & (F.col("at") >= F.col("ds")) & (F.col("at") < F.col("de")))
+    """Calls (file_ticket, callee_ticket, at) inside half-open spans (file_ticket, caller_ticket, ds, de), distinct, with callee order.
+
+    An equi-join on file and block, where a span's block size follows its length: a call looks in one block of each size
+    and meets the spans that touch it, however many its file has. An empty span holds nothing.
+    """
+    size = F.lit(len(SPAN_BLOCKS) - 1)
+    for k, power in reversed(list(enumerate(SPAN_BLOCKS[:-1]))):
+        size = F.when(F.col("de") - F.col("ds") <= 1 << power, k).otherwise(size)
+
+    def block(at: Column, k: Column) -> Column:
+        out = F.lit(0).cast("long")  # the largest size has one block
+        for n, power in enumerate(SPAN_BLOCKS[:-1]):
+            out = F.when(k == n, F.shiftright(at, power)).otherwise(out)
+        return out
+
+    s = spans.filter("ds < de").withColumn("_size", size)
+    s = s.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("ds"), F.col("_size")), block(F.col("de") - 1, F.col("_size"))))))
+    places = F.array(*(F.struct(F.lit(k).alias("size"), block(F.col("at"), F.lit(k)).alias("block")) for k in range(len(SPAN_BLOCKS))))
+    c = calls.withColumnRenamed("file_ticket", "_file").withColumn("_place", F.explode(places))
+    on = (F.col("file_ticket") == F.col("_file")) & (F.col("_size") == F.col("_place.size")) & (F.col("_block") == F.col("_place.block"))
+    met = s.join(c, on & (F.col("at") >= F.col("ds")) & (F.col("at") < F.col("de")))
     return met.filter("callee_ticket <> ''").groupBy("caller_ticket", "callee_ticket").agg(F.min(F.struct("ds", "at")).alias("first")).select("caller_ticket", "callee_ticket", F.col("first.ds").alias("ds"), F.col("first.at").alias("at"))
 
 
@@ -120,21 +146,21 @@ def first_definitions(xrefs_: DataFrame) -> DataFrame:
     return d.groupBy(F.col("target_ticket").alias("ticket")).agg(F.min(F.struct("file_ticket", "start_byte", "path")).alias("m")).select("ticket", F.col("m.path").alias("path"))
 
 
-def build(entries: DataFrame, folder: str, f: Facts = FACTS) -> None:
-    """Write all serving tables as Parquet below a folder; a table that is there already is an error.
+def put(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write one serving table, which must not be there yet: range-partitioned and sorted by the column that queries look up, so that row-group statistics prune reads."""
+    by = LOOKUP[name]
+    df.repartitionByRange(by).sortWithinPartitions(by).write.mode("errorifexists").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
 
-    Rows are range-partitioned and sorted by the column that queries look up, so that row-group statistics prune reads.
-    """
+
+def build(entries: DataFrame, folder: str, f: Facts = FACTS) -> None:
+    """Write all serving tables as Parquet below a folder; a table that is there already is an error."""
     from .names import labels_of, names_of
 
-    def put(df: DataFrame, name: str, by: str) -> DataFrame:
-        df.repartitionByRange(by).sortWithinPartitions(by).write.mode("errorifexists").parquet(f"{folder}/{name}")
-        return df.sparkSession.read.parquet(f"{folder}/{name}")
-
-    put(edges(entries), "edges", "source_ticket")
-    put(facts(entries), "facts", "ticket")
-    put(files(entries, f), "files", "file_ticket")
-    a = put(anchors(entries, f), "anchors", "file_ticket")
-    calls = put(call_edges(a, f), "call_edges", "caller_ticket")
-    put(xrefs(a, calls, f), "xrefs", "target_ticket")
-    put(labels_of(put(names_of(entries), "names", "name")), "labels", "ticket")
+    put(edges(entries), folder, "edges")
+    put(facts(entries), folder, "facts")
+    put(files(entries, f), folder, "files")
+    a = put(anchors(entries, f), folder, "anchors")
+    calls = put(call_edges(a, f), folder, "call_edges")
+    put(xrefs(a, calls, f), folder, "xrefs")
+    put(labels_of(put(names_of(entries), folder, "names")), folder, "labels")

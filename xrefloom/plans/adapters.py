@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tickets import ticket
-from ..schema import NAMED
+from ..schema import CODE_FACT, FACTS, NAMED, VNAME
 
 CORPUS = "testdata"
 
@@ -125,3 +125,45 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     name = lambda t: F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col(t).cast("string"))
     spans = c.select(F.col("conv_id").alias("file_ticket"), name("turn").alias("caller_ticket"), "ds", "de")
     return spans, c.filter("next is not null").select(F.col("conv_id").alias("file_ticket"), name("next").alias("callee_ticket"), F.col("ds").alias("at"))
+
+
+def _message(*parts: Column) -> Column:
+    """A marked-source message: children with the given texts (short ones), joined by two colons."""
+
+    def field(tag: str, data: Column) -> Column:
+        return F.concat(F.unhex(F.lit(tag)), F.unhex(F.lpad(F.hex(F.octet_length(data)), 2, "0")), data)
+
+    return F.concat(*(field("1A", field("12", p.cast("binary"))) for p in parts), field("22", F.lit("::").cast("binary")))
+
+
+def turn_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as code, in entries: a file with its text for each, and each turn a symbol with a definition over its bytes, a name in a code fact, and a call of the next turn from its own first byte."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    text = F.coalesce("text", F.lit(""))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), (F.octet_length(text) + 1).cast("long").alias("n"), F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("path"))
+    c = c.withColumn("de", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("ds", F.col("de") - F.col("n")).withColumn("next", F.lead("turn").over(by))
+    none, name = F.lit(None).cast("binary"), lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+    def fact(df: DataFrame, source: Column, facts: dict[str, Column]) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.cast("binary").alias("v")) for k, v in facts.items()))
+        return df.select(source.alias("source"), F.explode(pairs).alias("f")).select("source", F.lit(None).cast(VNAME).alias("target"), F.lit("").alias("edge_kind"), F.col("f.k").alias("fact_name"), F.col("f.v").alias("fact_value"))
+
+    def edge(df: DataFrame, source: Column, kind: str, target: Column) -> DataFrame:
+        return df.select(source.alias("source"), target.alias("target"), F.lit(f"/kythe/edge/{kind}").alias("edge_kind"), F.lit("/").alias("fact_name"), none.alias("fact_value"))
+
+    def text_of(n: str) -> Column:
+        return F.col(n).cast("string")
+
+    path = F.col("path")
+    whole = c.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    symbol, nxt = vname("turn", path, name("t", text_of("turn"))), vname("turn", path, name("t", text_of("next")))
+    place, call = vname("turn", path, name("@", text_of("ds"), ":", text_of("de"))), vname("turn", path, name("call@", text_of("ds")))
+    calls = c.filter("next is not null")
+    span = lambda a, b: {FACTS.node_kind: F.lit("anchor"), FACTS.start: a.cast("string"), FACTS.end: b.cast("string")}
+    parts = [
+        fact(whole, vname("", path, F.lit("")), {FACTS.node_kind: F.lit("file"), FACTS.text: F.col("text")}),
+        fact(c, place, span(F.col("ds"), F.col("de"))), fact(calls, call, span(F.col("ds"), F.col("ds") + 1)),
+        fact(c, symbol, {CODE_FACT: _message(name("c", text_of("conv_id")), name("t", text_of("turn")))}),
+        edge(c, place, "defines/binding", symbol), edge(calls, call, "ref/call", nxt),
+    ]
+    return reduce(DataFrame.unionByName, parts)

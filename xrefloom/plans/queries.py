@@ -70,14 +70,25 @@ _ANCHORS = f"""o AS (SELECT * FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_
     UNION ALL SELECT callee_ticket, 'caller', caller_ticket, caller_path, 0 FROM calls)"""
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The adapter graph's tables; they are evaluated by the queries that use them."""
-    a, calls, e = A.anchors(spark, sf_dir), A.supplier_calls(spark, sf_dir), A.entries(spark, sf_dir)
-    own = a.withColumn("role", S.role(F.col("kind"))).select("target_ticket", "role", F.col("anchor_ticket").alias("item_ticket"), "file_ticket", "path", "start_byte", "line", "col", "snippet")
-    zero = F.lit(0).cast("long")
-    by = calls.select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), F.col("caller_ticket").alias("file_ticket"), K.path_of(F.col("caller_ticket")).alias("path"), zero.alias("start_byte"), zero.alias("line"), zero.alias("col"), F.lit("").alias("snippet"))
-    names = N.names_of(e)
-    return CodeGraph({"names": names, "labels": N.labels_of(names), "xrefs": own.unionByName(by), "edges": S.edges(e), "facts": S.facts(e), "anchors": a, "files": A.document_files(spark, sf_dir).drop("doc_id"), "call_edges": calls})
+    """The adapter graph from its serving tables, which the first query of a session over these tables builds in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        folder = f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}"
+        e = A.entries(spark, sf_dir)
+        a, calls = S.put(A.anchors(spark, sf_dir), folder, "anchors"), S.put(A.supplier_calls(spark, sf_dir), folder, "call_edges")
+        own = a.withColumn("role", S.role(F.col("kind"))).select("target_ticket", "role", F.col("anchor_ticket").alias("item_ticket"), "file_ticket", "path", "start_byte", "line", "col", "snippet")
+        zero = F.lit(0).cast("long")
+        by = calls.select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), F.col("caller_ticket").alias("file_ticket"), K.path_of(F.col("caller_ticket")).alias("path"), zero.alias("start_byte"), zero.alias("line"), zero.alias("col"), F.lit("").alias("snippet"))
+        S.put(own.unionByName(by), folder, "xrefs")
+        S.put(N.labels_of(S.put(N.names_of(e), folder, "names")), folder, "labels")
+        for name, df in (("edges", S.edges(e)), ("facts", S.facts(e)), ("files", A.document_files(spark, sf_dir).drop("doc_id"))):
+            S.put(df, folder, name)
+        _built[key] = folder
+    return CodeGraph.load(spark, _built[key])
 
 
 def first_name(spark: SparkSession, sf_dir: str) -> str:
@@ -192,10 +203,9 @@ def j07_resume_anti(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha")).join(done, "sha", "left_anti")
 
 
-@query(f"""WITH {_NAMES} SELECT a.name, a.ticket, b.ticket AS other FROM names a JOIN names b ON a.name = b.name AND a.ticket <> b.ticket WHERE a.name NOT LIKE '%(I)V' AND a.ticket LIKE '%PROMO%'""")
+@query(f"WITH {_NAMES} SELECT name, ticket, tickets FROM (SELECT name, ticket, count(*) OVER (PARTITION BY name) AS tickets FROM names) WHERE tickets > 1")
 def j11_same_name(spark, sf_dir):
-    names = N.names_of(A.entries(spark, sf_dir)).filter("not endswith(name, '(I)V')")
-    return N.same_name(names).filter(F.contains("ticket", F.lit("PROMO")))
+    return N.same_name(N.names_of(A.entries(spark, sf_dir)))
 
 
 @query("SELECT p_partkey AS key, 'catalog/' || p_brand || '/' || p_type AS path FROM part WHERE contains(p_type, 'A') AND NOT contains(p_brand, '3')")
@@ -353,14 +363,70 @@ def b04_place(spark, sf_dir):
     return S.place(marks, files.select("file_ticket", "text")).select("doc_id", "start_byte", "line", "col")
 
 
-@query(f"WITH {_ANCHORS} SELECT role, count(*) AS n, count(DISTINCT ticket) AS tickets FROM xrefs GROUP BY role")
+_CHAT = f"""t AS (SELECT conv_id, turn, text, len, sum(len) OVER w - len AS ds, sum(len) OVER w AS de, lead(turn) OVER w AS nxt, lines - 1 - strlen(text) + strlen(replace(text, chr(10), '')) AS line, {{path}} AS path FROM (
+    SELECT conv_id, turn, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS len, sum(strlen(coalesce(text, '')) - strlen(replace(coalesce(text, ''), chr(10), '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS lines FROM conversations)
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  c AS (SELECT *, {_tick("", "{path}", "")} AS file, {_tick("turn", "{path}", "'t' || turn")} AS symbol, {_tick("turn", "{path}", "'t' || nxt")} AS next_symbol,
+    {_tick("turn", "{path}", "'@' || ds || ':' || de")} AS place, {_tick("turn", "{path}", "'call@' || ds")} AS call FROM t),
+  a AS (SELECT place AS anchor_ticket, file AS file_ticket, path, ds AS start_byte, de AS end_byte, 'defines/binding' AS kind, symbol AS target_ticket, line, text FROM c
+    UNION ALL SELECT call, file, path, ds, ds + 1, 'ref/call', next_symbol, line, text FROM c WHERE nxt IS NOT NULL)""".replace("{path}", "'chat/' || conv_id || '.txt'")
+_HEX = "'1A' || printf('%02X', strlen({0}) + 2) || '12' || printf('%02X', strlen({0})) || hex({0})"
+_CODE = f"{_HEX.format("('c' || conv_id)")} || {_HEX.format("('t' || turn)")} || '22023A3A'"
+
+
+@query(f"""WITH {_CHAT}, f AS (
+    SELECT file AS ticket, '/kythe/node/kind' AS fact_name, hex('file') AS value FROM (SELECT DISTINCT file FROM c)
+    UNION ALL SELECT file, '/kythe/text', hex(string_agg(text, chr(10) ORDER BY turn)) FROM c GROUP BY file
+    UNION ALL SELECT anchor_ticket, '/kythe/node/kind', hex('anchor') FROM a UNION ALL SELECT anchor_ticket, '/kythe/loc/start', hex(CAST(start_byte AS VARCHAR)) FROM a
+    UNION ALL SELECT anchor_ticket, '/kythe/loc/end', hex(CAST(end_byte AS VARCHAR)) FROM a UNION ALL SELECT symbol, '/kythe/code', {_CODE} FROM c)
+  SELECT ticket, fact_name, value FROM f""")
+def b02_facts(spark, sf_dir):
+    return S.facts(A.turn_entries(spark, sf_dir)).select("ticket", "fact_name", F.hex("fact_value").alias("value"))
+
+
+@query(f"""WITH {_CHAT} SELECT anchor_ticket, file_ticket, path, CAST(start_byte AS BIGINT) AS start_byte, CAST(end_byte AS BIGINT) AS end_byte, kind, target_ticket, CAST(line AS BIGINT) AS line, CAST(0 AS BIGINT) AS col,
+    regexp_replace(split_part(text, chr(10), 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS snippet FROM a""")
+def b03_anchors(spark, sf_dir):
+    return S.anchors(A.turn_entries(spark, sf_dir))
+
+
+@query(f"""WITH {_CHAT}, x AS (
+    SELECT target_ticket, CASE kind WHEN 'ref/call' THEN 'call' ELSE 'definition' END AS role, anchor_ticket AS item_ticket, path, start_byte, line FROM a
+    UNION ALL SELECT next_symbol, 'caller', symbol, path, ds, line FROM c WHERE nxt IS NOT NULL)
+  SELECT target_ticket, role, item_ticket, path, CAST(start_byte AS BIGINT) AS start_byte, CAST(line AS BIGINT) AS line FROM x""")
 def b05_xrefs(spark, sf_dir):
-    return graph(spark, sf_dir).t["xrefs"].groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("target_ticket").alias("tickets"))
+    a = S.anchors(A.turn_entries(spark, sf_dir))
+    return S.xrefs(a, S.call_edges(a)).select("target_ticket", "role", "item_ticket", "path", "start_byte", "line")
 
 
-@query(f"WITH {_ANCHORS} SELECT caller_ticket, count(*) AS callees, CAST(min(at_) AS BIGINT) AS first FROM calls GROUP BY caller_ticket")
+@query(f"WITH {_CHAT} SELECT symbol AS caller_ticket, next_symbol AS callee_ticket, CAST(ds AS BIGINT) AS ds, CAST(ds AS BIGINT) AS at FROM c WHERE nxt IS NOT NULL")
 def b06_call_edges(spark, sf_dir):
-    return A.supplier_calls(spark, sf_dir).groupBy("caller_ticket").agg(F.count("*").alias("callees"), F.min("at").alias("first"))
+    return S.call_edges(S.anchors(A.turn_entries(spark, sf_dir)))
+
+
+@query(f"WITH {_CHAT} SELECT file AS file_ticket, 'testdata' AS corpus, path, string_agg(text, chr(10) ORDER BY turn) AS text FROM c GROUP BY file, path")
+def b07_files(spark, sf_dir):
+    return S.files(A.turn_entries(spark, sf_dir))
+
+
+@query(f"WITH {_CHAT} SELECT 'c' || conv_id || '::t' || turn AS name, symbol AS ticket FROM c")
+def u02_code_names(spark, sf_dir):
+    return N.names_of(A.turn_entries(spark, sf_dir))
+
+
+@query(f"WITH {_CHAT} SELECT symbol AS ticket, '/kythe/code' AS fact_name, {_CODE} AS value FROM c WHERE 'c' || conv_id || '::t' || turn = (SELECT min('c' || conv_id || '::t' || turn) FROM c)")
+def v10_nodes(spark, sf_dir):
+    g = CodeGraph.from_entries(A.turn_entries(spark, sf_dir))
+    return g.nodes(g.t["names"].agg(F.min("name")).first()[0] or "").select("ticket", "fact_name", F.hex("fact_value").alias("value"))
+
+
+@query(f"""WITH {_CHAT}, n AS (SELECT count(*) AS t, count(nxt) AS k, count(DISTINCT conv_id) AS f FROM c)
+  SELECT 'names' AS "table", t AS "rows" FROM n UNION ALL SELECT 'labels', t FROM n UNION ALL SELECT 'xrefs', t + 2 * k FROM n UNION ALL SELECT 'edges', 2 * (t + k) FROM n
+  UNION ALL SELECT 'facts', 2 * f + 3 * (t + k) + t FROM n UNION ALL SELECT 'anchors', t + k FROM n UNION ALL SELECT 'files', f FROM n UNION ALL SELECT 'call_edges', k FROM n""")
+def v17_build(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}"
+    S.build(S.dedup(A.turn_entries(spark, sf_dir)), folder)
+    return CodeGraph.load(spark, folder).stat().select("table", "rows")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

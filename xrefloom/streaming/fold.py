@@ -64,6 +64,8 @@ def index_stream(spark: SparkSession, folder: str, out: str, resume: bool = Fals
     """
     if _exists(spark, f"{out}/entries") and not resume:
         raise FileExistsError(f"{out}/entries is there already")
+    if _exists(spark, f"{out}/entries") and not _exists(spark, f"{out}/checkpoint"):
+        raise FileNotFoundError(f"{out}/checkpoint is lost; batches would be numbered anew and replace those of the store")
     limit = ("maxBytesPerTrigger", BATCH_BYTES) if by_bytes else ("maxFilesPerTrigger", BATCH_FILES)
     lines = spark.readStream.option("pathGlobFilter", "*.entries*").option(*limit).text(folder)
     entries = parse_lines(lines, default_corpus)

@@ -29,7 +29,8 @@ def clean_path(p: Column) -> Column:
         return F.when(x.isin("", "."), acc).when(x == "..", F.when(up, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(rooted, acc).otherwise(F.array_append(acc, F.lit("..")))).otherwise(F.array_append(acc, x))
 
     body = F.array_join(F.aggregate(F.split(p, "/"), none, step), "/")
-    return F.when(p == "", "").when(rooted, F.concat(F.lit("/"), body)).when(body == "", ".").otherwise(body)
+    clean = ~F.rlike(p, F.lit(r"(^|/)\.{0,2}(/|$)"))  # most paths: no empty, . or .. piece
+    return F.when((p == "") | clean, p).when(rooted, F.concat(F.lit("/"), body)).when(body == "", ".").otherwise(body)
 
 
 def ticket(v: Column) -> Column:

@@ -91,6 +91,16 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return CodeGraph.load(spark, _built[key])
 
 
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of conversations as code, as an indexer's output: written once in a session, by the first query that needs them."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} chat")
+    if key not in _built:
+        folder = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
+        A.turn_entries(spark, sf_dir).write.parquet(folder)
+        _built[key] = folder
+    return spark.read.parquet(_built[key])
+
+
 def first_name(spark: SparkSession, sf_dir: str) -> str:
     return A.table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0] or ""
 
@@ -151,7 +161,8 @@ def f12_base64(spark, sf_dir):
 @query(f"WITH {_NODES} SELECT ticket, count(*) AS n FROM (SELECT DISTINCT ticket, name FROM nodes) GROUP BY ticket")
 def a01_dedup_entries(spark, sf_dir):
     e = S.dedup(A.entries(spark, sf_dir).filter(K.is_named_edge(F.col("edge_kind"))))
-    return e.groupBy(K.ticket(F.col("source")).alias("ticket")).agg(F.count("*").alias("n"))
+    by_source = e.groupBy("source").agg(F.count("*").alias("n"))  # so that tickets are made once a node
+    return by_source.groupBy(K.ticket(F.col("source")).alias("ticket")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {_NAMES} SELECT name, ticket FROM names")
@@ -381,13 +392,13 @@ _CODE = f"{_HEX.format("('c' || conv_id)")} || {_HEX.format("('t' || turn)")} ||
     UNION ALL SELECT anchor_ticket, '/kythe/loc/end', hex(CAST(end_byte AS VARCHAR)) FROM a UNION ALL SELECT symbol, '/kythe/code', {_CODE} FROM c)
   SELECT ticket, fact_name, value FROM f""")
 def b02_facts(spark, sf_dir):
-    return S.facts(A.turn_entries(spark, sf_dir)).select("ticket", "fact_name", F.hex("fact_value").alias("value"))
+    return S.facts(chat(spark, sf_dir)).select("ticket", "fact_name", F.hex("fact_value").alias("value"))
 
 
 @query(f"""WITH {_CHAT} SELECT anchor_ticket, file_ticket, path, CAST(start_byte AS BIGINT) AS start_byte, CAST(end_byte AS BIGINT) AS end_byte, kind, target_ticket, CAST(line AS BIGINT) AS line, CAST(0 AS BIGINT) AS col,
     regexp_replace(split_part(text, chr(10), 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS snippet FROM a""")
 def b03_anchors(spark, sf_dir):
-    return S.anchors(A.turn_entries(spark, sf_dir))
+    return S.anchors(chat(spark, sf_dir))
 
 
 @query(f"""WITH {_CHAT}, x AS (
@@ -395,28 +406,28 @@ def b03_anchors(spark, sf_dir):
     UNION ALL SELECT next_symbol, 'caller', symbol, path, ds, line FROM c WHERE nxt IS NOT NULL)
   SELECT target_ticket, role, item_ticket, path, CAST(start_byte AS BIGINT) AS start_byte, CAST(line AS BIGINT) AS line FROM x""")
 def b05_xrefs(spark, sf_dir):
-    a = S.anchors(A.turn_entries(spark, sf_dir))
+    a = S.anchors(chat(spark, sf_dir))
     return S.xrefs(a, S.call_edges(a)).select("target_ticket", "role", "item_ticket", "path", "start_byte", "line")
 
 
 @query(f"WITH {_CHAT} SELECT symbol AS caller_ticket, next_symbol AS callee_ticket, CAST(ds AS BIGINT) AS ds, CAST(ds AS BIGINT) AS at FROM c WHERE nxt IS NOT NULL")
 def b06_call_edges(spark, sf_dir):
-    return S.call_edges(S.anchors(A.turn_entries(spark, sf_dir)))
+    return S.call_edges(S.anchors(chat(spark, sf_dir)))
 
 
 @query(f"WITH {_CHAT} SELECT file AS file_ticket, 'testdata' AS corpus, path, string_agg(text, chr(10) ORDER BY turn) AS text FROM c GROUP BY file, path")
 def b07_files(spark, sf_dir):
-    return S.files(A.turn_entries(spark, sf_dir))
+    return S.files(chat(spark, sf_dir))
 
 
 @query(f"WITH {_CHAT} SELECT 'c' || conv_id || '::t' || turn AS name, symbol AS ticket FROM c")
 def u02_code_names(spark, sf_dir):
-    return N.names_of(A.turn_entries(spark, sf_dir))
+    return N.names_of(chat(spark, sf_dir))
 
 
 @query(f"WITH {_CHAT} SELECT symbol AS ticket, '/kythe/code' AS fact_name, {_CODE} AS value FROM c WHERE 'c' || conv_id || '::t' || turn = (SELECT min('c' || conv_id || '::t' || turn) FROM c)")
 def v10_nodes(spark, sf_dir):
-    g = CodeGraph.from_entries(A.turn_entries(spark, sf_dir))
+    g = CodeGraph.from_entries(chat(spark, sf_dir))
     return g.nodes(g.t["names"].agg(F.min("name")).first()[0] or "").select("ticket", "fact_name", F.hex("fact_value").alias("value"))
 
 
@@ -425,7 +436,7 @@ def v10_nodes(spark, sf_dir):
   UNION ALL SELECT 'facts', 2 * f + 3 * (t + k) + t FROM n UNION ALL SELECT 'anchors', t + k FROM n UNION ALL SELECT 'files', f FROM n UNION ALL SELECT 'call_edges', k FROM n""")
 def v17_build(spark, sf_dir):
     folder = f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}"
-    S.build(S.dedup(A.turn_entries(spark, sf_dir)), folder)
+    S.build(S.dedup(chat(spark, sf_dir)), folder)
     return CodeGraph.load(spark, folder).stat().select("table", "rows")
 
 

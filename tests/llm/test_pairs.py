@@ -190,6 +190,18 @@ def test_decontamination_of_tables(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), items).count() == 0
 
 
+def test_shards_change_nothing(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [" ".join(r.choices(vocabulary, weights=[400 / (k + 1) for k in range(400)], k=r.randint(8, 40))) for _ in range(50)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, " ".join([*r.choices(vocabulary, k=r.randint(0, 150)), *texts[k % 50].split()[: r.randint(4, 40)], *r.choices(vocabulary, k=30)])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, parts = (sorted(map(tuple, decontaminate.matches(docs, items, shard_items=n).collect())) for n in (20_000, 7))
+    assert len(whole) > 20 and [x[:2] for x in whole] == [x[:2] for x in parts]
+    assert np.allclose([x[2:] for x in whole], [x[2:] for x in parts])
+
+
 def test_embeddings_of_all_lengths_link(spark):
     rng = np.random.default_rng(11)
     rows, n = [], 0

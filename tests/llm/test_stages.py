@@ -85,6 +85,43 @@ def test_values_before_other_numbers(text, parts):
     assert P.text(f"x {text} y") == (f"x {want} y", [int(k in parts) for k in pii.KINDS])
 
 
+VALUES = {"email": "er.49@mail9.example.com", "phone": "+44 20 7946 0958", "plan phone": PHONE, "card": "4929000000001230", "ip": "93.18.7.201", "ssn": "123-45-6789", "iban": IBAN, "date": "1999-12-31"}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_values_between_any_neighbours(kind):
+    """Wherever a value stands between blanks or signs, it alone is replaced, whatever stands beside it."""
+    v, plan = VALUES[kind], kind
+    kind = kind.split(" ")[-1]
+    v = v if kind != "card" else card(492900000000123)
+    new = getattr(P, kind)(v)
+    bad = []
+    for left in ("", "pay ", "12 ", "2023 ", "AB ", "AB12 ", "1.5 ", "(", "#7 ", "x: ", "\n", "7, ", "'"):
+        for right in ("", " 12", " 737", " PAID", " EUR", " Paid", " 12/25", " x", ".", ",", ")", " 4th", " 1234", "; 5", "\n9", " +", "?"):
+            got, counts = P.text(left + v + right)
+            if plan == "phone" and re.match(r" [\d+]", right):  # no plan tells where this number ends: it is replaced, with what follows or without
+                assert v not in got and counts[pii.KINDS.index("phone")] == 1
+                continue
+            if got != left + new + right or counts != [int(k == kind) for k in pii.KINDS]:
+                bad.append((left, right, got))
+    assert not bad
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    src = "/root/testdata/sf0.001"
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{src}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    names = ["score", "n_email", "_text", "text_hash", "h", "y", "rep", "topic", "factor", "n_tokens", "_key", "_node", "shard", "item_id", "component_id"]
+    docs = spark.read.parquet(f"{src}/documents.parquet").limit(60).selectExpr("*", *(f"{k} as {n}" for k, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert len(set(out.columns)) == len(out.columns) and 0 < out.count() <= 60
+        assert out.columns == docs.columns or name == "mixing"
+        assert {r.score for r in out.collect()} == {0} and {r.rep for r in out.collect()} == {6}
+
+
 def test_values_stay_linked_across_rows(spark):
     c = card(123)
     rows = [(1, f"pay {c}."), (2, f"card: {c}, mail er.49@mail9.example.com"), (3, None), (4, ""), (5, "no data " * 30000), (None, f"{c} 10.1.2.3 1.2.3.4")]

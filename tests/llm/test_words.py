@@ -63,6 +63,46 @@ def test_toxicity_sample_holds_each_text_once(spark, monkeypatch):
     assert told == [(23, [1] * 20 + [400] * 3)]
 
 
+def test_toxicity_equals_plain_ftrl(spark):
+    r = random.Random(2)
+    vocabulary = ["".join(r.choices("abcdefg", k=4)) for _ in range(150)]
+    rows = [(" ".join(r.choices(vocabulary, k=12) + (["vile"] if k % 3 == 0 else [])), int(k % 3 == 0)) for k in range(150)]
+    rows += rows[:20] + [("", 0), ("", 1)]
+    bits, options = 12, {"alpha": 0.8, "beta": 1.0, "l1": 0.4, "l2": 0.02}
+    train = spark.createDataFrame(rows, "text string, y int")
+    model = toxicity.fit(train, bits=bits, shards=1, epochs=2, **options)
+    # the same with dictionaries: one text at a time, in the order of its hash, then shuffled as the operator does
+    order = [x.text for x in train.selectExpr("text", "xxhash64(text) h").distinct().orderBy("h", "text").collect()]
+    y = {t: [b for a, b in rows if a == t] for t in order}
+
+    def feats(t):
+        w = textvec.words(pa.array([t]), ~textvec.ALNUM)
+        h = [int(x) for kind in (w.hash, textvec.ngrams(w, 2, salt=1)[0], textvec.ngrams(w, 2, gaps=(0, 2), salt=2)[0]) for x in kind]
+        return sorted({x >> 64 - bits for x in h})
+
+    z, n, shuffle = collections.Counter(), collections.Counter(), np.random.Generator(np.random.PCG64(7))
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else options["l1"]
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i]) if l1 else z[i]) / ((options["beta"] + math.sqrt(n[i])) / options["alpha"] + options["l2"])
+
+    raw = lambda t: sum(weight(i) for i in [*feats(t), "bias"])
+    for _ in range(2):
+        for k in shuffle.permutation(len(order)):
+            t = order[k]
+            g = len(y[t]) * (1 / (1 + math.exp(-raw(t))) - sum(y[t]) / len(y[t]))
+            step = {i: weight(i) for i in [*feats(t), "bias"]}
+            for i, w in step.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / options["alpha"] * w
+                n[i] += g * g
+    scores = np.array([1 / (1 + math.exp(-raw(t))) for t in order])
+    a, b = toxicity.calibrate(scores, np.array([sum(y[t]) / len(y[t]) for t in order]), np.array([len(y[t]) for t in order]))
+    texts = [*order, "vile", "unknown words here", None, EDGE[7][1]]
+    got = {x.doc_id: x.score for x in toxicity.score(edge(spark, list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - 1 / (1 + math.exp(-(a * raw(t or "") + b)))) < 1e-5
+
+
 def test_ftrl_step_equals_formula():
     m = toxicity.Ftrl(4, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
     z, n = np.zeros(17), np.zeros(17)
@@ -124,6 +164,43 @@ def test_language_sets_do_not_hang_on_neighbours(monkeypatch):
     assert [x[0] for x in together] == [x[0] for x in alone] and alone[2][0] == 3
 
 
+def test_language_equals_plain_inference(spark, langs):
+    d, model = langs
+    rows = [(x.doc_id, x.text) for x in d.select("doc_id", "text").collect()]
+    by = dict(rows)
+    rows += [(7000, " ".join(by[i][:600] for i in list(by)[:4])), (7001, "a"), (7002, ""), (7003, None)]
+    got = {x.doc_id: x for x in language.predict(edge(spark, rows), model).collect()}
+    wrong = 0
+    for i, t in rows:
+        w = [x.lower() for x in re.findall(rb"[A-Za-z\x80-\xff]+", (t or "").encode())]
+        like = []
+        for x in w:
+            cells = [int(((a << 16 | b << 8 | c) * 2654435769 & 0xFFFFFFFF) >> 32 - model["bits"]) for a, b, c in zip(b" " + x, x, x[1:] + b" ")]
+            like.append([sum(float(model["logp"][k, c]) for c in cells) for k in range(len(model["langs"]))])
+        if not w:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        ll = np.array(like)
+        p = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60))
+
+        def em(langs_, p=p, ll=ll):
+            pi = np.array([k in langs_ for k in range(p.shape[1])]) / len(langs_)
+            for _ in range(5):
+                g = p * pi
+                pi = (g / np.maximum(g.sum(1, keepdims=True), 1e-30)).mean(0)
+            return pi, np.log(np.maximum(p @ pi, 1e-30)).sum() + ll.max(1).sum()
+
+        penalty = 0.5 * math.log(len(w))
+        best = (ll.sum(0).max() - penalty, int(ll.sum(0).argmax()), 1.0, 1)
+        ranked = np.argsort(-em(set(range(p.shape[1])))[0], kind="stable")
+        for k in range(2, p.shape[1] + 1):
+            pi, seen = em(set(ranked[:k].tolist()))
+            if seen - k * penalty > best[0]:
+                best = (seen - k * penalty, int(pi.argmax()), float(pi.max()), k)
+        wrong += not (got[i].lang_pred == model["langs"][best[1]] and abs(got[i].score - best[2]) < 1e-3 and got[i].n_langs == best[3])
+    assert wrong <= 0.01 * len(rows)  # likelihoods are kept in 32 bits, so near ties may differ
+
+
 def test_mixture_equals_plain_em():
     r = np.random.Generator(np.random.PCG64(0))
     like = r.random((40, 3)).astype(np.float32)

@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every training passage by block-max WAND.
 
 The index holds the test items, which are few: it is broadcast in shards of at most `shard_items` items, and the texts are
-read once for each shard, so its size in a worker is bounded however many items there are. Every text is cut into
+read once for each shard, so its size in a worker is bounded however many items there are. Document frequencies, the mean
+length and the longest item are those of all items, so results do not hang on the number of shards. Every text is cut into
 overlapping passages, twice as long as the shard's longest item and half a passage apart, so that a copy of an item lies
 whole in some passage. Each passage is a query. An item is retrieved when its BM25 score reaches `share` of the score that
 it gives to its own text. Passages that lack the rarer terms of every item, so that even all of its common terms could not
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import slices, whole_text
+from .common import saved, slices, whole_text
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -40,19 +41,23 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Posting lists of a shard of test items, with impacts, block maxima and thresholds."""
 
-    def __init__(self, ids: list, texts: list[str], share: float):
+    def __init__(self, ids: list, texts: list[str], share: float, whole: dict | None = None):
+        """whole: items, mean length, longest item, and terms with their document frequencies, of all shards together."""
         w = tv.words(pa.array(texts, pa.string()), ~tv.ALNUM)
         own = [w.hash[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
         self.ids = [i for i, x in zip(ids, own, strict=True) if len(x)]
         own = [x for x in own if len(x)]
         self.n = len(own)
-        self.longest = max((len(x) for x in own), default=1)
+        self.longest = whole["longest"] if whole else max((len(x) for x in own), default=1)
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
-        mean = np.mean([len(x) for x in own]) if own else 1.0
+        mean = whole["mean"] if whole else np.mean([len(x) for x in own]) if own else 1.0
+        total = whole["items"] if whole else self.n
         post: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         counts = [np.unique(x, return_counts=True) for x in own]
         df = np.bincount(np.concatenate([np.zeros(0, int), *(np.searchsorted(self.terms, t) for t, _ in counts)]), minlength=len(self.terms))
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+        if whole:
+            df = whole["df"][np.searchsorted(whole["terms"], self.terms)]
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
         self.least = np.zeros(self.n)
         for k, (t, tf) in enumerate(counts):
             at = np.searchsorted(self.terms, t)
@@ -65,12 +70,13 @@ class Index:
         self.top = np.array([x.max() for x in self.impacts])
         blocks = -(-self.n // BLOCK) if self.n else 0
         self.block_least = np.array([self.least[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
-        self.block_top = np.zeros((len(self.terms), blocks), np.float32)
-        for j, (k, x) in enumerate(zip(self.items, self.impacts, strict=True)):
-            np.maximum.at(self.block_top[j], k // BLOCK, x.astype(np.float32) * np.float32(1.000001))
+        self.block_top: list[dict[int, float]] = []  # of each term, the blocks that its list touches
+        for k, x in zip(self.items, self.impacts, strict=True):
+            own_blocks, first = np.unique(k // BLOCK, return_index=True)
+            self.block_top.append(dict(zip(own_blocks.tolist(), (np.maximum.reduceat(x, first) * 1.000001).tolist(), strict=True)))
         # terms so common among items that most passages have them are taken as always present; `rest` is what an item
         # then needs of its other terms, and a tenth of its threshold at least is left for those
-        self.common = df > max(8, 0.05 * self.n)
+        self.common = df > max(8, 0.05 * total)
         self.rest = np.zeros(self.n)
         for k, (t, tf) in enumerate(counts):
             at = np.searchsorted(self.terms, t)
@@ -109,7 +115,7 @@ class Index:
             while pivot + 1 < len(lists) and lists[pivot + 1][1][lists[pivot + 1][0]] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.block_top[x[4], block]) for x in lists[: pivot + 1]) < self.block_least[block]:
+            if sum(self.block_top[x[4]].get(block, 0.0) for x in lists[: pivot + 1]) < self.block_least[block]:
                 # nothing in this block, up to the next list's item, can reach a threshold
                 to = (block + 1) * BLOCK
                 if pivot + 1 < len(lists):
@@ -193,14 +199,37 @@ def _searcher(shared, overlap: float, names: list[str]):
     return search
 
 
+def _lister(batches):
+    """Each item's distinct terms, and one row without a term for its length."""
+    for batch in batches:
+        w = tv.words(batch.column("text"), ~tv.ALNUM)
+        shard = batch.column("shard").to_numpy()
+        doc, h = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, [np.full(len(np.unique(w.hash[a:b])), k) for k, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True))]), (np.uint64, [np.unique(w.hash[a:b]) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)])))
+        yield pa.RecordBatch.from_arrays([pa.array(shard[doc]), pa.array(h.view(np.int64)), pa.array(np.zeros(len(h), np.int64))], ["shard", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.nulls(len(shard), pa.int64()), pa.array(w.counts.astype(np.int64))], ["shard", "h", "n"])
+
+
 def indexes(spark: SparkSession, items: DataFrame, item_id: str = "item_id", item_text: str = "text", share: float = 0.6, shard_items: int = 20_000) -> list:
     """Broadcast indexes of all test items, one for each shard of about shard_items items."""
     items = items.select(F.col(item_id).cast("long").alias("item_id"), whole_text(item_text)).filter("item_id is not null and text <> ''").dropDuplicates()
     shards = max(1, -(-items.count() // shard_items))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    listed = sizes = None
+    if shards > 1:
+        items = saved(items)
+        listed = saved(items.select("shard", "text").mapInArrow(_lister, "shard long, h long, n long"))
+        sizes = listed.filter("n > 0").agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
     made = []
     for k in range(shards):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").toArrow()
-        made.append(spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), share)))
+        own = items.filter(F.col("shard") == k).orderBy("item_id", "text").toArrow()
+        whole = None
+        if listed is not None:
+            terms = listed.filter((F.col("shard") == k) & F.col("h").isNotNull()).select("h").distinct()
+            df = listed.filter("h is not null").groupBy("h").agg(F.count("*").alias("df")).join(terms, "h", "left_semi").toArrow()  # a shard's terms
+            h = df["h"].to_numpy().view(np.uint64)
+            order = np.argsort(h)
+            whole = {"items": sizes["items"], "mean": sizes["mean"] or 1.0, "longest": sizes["longest"] or 1, "terms": h[order], "df": df["df"].to_numpy()[order]}
+        made.append(spark.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), share, whole)))
     return made
 
 

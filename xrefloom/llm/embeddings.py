@@ -152,7 +152,8 @@ def links(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, ra
 def classes(vectors: DataFrame, **options) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links (other vectors linked directly), component_id and kept (vec_id = component_id).
 
-    A vector that links with nothing is its own component. Repeated ids are separate rows of one id. A null id has a null
+    A vector that links with nothing is its own component. Rows that repeat an id all have the most links and the smallest
+    component of the id's vectors. A null id has a null
     component and is kept.
     """
     members, found = links(vectors, **options)
@@ -160,6 +161,7 @@ def classes(vectors: DataFrame, **options) -> DataFrame:
     ends = found.select(F.col("x").alias("rep"), F.col("y").alias("o")).unionByName(found.select(F.col("y").alias("rep"), F.col("x").alias("o")))
     more = ends.join(copies.withColumnsRenamed({"rep": "o", "copies": "c"}), "o").groupBy("rep").agg(F.sum("c").alias("others"))
     ids = components(found, "x", "y").withColumnsRenamed({"id": "rep"})
-    own = members.join(more, "rep", "left").join(ids, "rep", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")).dropDuplicates(["vec_id"])
+    own = members.join(more, "rep", "left").join(ids, "rep", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    own = own.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))  # of an id with several vectors
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(own, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

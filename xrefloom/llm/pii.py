@@ -9,7 +9,8 @@ real date in the same notation, and equal values have equal pseudonyms in every
 run with the key; different values of one format stay different. Numbers that fail validation stay as they are.
 
 The e-mail domain's last label, a phone's country code and IPv4 addresses' special ranges (0, 10, 127 and 224 and above)
-are kept as formats of their own. Whole texts are read in one pass over the rows, without a shuffle.
+are kept as formats of their own. A phone number outside the +1 plan has no fixed length: digits that follow it after a blank
+count as its own. Whole texts are read in one pass over the rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -135,9 +136,10 @@ class Pseudonyms:
         return code + _refill(v[len(code) :], f"{self.f.permute(int(own), 10 ** len(own), f'phone|{code}|{len(own)}'):0{len(own)}d}")
 
     def card(self, v: str) -> str | None:
-        """The last digit is the check digit of the others, which are permuted; all digits equal is no card."""
+        """The last digit is the check digit of the others, which are permuted; all digits equal is no card, nor are single digits beside longer groups."""
         d = _digits(v)
-        if not luhn(d) or len(set(d)) == 1:
+        groups = {len(g) for g in re.split("[ -]", v)}
+        if not luhn(d) or len(set(d)) == 1 or (1 in groups and len(groups) > 1):
             return None
         n = len(d) - 1
 

@@ -295,7 +295,8 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int
         ids = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct()
         wanted = saved(reps.join(ids, "rep", "left_semi").select("rep", "s1", "s2", F.col("least").alias("doc_id")))
         made = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_set_maker(n), "s1 long, s2 long, own binary")
-        whole = saved(made.join(wanted.select("s1", "s2", "rep"), ["s1", "s2"]).select("rep", "own").dropDuplicates(["rep"]))
+        one = made.join(wanted.select("s1", "s2", "rep"), ["s1", "s2"]).dropDuplicates(["s1", "s2"])  # as the join is dealt: no second exchange of sets
+        whole = saved(one.select("rep", "own"))
         met = pairs.join(whole.withColumnsRenamed({"rep": "x", "own": "set_x"}), "x").join(whole.withColumnsRenamed({"rep": "y", "own": "set_y"}), "y")
         return saved(met.select("x", "y", "set_x", "set_y").mapInArrow(_verifier(percent), "x long, y long"))
 

@@ -223,18 +223,24 @@ def _pairer(percent: int):
     return pair
 
 
-def _verifier(percent: int):
+def _verifier(n: int, percent: int):
+    def similar(part: pa.RecordBatch) -> pa.Array:
+        (x, at_x), (y, at_y) = (_sets(part.column(c), n) for c in ("text_x", "text_y"))
+        keep = []
+        for k in range(part.num_rows):
+            a, b = x[at_x[k] : at_x[k + 1]], y[at_y[k] : at_y[k + 1]]
+            both = np.concatenate([a, b])
+            both.sort()
+            same = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * same >= percent * (len(a) + len(b) - same))
+        return pa.array(keep, pa.bool_())
+
     def verify(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("set_x"), batch.column("set_y"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(a) + len(b) - same))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["x", "y"])
+            for long in slices(batch, "text_x"):
+                for part in slices(long, "text_y"):
+                    mask = similar(part)
+                    yield pa.RecordBatch.from_arrays([part.column("x").filter(mask), part.column("y").filter(mask)], ["x", "y"])
 
     return verify
 
@@ -246,14 +252,13 @@ def _sums(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         return [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
 
 
-def _set_maker(n: int):
-    def make(batches):
+def _set_finder(n: int):
+    def find(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                h, bounds = _sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, _sums(h, bounds)), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["s1", "s2", "own"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _sums(*_sets(part.column("text"), n))), part.column("text")], ["s1", "s2", "text"])
 
-    return make
+    return find
 
 
 def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int = 5, percent: int = 80, sketch_bits: int = 22, block: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -271,19 +276,21 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int
     shared = spark.sparkContext.broadcast(cells)
     profile = saved(rows.mapInArrow(_profiler(shared, n, sketch_bits, percent), "doc_id long, n_shingles long, s1 long, s2 long, prefix binary, parts binary"))
     alive = profile.filter("n_shingles > 0 and doc_id is not null")
+    # the one exchange of prefixes: all that follows joins narrow columns, or a saved table that is broadcast while small
     sets = saved(alive.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
     # a set whose smallest id stands for another set already gets a number of its own
-    taken = sets.groupBy("least").agg(F.min(F.struct("s1", "s2")).alias("one"), F.count("*").alias("n")).filter("n > 1").select("least", "one")
+    taken = saved(sets.groupBy("least").agg(F.min(F.struct("s1", "s2")).alias("one"), F.count("*").alias("n")).filter("n > 1").select("least", "one"))
     number = F.xxhash64("least", "s1", "s2").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     own = F.when(F.col("one").isNull() | (F.struct("s1", "s2") == F.col("one")), F.col("least")).otherwise(number)
-    reps = saved(sets.join(taken, "least", "left").select("s1", "s2", "least", own.alias("rep"), "n_shingles", "prefix", "parts"))
+    named = sets.join(taken, "least", "left").withColumn("rep", own)
+    reps = saved(named.select("s1", "s2", "least", "rep", "n_shingles", "parts"))
     documents = profile.select("doc_id", "n_shingles", "s1", "s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
     of_id = documents.filter("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("most")).filter("x < most").select("doc_id", "x")
     same_id = documents.join(of_id, "doc_id").filter("rep > x").select("x", F.col("rep").alias("y")).distinct()
 
-    total = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     segs = 1 << max(4, int(np.ceil(np.log2(total / (4 << 20) + 1))))  # about half a million postings each
-    postings = saved(reps.mapInArrow(_dealer(segs), _POST).repartition(segs, "seg").mapInArrow(_sharer, "h long, rep long, pos int, size int, n long, rep0 long, pos0 int, size0 int"))
+    postings = saved(named.select("rep", "n_shingles", "prefix").mapInArrow(_dealer(segs), _POST).repartition(segs, "seg").mapInArrow(_sharer, "h long, rep long, pos int, size int, n long, rep0 long, pos0 int, size0 int"))
     parts = reps.select("rep", "parts")
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -294,11 +301,11 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct()
         wanted = saved(reps.join(ids, "rep", "left_semi").select("rep", "s1", "s2", F.col("least").alias("doc_id")))
-        made = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_set_maker(n), "s1 long, s2 long, own binary")
-        one = made.join(wanted.select("s1", "s2", "rep"), ["s1", "s2"]).dropDuplicates(["s1", "s2"])  # as the join is dealt: no second exchange of sets
-        whole = saved(one.select("rep", "own"))
-        met = pairs.join(whole.withColumnsRenamed({"rep": "x", "own": "set_x"}), "x").join(whole.withColumnsRenamed({"rep": "y", "own": "set_y"}), "y")
-        return saved(met.select("x", "y", "set_x", "set_y").mapInArrow(_verifier(percent), "x long, y long"))
+        # texts travel, not sets: a text is shorter than the hashes of its shingles, and its set is cut again where pairs meet
+        made = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_set_finder(n), "s1 long, s2 long, text string")
+        whole = saved(made.join(wanted.select("s1", "s2", "rep"), ["s1", "s2"]).dropDuplicates(["s1", "s2"]).select("rep", "text"))
+        met = pairs.join(whole.withColumnsRenamed({"rep": "x", "text": "text_x"}), "x").join(whole.withColumnsRenamed({"rep": "y", "text": "text_y"}), "y")
+        return saved(met.select("x", "y", "text_x", "text_y").mapInArrow(_verifier(n, percent), "x long, y long"))
 
     star = postings.filter((F.col("rep") != F.col("rep0")) & _possible_star(percent)).select(F.col("rep0").alias("x"), F.col("rep").alias("y"))
     tried = saved(candidates(star))

@@ -252,11 +252,43 @@ def _sums(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         return [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
 
 
-def _set_finder(n: int):
+def _place(column: str, log_size: int):
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - log_size)
+
+
+def _bit_setter(batches):
+    """Bits of each block of 65,536 places; all places of a block are in one task."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column("at").to_numpy()
+        for block in np.unique(at >> 16).tolist():
+            blocks.setdefault(block, np.zeros(1 << 16, bool))[at[at >> 16 == block] & 0xFFFF] = True
+    yield pa.RecordBatch.from_pydict({"block": pa.array(list(blocks), pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in blocks.values()], pa.binary())})
+
+
+def id_bits(ids: DataFrame, most: int = 28) -> tuple[np.ndarray, int]:
+    """A bitmap over hashes of doc_id with eight bits or more an id, 2**most bits (32 MB) at the utmost, and the logarithm of its size.
+
+    No id is missed. A fuller bitmap only lets more rows pass to the exact join that follows it.
+    """
+    log_size = min(most, max(16, (8 * ids.count()).bit_length()))
+    got = ids.select(_place("doc_id", log_size).alias("at")).distinct().repartition(64, F.shiftright("at", 16)).mapInArrow(_bit_setter, "block long, bits binary").toArrow()
+    bits = np.zeros(((1 << log_size) >> 16, (1 << 16) // 8), np.uint8)
+    for block, x in zip(got["block"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        bits[block] = np.frombuffer(x, np.uint8)
+    return bits.ravel(), log_size
+
+
+def _set_finder(bitmap, n: int):
+    """Texts whose id is in the bitmap, with the sums of their sets."""
+
     def find(batches):
+        bits = bitmap.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, _sums(*_sets(part.column("text"), n))), part.column("text")], ["s1", "s2", "text"])
+            at = batch.column("at").to_numpy()
+            found = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for part in slices(found, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, _sums(*_sets(part.column("text"), n))), part.column("text")], ["doc_id", "s1", "s2", "text"])
 
     return find
 
@@ -302,8 +334,12 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id", n: int
         ids = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct()
         wanted = saved(reps.join(ids, "rep", "left_semi").select("rep", "s1", "s2", F.col("least").alias("doc_id")))
         # texts travel, not sets: a text is shorter than the hashes of its shingles, and its set is cut again where pairs meet
-        made = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_set_finder(n), "s1 long, s2 long, text string")
-        whole = saved(made.join(wanted.select("s1", "s2", "rep"), ["s1", "s2"]).dropDuplicates(["s1", "s2"]).select("rep", "text"))
+        # only rows of the wanted ids (and the few whose hash meets one of theirs) leave their task; the join decides exactly
+        bits, log_size = id_bits(wanted)
+        bitmap = spark.sparkContext.broadcast(bits)
+        made = rows.select("doc_id", "text", _place("doc_id", log_size).alias("at")).mapInArrow(_set_finder(bitmap, n), "doc_id long, s1 long, s2 long, text string")
+        key = ["doc_id", "s1", "s2"]
+        whole = saved(made.join(wanted.select(*key, "rep"), key).dropDuplicates(key).select("rep", "text"))
         met = pairs.join(whole.withColumnsRenamed({"rep": "x", "text": "text_x"}), "x").join(whole.withColumnsRenamed({"rep": "y", "text": "text_y"}), "y")
         return saved(met.select("x", "y", "text_x", "text_y").mapInArrow(_verifier(n, percent), "x long, y long"))
 

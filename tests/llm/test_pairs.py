@@ -213,3 +213,14 @@ def test_embeddings_of_all_lengths_link(spark):
     rows += [(1000, "a", [1.0] * 5), (1001, "a", [1.0] * 6)]  # alone in their lengths
     got = {r.vec_id: r.component_id for r in embeddings.classes(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert len(got) == n + 2 and all(got[k] == got[k + 1] for k in range(0, n, 2)) and got[1001] == 1001
+
+
+@pytest.mark.parametrize("most", [16, 28])
+def test_id_bits_miss_no_id(spark, most):
+    ids = spark.range(0, 60000, 7).withColumnRenamed("id", "doc_id")
+    bits, log_size = ngram_join.id_bits(ids, most=most)
+    assert len(bits) == 1 << log_size >> 3 and log_size <= most
+    places = [r[0] for r in ids.select(ngram_join._place("doc_id", log_size)).collect()]
+    assert all(bits[p >> 3] >> (7 - (p & 7)) & 1 for p in places)
+    assert np.unpackbits(bits).sum() == len(set(places))
+    assert not ngram_join.id_bits(ids.limit(0))[0].any()

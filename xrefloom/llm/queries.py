@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, token_counts, toxicity
+from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, prefix_trie, repair, token_counts, toxicity
 from .common import bounded_batches, fold, table
 
 #: The key of the registered query's pseudonyms; a real run passes its own secret.
@@ -66,6 +66,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bounded(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: bounded(f) for f in (op1_toxicity, op2_language, op3_embeddings, op4_lm, op5_token_counts, op6_ngram_join, op7_decontaminate, op8_licenses, op9_pii, op10_mixing)}
+    return {f.__name__: bounded(f) for f in (op1_toxicity, op2_language, op3_embeddings, op4_lm, op5_token_counts, op6_ngram_join, op7_decontaminate, op8_licenses, op9_pii, op10_mixing, op12_prefix_trie, op13_repair)}
 
 
 EMBEDDINGS_SQL = """

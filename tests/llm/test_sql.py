@@ -1,4 +1,4 @@
-"""Registered queries against their SQL, on tables with planted near copies."""
+"""Registered queries against their SQL, on tables with planted cases."""
 
 import duckdb
 import numpy as np
@@ -12,7 +12,11 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
-    spark.read.parquet(f"{SF}/documents.parquet").write.parquet(f"{folder}/documents.parquet")
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    notes = ["login = admin\npwd: opensesame1", "password=token: abcdefgh AKIA" + "Q" * 18, "see https://db.example.org/x token = 'abcdef'\n\nhost: db1.internal", "blob wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY for user: root@db"]
+    d.unionByName(spark.createDataFrame([(10_000 + k, t, "en", "notes", len(t)) for k, t in enumerate([*notes, notes[0], ""])], d.schema)).write.parquet(f"{folder}/documents.parquet")
+    c = spark.read.parquet(f"{SF}/conversations.parquet")
+    c.unionByName(spark.createDataFrame([(conv, turn, role, text) for conv in (300, 307, 1205) for turn in (None, 0, 1, 1, 5) for role, text in ((None, "Same."), ("user", None), ("assistant", "Same."))], c.schema)).write.parquet(f"{folder}/conversations.parquet")
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     rng = np.random.default_rng(4)
     rows = [(r.vec_id, r.embedding, r.label) for r in v.collect()]
@@ -25,7 +29,7 @@ def tables(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, tables, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables}/{t}.parquet/*.parquet')")
     got = queries.queries()[name](spark, tables)
     want = con.execute(queries.oracle_sql()[name])

@@ -139,3 +139,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         raise RuntimeError("components did not settle")
     star = work.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return star.unionByName(work.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
+
+
+def crc32_sql(s: str) -> str:
+    """CRC-32 (unsigned) of an ASCII string in DuckDB, bit by bit from the lowest."""
+    bits = f"list_transform(range(8 * length({s})), lambda j: CAST((ascii({s}[1 + j // 8]) >> (j % 8)::INT) & 1 AS BIGINT))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, {0xEDB88320} * (xor(c, b) & 1)), CAST({0xFFFFFFFF} AS BIGINT)), {0xFFFFFFFF})"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import crc32_sql, saved
 
 #: Turns that one task chains; a parameter of the digest, not a limit.
 BLOCK = 1024
@@ -224,3 +224,24 @@ def rebuilt_trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     turns, convs = rebuilt(placed(conversations))
     return trie(turns, convs, block)
+
+
+def duckdb_sql() -> str:
+    """The trie of the table conversations in DuckDB."""
+    return f"""
+WITH named AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 16), left(text, 16), role, text) - 1 AS r FROM named),
+convs AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM own GROUP BY conv_id),
+whole AS (
+  SELECT c.conv_id, 0 AS part, r, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND r < h
+  UNION ALL SELECT conv_id, 1, r, role, text FROM own JOIN convs USING (conv_id) WHERE r >= h),
+steps AS (SELECT conv_id, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), ',') OVER w AS seq, length(text) AS chars FROM whole WINDOW w AS (PARTITION BY conv_id ORDER BY part, r)),
+pre AS (SELECT conv_id, d, seq, coalesce(lag(seq) OVER (PARTITION BY conv_id ORDER BY d), '') AS up, chars FROM steps UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs),
+sizes AS (SELECT conv_id, max(d) AS n FROM pre GROUP BY conv_id),
+grown AS (SELECT seq, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(chars) AS chars, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '') AS ends FROM pre JOIN sizes USING (conv_id) GROUP BY seq, d),
+kids AS (SELECT up AS seq, count(*) AS n FROM grown WHERE d > 0 GROUP BY up),
+nodes AS (SELECT grown.*, coalesce(n, 0) AS n_children FROM grown LEFT JOIN kids USING (seq)),
+above AS (SELECT DISTINCT a.seq AS top, b.seq FROM pre a JOIN pre b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT top AS seq, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM above JOIN nodes USING (seq) GROUP BY top)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, CAST(x.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN sums USING (seq) LEFT JOIN nodes p ON x.d > 0 AND p.seq = x.up"""

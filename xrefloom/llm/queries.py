@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, prefix_trie, repair, token_counts, toxicity
+from . import credentials, decontaminate, embeddings, language, licenses, lm, mixing, ngram_join, pii, prefix_trie, repair, token_counts, toxicity
 from .common import bounded_batches, fold, table
 
 #: The key of the registered query's pseudonyms; a real run passes its own secret.
@@ -66,6 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digests(credentials.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -82,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: bounded(f) for f in (op1_toxicity, op2_language, op3_embeddings, op4_lm, op5_token_counts, op6_ngram_join, op7_decontaminate, op8_licenses, op9_pii, op10_mixing, op12_prefix_trie, op13_repair)}
+    return {f.__name__: bounded(f) for f in (op1_toxicity, op2_language, op3_embeddings, op4_lm, op5_token_counts, op6_ngram_join, op7_decontaminate, op8_licenses, op9_pii, op10_mixing, op11_credentials, op12_prefix_trie, op13_repair)}
 
 
 EMBEDDINGS_SQL = """
@@ -111,4 +115,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low.y, doc_i
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express; the others are tested against brute force or held-out rows in tests/llm."""
-    return {"op3_embeddings": EMBEDDINGS_SQL, "op6_ngram_join": NGRAM_SQL, "op8_licenses": licenses.duckdb_sql()}
+    return {"op3_embeddings": EMBEDDINGS_SQL, "op6_ngram_join": NGRAM_SQL, "op8_licenses": licenses.duckdb_sql(), "op11_credentials": credentials.duckdb_sql(), "op12_prefix_trie": prefix_trie.duckdb_sql(), "op13_repair": repair.duckdb_sql()}

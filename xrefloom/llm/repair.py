@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import crc32_sql
+
 START, SYSTEM, USER, PAIR = range(4)
 DELETE, RESTORE, INSERT, CUT = 2, 1, 5, 5
 #: No state's cost to go exceeds another's by more: two rows are inserted (5 each).
@@ -221,3 +223,51 @@ def repaired(conversations: DataFrame) -> DataFrame:
     own = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return repair(damaged(own))
 
+
+
+def duckdb_sql() -> str:
+    """The repair of the table conversations in DuckDB: the cheapest edits by going over the lattice row by row."""
+    fate = crc32_sql("name")
+    body = "regexp_replace(text, '[ \\t\\n\\v\\f\\r]+$', '')"
+
+    def edit(before: str, cost: str, letter: str, row: str = "") -> str:
+        text = f"coalesce({before}.t || chr(10), '') || {row}" if row else f"{before}.t"
+        return f"CASE WHEN {before} IS NOT NULL THEN {{'c': {before}.c + {cost}, 'a': {before}.a || '{letter}', 't': {text}}} END"
+
+    def put_in(before: str, role: str) -> str:
+        return edit(before, str(INSERT), "I", f"'{role}:'")
+
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    into = {START: [], SYSTEM: [("w0", "s")], USER: [("w0", "u"), ("w1", "u"), ("w3", "u")], PAIR: [("w2", "a")]}
+    stays = f"{CUT} * cut"
+
+    def step(state: int) -> str:
+        out = [edit(f"w{state}", str(DELETE), "D")]
+        for before, initial in into[state]:
+            out.append(f"CASE WHEN NOT gone AND left(role, 1) = '{initial}' THEN {edit(before, stays, 'K', 'role || chr(58) || text')} END")
+            if initial != "s":
+                role = {"u": "user", "a": "assistant"}[initial]
+                out.append(f"CASE WHEN NOT gone THEN {edit(before, f'{RESTORE} + {stays}', 'R', f'{chr(39)}{role}:{chr(39)} || text')} END")
+        return least(*out)
+
+    # inserts before a row: into USER from the three other states, and from there into PAIR
+    more_user = least("v2", *(put_in(f"v{s}", "user") for s in (START, SYSTEM, PAIR)))
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    return f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+fated AS (SELECT conv_id, turn, role, text, {fate} % 20 AS fate FROM named),
+rows_ AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM rows_),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS role_before, {body} AS body FROM placed),
+faulty AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+lattice AS (SELECT conv_id, i, role, text, fault IN ('b', 'd') AS gone, (fault = 't')::INT AS cut FROM faulty),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (role_before IS NOT NULL AND left(role_before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': NULL}}::{kind} AS v0, NULL::{kind} AS v1, NULL::{kind} AS v2, NULL::{kind} AS v3 FROM conversations
+  UNION ALL SELECT conv_id, i + 1, ({step(START)})::{kind}, ({step(SYSTEM)})::{kind}, ({step(USER)})::{kind}, ({step(PAIR)})::{kind} FROM (
+    SELECT *, v0 AS w0, v1 AS w1, {least("v3", put_in("w2", "assistant"))} AS w3 FROM (
+      SELECT walk.*, role, text, gone, cut, {more_user} AS w2 FROM walk JOIN lattice ON lattice.conv_id IS NOT DISTINCT FROM walk.conv_id AND lattice.i = walk.i + 1))),
+ended AS (SELECT walk.conv_id, {least("v0", "v3", put_in("w2", "assistant"))} AS best FROM (SELECT *, {more_user} AS w2 FROM walk) AS walk LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM walk.conv_id WHERE i = coalesce(n, 0))
+SELECT ended.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM ended LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ended.conv_id"""

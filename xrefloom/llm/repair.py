@@ -209,12 +209,13 @@ def repair(rows: DataFrame, block_rows: int = 512, block_bytes: int = 4 << 20) -
     role has no initial. Equal rows of one turn stand next to each other, and all but the first are duplicates. An empty
     table gives an empty table. Further columns are left out.
     """
-    turn = F.struct(F.col("turn").isNotNull(), F.col("turn"))
-    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.octet_length("role").cast("string"), "role", "text"), 256)
-    keyed = rows.withColumn("_key", F.when(~F.col("gone"), key)).withColumn("_turn", turn)
-    # role and text at several turns of a conversation; their rows after the first turn are duplicates
-    several = keyed.filter(~F.col("gone")).groupBy("_key").agg(F.min("_turn").alias("_low"), F.max("_turn").alias("_high")).filter("_low <> _high").select("_key", "_low")
-    marked = keyed.join(several, "_key", "left").select("conv_id", "turn", "role", "text", "gone", F.coalesce(F.col("_turn") > F.col("_low"), F.lit(False)).alias("again"))
+    key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.octet_length("role").cast("string"), "role", "text"), 256))
+    keyed = rows.withColumn("_key", key)
+    # role and text at several turns of a conversation; their rows after the first turn (null comes before all) are duplicates
+    turns = keyed.filter(~F.col("gone")).groupBy("_key").agg(F.min("turn").alias("_low"), F.max("turn").alias("_high"), F.max(F.col("turn").isNull()).alias("_none"))
+    several = turns.filter("_low <> _high or (_none and _low is not null)").select("_key", "_low", "_none")
+    again = (F.col("_none") & F.col("turn").isNotNull()) | (F.col("turn") > F.col("_low"))
+    marked = keyed.join(several, "_key", "left").select("conv_id", "turn", "role", "text", "gone", F.coalesce(again, F.lit(False)).alias("again"))
     return marked.repartition("conv_id").sortWithinPartitions("conv_id", *order()).mapInArrow(_repairer(block_rows, block_bytes), OUT)
 
 

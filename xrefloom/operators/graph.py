@@ -25,13 +25,18 @@ class CodeGraph:
     mean the same in every verb; limits are by ticket and role, and at least one row is given.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], stored: bool = False):
-        self.t, self.stored = tables, stored
+    def __init__(self, tables: dict[str, DataFrame], stored: bool = False, tree: DataFrame | None = None, first: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, steps: dict[str, DataFrame] | None = None):
+        """tables: the serving tables; tree, first, index and steps: what is derived from them (folders, first definitions, substring index, steps of the call graph), where it is stored."""
+        self.t, self.stored, self.index, self.steps = tables, stored, index, steps
+        self.tree = S.tree(tables["files"]) if tree is None else tree
+        self.first = S.first_definitions(tables["xrefs"]) if first is None else first
         self.spark = next(iter(tables.values())).sparkSession
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> CodeGraph:
-        return cls({n: spark.read.parquet(f"{folder}/{n}") for n in ("names", "labels", "xrefs", "edges", "facts", "anchors", "files", "call_edges")}, stored=True)
+        read = lambda n: spark.read.parquet(f"{folder}/{n}")
+        tables = {n: read(n) for n in ("names", "labels", "xrefs", "edges", "facts", "anchors", "files", "call_edges")}
+        return cls(tables, True, read("tree"), read("first_definitions"), (read("grams"), read("gram_counts")), S.steps_of(spark, folder))
 
     @classmethod
     def from_entries(cls, entries: DataFrame) -> CodeGraph:
@@ -41,7 +46,7 @@ class CodeGraph:
         return cls({"names": names, "labels": N.labels_of(names), "xrefs": S.xrefs(a, calls), "edges": S.edges(entries), "facts": S.facts(entries), "anchors": a, "files": S.files(entries), "call_edges": calls})
 
     def resolve(self, name: str, substr: bool = False, limit: int = LIMIT, cap: int = 0, def_in: str = "") -> DataFrame:
-        return N.resolve(self.t["names"], name, substr, limit, cap, S.first_definitions(self.t["xrefs"]) if def_in else None, def_in)
+        return N.resolve(self.t["names"], name, substr, limit, cap, self.first, def_in, self.index)
 
     def labelled(self, df: DataFrame, column: str = "ticket") -> DataFrame:
         labels = self.t["labels"].withColumnRenamed("ticket", column)
@@ -101,14 +106,18 @@ class CodeGraph:
         return self._inheritance(name, True, within, without, limit, **by)
 
     def callgraph(self, name: str, direction: str = "down", depth: int = 3, max_syms: int = 200, root_limit: int = 16, within: str = "", without: str = "", **by) -> DataFrame:
-        forest = callgraph(self.t["call_edges"], self.resolve(name, cap=root_limit, **by), direction, depth, max_syms, within, without)
+        forest = callgraph(self.t["call_edges"], self.resolve(name, cap=root_limit, **by), direction, depth, max_syms, within, without, self.steps)
         return self.labelled(forest).select("id", "parent", "depth", F.col("label").alias("name"), "ticket", path_of(F.col("ticket")).alias("path"))
 
     def identifier(self, name: str, substr: bool = False, limit: int = LIMIT) -> DataFrame:
-        return N.containing(self.t["names"], name, limit) if substr else N.exact(self.t["names"], name)
+        return N.containing(self.t["names"], name, limit, self.index) if substr else N.exact(self.t["names"], name)
 
     def names(self, part: str, limit: int = LIMIT) -> DataFrame:
-        return N.containing(self.t["names"], part, limit)
+        return N.containing(self.t["names"], part, limit, self.index)
+
+    def names_with(self, needles: DataFrame) -> DataFrame:
+        """All (needle, name, ticket) for a table of needles."""
+        return N.containing_any(self.t["names"], needles, self.index)
 
     def edges(self, target: str, kinds: list[str] | None = None) -> DataFrame:
         rows = self.t["edges"].filter(F.col("kind").isin(kinds) if kinds else ~F.col("reverse"))
@@ -130,11 +139,8 @@ class CodeGraph:
     def ls(self, folder: str = "", corpus: str | None = None) -> DataFrame:
         """Corpora, if no corpus is given; else the next path segment of the corpus's files below the folder: entry, is_file."""
         if corpus is None:
-            return self.t["files"].select(F.col("corpus").alias("entry"), F.lit(False).alias("is_file")).distinct()
-        base = folder.strip("/") + "/" if folder.strip("/") else ""
-        rest = F.substring(F.col("path"), len(base) + 1, 1 << 30)
-        rows = self.t["files"].filter((F.col("corpus") == corpus) & F.startswith("path", F.lit(base)))
-        return rows.select(F.concat(F.lit(base), F.substring_index(rest, "/", 1)).alias("entry"), (~F.contains(rest, F.lit("/"))).alias("is_file")).distinct()
+            return self.tree.filter("folder = ''").select(F.col("corpus").alias("entry"), F.lit(False).alias("is_file")).distinct()
+        return self.tree.filter((F.col("corpus") == corpus) & (F.col("folder") == folder.strip("/"))).select("entry", "is_file")
 
     def stat(self) -> DataFrame:
         """Rows, files and bytes of the tables' files: one row for each table; tables that are not stored have no files (0) and null bytes."""
@@ -149,6 +155,16 @@ class CodeGraph:
         return reduce(DataFrame.unionByName, [row(n, df) for n, df in self.t.items()])
 
 
+#: By what a verb's rows are listed, as far as they have it.
+ORDER = ("id", "ticket", "source_ticket", "name", "role", "kind", "ordinal", "rank", "fact_name", "start_byte", "target_ticket", "entry", "table", "item_ticket", "path")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """A verb's rows in their one order: by ticket, role or kind, and rank; rows that are equal in all of these are equal in what is left as well, or ordered by it."""
+    by = [c for c in ORDER if c in rows.columns]
+    return rows.orderBy(*by, *(c for c, kind in rows.dtypes if c not in by and not kind.startswith("map")))
+
+
 def lines_of(rows: DataFrame) -> DataFrame:
     """Result rows as text: path:line:col, two blanks, snippet."""
     return rows.select(F.format_string("%s:%d:%d  %s", "path", "line", "col", "snippet").alias("value"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,8 +17,15 @@ OPEN_END = (1 << 63) - 1
 LINE_BLOCK = 12
 #: A span is kept under the first of these powers of two that its length does not exceed, in at most two blocks.
 SPAN_BLOCKS = (10, 14, 20, 30, 63)
-#: The column that queries look a table up by.
-LOOKUP = {"edges": "source_ticket", "facts": "ticket", "files": "file_ticket", "anchors": "file_ticket", "call_edges": "caller_ticket", "xrefs": "target_ticket", "names": "name", "labels": "ticket"}
+#: The columns that queries look a table up by.
+LOOKUP = {
+    "edges": ("source_ticket",), "facts": ("ticket",), "files": ("file_ticket",), "anchors": ("file_ticket",), "call_edges": ("caller_ticket",), "xrefs": ("target_ticket",), "names": ("name",), "labels": ("ticket",),
+    "grams": ("gram", "name"), "gram_counts": ("gram",), "tree": ("corpus", "folder"), "first_definitions": ("ticket",),
+}
+#: Tables of whole steps of the call graph, kept in buckets of the symbol that a step starts from.
+STEPS = {"calls_down": "down", "calls_up": "up"}
+#: Rows of a bucket, about, and the most buckets of a table; beyond that buckets grow.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 10_000
 
 
 def dedup(entries: DataFrame) -> DataFrame:
@@ -94,13 +104,45 @@ def role(kind: Column, f: Facts = FACTS) -> Column:
 
 
 def call_edges(anchors_: DataFrame, f: Facts = FACTS) -> DataFrame:
-    """Distinct calls (caller_ticket, callee_ticket) with each side's order: calls inside the byte range of a definition.
+    """Distinct calls (caller_ticket, callee_ticket) with each side's order and `direct`: calls inside the byte range of a definition.
 
-    Every definition that holds the call is a caller, an unknown end reaches to the end of the file, definitions without
-    a file are left out. Callees are ranked by definition start, call start and ticket; callers by ticket.
+    Every definition that holds a call has it among its callees; `direct` marks the innermost one, which alone is the
+    call's caller. An unknown end reaches to the end of the file, definitions without a file are left out. Callees are
+    ranked by definition start, call start and ticket; callers by ticket.
     """
     spans = anchors_.filter(F.col("kind").isin([k.rpartition("edge/")[2] for k in f.defines])).filter("file_ticket is not null").select("file_ticket", F.col("target_ticket").alias("caller_ticket"), F.coalesce("start_byte", F.lit(0)).alias("ds"), F.coalesce("end_byte", F.lit(OPEN_END)).alias("de"))
-    return span_calls(spans, anchors_.filter(F.contains("kind", F.lit(f.call))).select("file_ticket", F.col("target_ticket").alias("callee_ticket"), F.coalesce("start_byte", F.lit(0)).alias("at")))
+    calls = anchors_.filter(F.contains("kind", F.lit(f.call))).filter("target_ticket <> ''").select("file_ticket", F.col("target_ticket").alias("callee_ticket"), F.coalesce("start_byte", F.lit(0)).alias("at"))
+    no, yes = F.lit(False).alias("direct"), F.lit(True).alias("direct")
+    both = span_calls(spans, calls).select("*", no).unionByName(innermost_calls(spans, calls).select("caller_ticket", "callee_ticket", "ds", "at", yes))
+    first = both.groupBy("caller_ticket", "callee_ticket").agg(F.min(F.struct("ds", "at")).alias("first"), F.max("direct").alias("direct"))
+    return first.select("caller_ticket", "callee_ticket", F.col("first.ds").alias("ds"), F.col("first.at").alias("at"), "direct")
+
+
+def _size(length: Column) -> Column:
+    """The number of the block size under which a span of this length is kept."""
+    size = F.lit(len(SPAN_BLOCKS) - 1)
+    for k, power in reversed(list(enumerate(SPAN_BLOCKS[:-1]))):
+        size = F.when(length <= 1 << power, k).otherwise(size)
+    return size
+
+
+def _block(at: Column, size: Column) -> Column:
+    out = F.lit(0).cast("long")  # the largest size has one block
+    for n, power in enumerate(SPAN_BLOCKS[:-1]):
+        out = F.when(size == n, F.shiftright(at, power)).otherwise(out)
+    return out
+
+
+def _span_cells(spans: DataFrame) -> DataFrame:
+    """Spans with their size `_size`, once for each of the at most two blocks `_block` that they touch; an empty span touches none."""
+    s = spans.filter("ds < de").withColumn("_size", _size(F.col("de") - F.col("ds")))
+    return s.withColumn("_block", F.explode(F.array_distinct(F.array(_block(F.col("ds"), F.col("_size")), _block(F.col("de") - 1, F.col("_size"))))))
+
+
+def _call_cells(calls: DataFrame) -> DataFrame:
+    """Calls, once for each block size, with the block that holds them."""
+    places = F.array(*(F.struct(F.lit(k).alias("size"), _block(F.col("at"), F.lit(k)).alias("block")) for k in range(len(SPAN_BLOCKS))))
+    return calls.withColumn("_place", F.explode(places)).select(*calls.columns, F.col("_place.size").alias("_size"), F.col("_place.block").alias("_block"))
 
 
 def span_calls(spans: DataFrame, calls: DataFrame) -> DataFrame:
@@ -109,34 +151,59 @@ def span_calls(spans: DataFrame, calls: DataFrame) -> DataFrame:
     An equi-join on file and block, where a span's block size follows its length: a call looks in one block of each size
     and meets the spans that touch it, however many its file has. An empty span holds nothing.
     """
-    size = F.lit(len(SPAN_BLOCKS) - 1)
-    for k, power in reversed(list(enumerate(SPAN_BLOCKS[:-1]))):
-        size = F.when(F.col("de") - F.col("ds") <= 1 << power, k).otherwise(size)
-
-    def block(at: Column, k: Column) -> Column:
-        out = F.lit(0).cast("long")  # the largest size has one block
-        for n, power in enumerate(SPAN_BLOCKS[:-1]):
-            out = F.when(k == n, F.shiftright(at, power)).otherwise(out)
-        return out
-
-    s = spans.filter("ds < de").withColumn("_size", size)
-    s = s.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("ds"), F.col("_size")), block(F.col("de") - 1, F.col("_size"))))))
-    places = F.array(*(F.struct(F.lit(k).alias("size"), block(F.col("at"), F.lit(k)).alias("block")) for k in range(len(SPAN_BLOCKS))))
-    c = calls.withColumnRenamed("file_ticket", "_file").withColumn("_place", F.explode(places))
-    on = (F.col("file_ticket") == F.col("_file")) & (F.col("_size") == F.col("_place.size")) & (F.col("_block") == F.col("_place.block"))
-    met = s.join(c, on & (F.col("at") >= F.col("ds")) & (F.col("at") < F.col("de")))
+    met = _span_cells(spans).join(_call_cells(calls), ["file_ticket", "_size", "_block"]).filter("at >= ds and at < de")
     return met.filter("callee_ticket <> ''").groupBy("caller_ticket", "callee_ticket").agg(F.min(F.struct("ds", "at")).alias("first")).select("caller_ticket", "callee_ticket", F.col("first.ds").alias("ds"), F.col("first.at").alias("at"))
 
 
+def _sweep(batches):
+    """Of each cell's spans and calls by place: every call with the innermost span around it, by a stack of the spans that have begun.
+
+    A span that has ended goes once it is on top, so the top is the latest start among those that go on.
+    """
+    cell, stack = None, []
+    names = ["file_ticket", "callee_ticket", "at", "caller_ticket", "ds", "de"]
+    for b in batches:
+        out = []
+        for file, size, block, at, end, ticket_ in zip(*(b.column(c).to_pylist() for c in ("file_ticket", "_size", "_block", "pos", "end", "ticket")), strict=True):
+            if cell != (file, size, block):
+                cell, stack = (file, size, block), []
+            if end is not None:
+                stack.append((ticket_, at, end))
+                continue
+            while stack and stack[-1][2] <= at:
+                stack.pop()
+            if stack:
+                out.append((file, ticket_, at, *stack[-1]))
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n.endswith("ticket") else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+
+def innermost_calls(spans: DataFrame, calls: DataFrame) -> DataFrame:
+    """Each call (file_ticket, callee_ticket, at) that a span holds, once, with its innermost span (caller_ticket, ds, de).
+
+    Innermost is the latest start, then the earliest end, then the smallest ticket. Spans and calls meet in cells of a file,
+    a block size and a block; a sweep over each cell with a stack finds one candidate a cell, so nesting multiplies nothing;
+    of a call's candidates (one for each block size) the innermost stays. A task holds the stack of one cell.
+    """
+    begun = _span_cells(spans).select("file_ticket", "_size", "_block", F.col("ds").alias("pos"), F.col("de").alias("end"), F.col("caller_ticket").alias("ticket"))
+    asked = _call_cells(calls).select("file_ticket", "_size", "_block", F.col("at").alias("pos"), F.lit(None).cast("long").alias("end"), F.col("callee_ticket").alias("ticket"))
+    cell = ["file_ticket", "_size", "_block"]
+    # at one place spans come before calls, and the longest of them and largest ticket first
+    events = begun.unionByName(asked).repartition(*cell).sortWithinPartitions(*cell, "pos", F.col("end").desc_nulls_last(), F.col("ticket").desc())
+    found = events.mapInArrow(_sweep, "file_ticket string, callee_ticket string, at long, caller_ticket string, ds long, de long")
+    best = found.groupBy("file_ticket", "callee_ticket", "at").agg(F.min(F.struct((-F.col("ds")).alias("n"), "de", "caller_ticket", "ds")).alias("b"))
+    return best.select("file_ticket", "callee_ticket", "at", "b.caller_ticket", "b.ds", "b.de")
+
+
 def xrefs(anchors_: DataFrame, calls: DataFrame, f: Facts = FACTS) -> DataFrame:
     """Cross-references in long form: target_ticket, role, item_ticket, and the place (path, line, col, snippet, file_ticket, start_byte).
 
-    Roles: definition, reference, call (the call's place), caller (the calling function's definition).
+    Roles: definition, reference, call (the call's place), caller (the definition of the innermost function that calls).
     """
     place_ = ["file_ticket", "path", "start_byte", "line", "col", "snippet"]
     own = anchors_.withColumn("role", role(F.col("kind"), f)).filter("role is not null").select("target_ticket", "role", F.col("anchor_ticket").alias("item_ticket"), *place_)
     at = own.filter("role = 'definition'").select(F.col("target_ticket").alias("caller_ticket"), *place_)
-    callers = calls.select("caller_ticket", "callee_ticket").join(at, "caller_ticket").select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), *place_)
+    callers = calls.filter("direct").select("caller_ticket", "callee_ticket").join(at, "caller_ticket").select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), *place_)
     return own.unionByName(callers).distinct()
 
 
@@ -146,13 +213,52 @@ def first_definitions(xrefs_: DataFrame) -> DataFrame:
     return d.groupBy(F.col("target_ticket").alias("ticket")).agg(F.min(F.struct("file_ticket", "start_byte", "path")).alias("m")).select("ticket", F.col("m.path").alias("path"))
 
 
+def tree(files_: DataFrame) -> DataFrame:
+    """The folders of files: corpus, folder (without a slash at its end; the top one is empty), entry (whole path) and is_file, once for each folder and entry."""
+    parts = F.split("path", "/")
+    upto = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    n = F.size(parts)
+    steps = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.when(k == 1, F.lit("")).otherwise(upto(k - 1)).alias("folder"), upto(k).alias("entry"), (k == n).alias("is_file")))
+    return files_.select("corpus", F.explode(steps).alias("s")).select("corpus", "s.folder", "s.entry", "s.is_file").distinct()
+
+
 def put(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write one serving table, which must not be there yet: range-partitioned and sorted by the column that queries look up, so that row-group statistics prune reads."""
+    """Write one serving table, which must not be there yet: range-partitioned and sorted by the columns that queries look up, so that row-group statistics prune reads."""
     by = LOOKUP[name]
-    df.repartitionByRange(by).sortWithinPartitions(by).write.mode("errorifexists").parquet(f"{folder}/{name}")
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("errorifexists").parquet(f"{folder}/{name}")
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
+def _table_name(folder: str, name: str) -> str:
+    return f"{name}_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+
+
+def put_steps(calls: DataFrame, folder: str) -> None:
+    """Write the steps of the call graph in both directions, each bucketed and sorted by the symbol that it starts from, so that a level of a walk reads the buckets of its own symbols only."""
+    from .walk import neighbours
+
+    buckets = max(1, min(MOST_BUCKETS, -(-calls.count() // BUCKET_ROWS)))
+    calls.sparkSession.range(1).select(F.lit(buckets).alias("n")).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/buckets")
+    for name, direction in STEPS.items():
+        steps = neighbours(calls, direction)
+        # one task a bucket, so that each bucket is one file
+        steps.repartition(buckets, "at").write.mode("errorifexists").bucketBy(buckets, "at").sortBy("at").option("path", f"{folder}/{name}").saveAsTable(_table_name(folder, name))
+
+
+def steps_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The written steps; a session that did not write them declares their buckets anew."""
+    out = {}
+    for name, direction in STEPS.items():
+        own = _table_name(folder, name)
+        if not spark.catalog.tableExists(own):
+            plain = spark.read.parquet(f"{folder}/{name}")
+            buckets = spark.read.parquet(f"{folder}/buckets").first()["n"]
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+            spark.sql(f"CREATE TABLE {own} ({columns}) USING parquet CLUSTERED BY (`at`) SORTED BY (`at`) INTO {buckets} BUCKETS LOCATION '{folder}/{name}'")
+        out[direction] = spark.table(own)
+    return out
+
+
 def build(entries: DataFrame, folder: str, f: Facts = FACTS) -> None:
     """Write all serving tables as Parquet below a folder; a table that is there already is an error."""
     from .names import labels_of, names_of
@@ -164,3 +270,15 @@ def build(entries: DataFrame, folder: str, f: Facts = FACTS) -> None:
     calls = put(call_edges(a, f), folder, "call_edges")
     put(xrefs(a, calls, f), folder, "xrefs")
     put(labels_of(put(names_of(entries), folder, "names")), folder, "labels")
+    derive(entries.sparkSession, folder)
+
+
+def derive(spark: SparkSession, folder: str) -> None:
+    """Write the tables that are made from other serving tables: the substring index, folders, first definitions and the call graph's steps."""
+    from .names import gram_counts, grams_of
+
+    stored = lambda name: spark.read.parquet(f"{folder}/{name}")
+    put(gram_counts(put(grams_of(stored("names")), folder, "grams")), folder, "gram_counts")
+    put(tree(stored("files").select("corpus", "path")), folder, "tree")
+    put(first_definitions(stored("xrefs")), folder, "first_definitions")
+    put_steps(stored("call_edges"), folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .units import keeps
 #: Walks of at most so many symbols keep their levels on the driver and look the next one up by value.
 FEW = 2000
 FOREST = "id long, parent long, depth long, ticket string"
+_own: list[str] = []
 
 
 def _cut(df: DataFrame, folder: str) -> DataFrame:
@@ -23,11 +25,18 @@ def _cut(df: DataFrame, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, which all executors must share; a session without one is an error."""
+    """The folder that the session names in spark.checkpoint.dir, which all executors must share.
+
+    A session in one local process may do without one and gets a folder of its own; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="walk-"))
+    return _own[0]
 
 
 def neighbours(calls: DataFrame, direction: str) -> DataFrame:

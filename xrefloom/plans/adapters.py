@@ -127,6 +127,28 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spans, c.filter("next is not null").select(F.col("conv_id").alias("file_ticket"), name("next").alias("callee_ticket"), F.col("ds").alias("at"))
 
 
+def nested_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of turns inside turns: every second turn is a definition that goes on over as many turns as the lowest set bit of its number in the conversation; every turn calls the next from its own first byte."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    n = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_ticket"), "turn", n.alias("n"), F.row_number().over(by).alias("i"), F.lead("turn").over(by).alias("next"), F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("de"), F.count("*").over(Window.partitionBy("conv_id")).alias("turns"))
+    ends = c.select("file_ticket", F.col("i").cast("long").alias("last"), F.col("de").alias("end_byte"))
+    name = lambda t: F.concat_ws(":", F.lit("turn"), "file_ticket", F.col(t).cast("string"))
+    last = F.least(F.col("turns"), (F.col("i") + F.col("i").bitwiseAND(-F.col("i")) - 1).cast("long"))
+    defs = c.filter("i % 2 = 0").withColumn("last", last).join(ends, ["file_ticket", "last"]).select("file_ticket", F.lit("defines/binding").alias("kind"), name("turn").alias("target_ticket"), (F.col("de") - F.col("n")).alias("start_byte"), "end_byte")
+    calls = c.filter("next is not null").select("file_ticket", F.lit("ref/call").alias("kind"), name("next").alias("target_ticket"), (F.col("de") - F.col("n")).alias("start_byte"), (F.col("de") - F.col("n") + 1).alias("end_byte"))
+    return defs.unionByName(calls)
+
+
+def length_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name edges of documents as symbols: the language is the document's, the corpus its source, the name its length."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("language"), F.coalesce("source", F.lit("")).alias("corpus"), F.coalesce(F.col("n_chars").cast("string"), F.lit("")).alias("name"))
+    blank = F.lit("")
+    own = F.struct(F.lit("doc").alias("signature"), "corpus", blank.alias("root"), F.col("doc_id").cast("string").alias("path"), "language")
+    name = F.struct(F.col("name").alias("signature"), "corpus", blank.alias("root"), blank.alias("path"), F.lit("jvm").alias("language"))
+    return d.filter("name <> ''").select(own.alias("source"), name.alias("target"), F.lit(NAMED).alias("edge_kind"), F.lit("/").alias("fact_name"), F.lit(None).cast("binary").alias("fact_value"))
+
+
 def _message(*parts: Column) -> Column:
     """A marked-source message: children with the given texts (short ones), joined by two colons."""
 

@@ -87,6 +87,7 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
         S.put(N.labels_of(S.put(N.names_of(e), folder, "names")), folder, "labels")
         for name, df in (("edges", S.edges(e)), ("facts", S.facts(e)), ("files", A.document_files(spark, sf_dir).drop("doc_id"))):
             S.put(df, folder, name)
+        S.derive(spark, folder)
         _built[key] = folder
     return CodeGraph.load(spark, _built[key])
 
@@ -101,6 +102,16 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_built[key])
 
 
+def event_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The events' calls and the steps of their graph in buckets: written once in a session, by the first query that needs them."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} events")
+    if key not in _built:
+        folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+        S.put_steps(S.put(A.event_calls(spark, sf_dir), folder, "call_edges"), folder)
+        _built[key] = folder
+    return spark.read.parquet(f"{_built[key]}/call_edges"), S.steps_of(spark, _built[key])
+
+
 def first_name(spark: SparkSession, sf_dir: str) -> str:
     return A.table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0] or ""
 
@@ -196,7 +207,7 @@ def j02_substr(spark, sf_dir):
 
 @query(f"WITH {_NAMES} SELECT r_name AS needle, name, ticket FROM names JOIN region ON contains(name, r_name)")
 def j02_substr_bulk(spark, sf_dir):
-    return N.containing_any(N.names_of(A.entries(spark, sf_dir)), A.table(spark, sf_dir, "region").select(F.col("r_name").alias("needle")))
+    return graph(spark, sf_dir).names_with(A.table(spark, sf_dir, "region").select(F.col("r_name").alias("needle")))
 
 
 _TURNS = """c AS (SELECT conv_id, turn, strlen(coalesce(text, '')) + 1 AS n FROM conversations),
@@ -219,6 +230,15 @@ def j11_same_name(spark, sf_dir):
     return N.same_name(N.names_of(A.entries(spark, sf_dir)))
 
 
+@query(f"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS language, coalesce(source, '') AS source, coalesce(CAST(n_chars AS VARCHAR), '') AS name FROM documents),
+  m AS (SELECT DISTINCT 'kythe://' || {_enc("source")} || '?lang=jvm#' || {_enc("name")} AS name_ticket, 'kythe://' || {_enc("source")} || '?lang=' || {_enc("language")} || '?path=' || doc_id || '#doc' AS ticket, language FROM d WHERE name <> ''),
+  k AS (SELECT name_ticket, count(*) AS tickets, count(DISTINCT language) AS languages FROM m GROUP BY name_ticket HAVING count(DISTINCT language) > 1)
+  SELECT name_ticket, ticket, language, tickets, languages FROM m JOIN k USING (name_ticket)""")
+def j11_bridge(spark, sf_dir):
+    """Documents as symbols in their language and a corpus of their source; their length is the node that their name edge leads to."""
+    return N.bridge(A.length_names(spark, sf_dir)).filter("language <> 'jvm'")
+
+
 @query("SELECT p_partkey AS key, 'catalog/' || p_brand || '/' || p_type AS path FROM part WHERE contains(p_type, 'A') AND NOT contains(p_brand, '3')")
 def p01_path_filter(spark, sf_dir):
     paths = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat_ws("/", F.lit("catalog"), "p_brand", "p_type").alias("path"))
@@ -301,24 +321,27 @@ _EVENTS = f"""SELECT {_event("event_type")} AS caller_ticket, {_event("nxt")} AS
 _ROOTS = "SELECT min(caller_ticket) AS ticket FROM e UNION SELECT max(caller_ticket) FROM e"
 
 
-def _walk(calls: DataFrame, direction: str, depth: int, max_syms: int) -> DataFrame:
+def _walk(calls: DataFrame, direction: str, depth: int, max_syms: int, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     ends = calls.agg(F.array(F.min("caller_ticket"), F.max("caller_ticket")).alias("t")).select(F.explode("t").alias("ticket")).filter("ticket is not null")
-    return callgraph(calls, ends, direction, depth, max_syms).select("id", "parent", "depth", "ticket")
+    return callgraph(calls, ends, direction, depth, max_syms, stored=stored).select("id", "parent", "depth", "ticket")
 
 
 @query(_bfs_sql(_EVENTS, _ROOTS, 3, 200, "up"))
 def v06_callgraph_up(spark, sf_dir):
-    return _walk(A.event_calls(spark, sf_dir), "up", 3, 200)
+    calls, steps = event_steps(spark, sf_dir)
+    return _walk(calls, "up", 3, 200, steps)
 
 
 @query(_bfs_sql(_EVENTS, _ROOTS, 3, 200, "down"))
 def v06_callgraph_down(spark, sf_dir):
-    return _walk(A.event_calls(spark, sf_dir), "down", 3, 200)
+    calls, steps = event_steps(spark, sf_dir)
+    return _walk(calls, "down", 3, 200, steps)
 
 
 @query(_bfs_sql("SELECT * FROM calls", _ROOTS, 2, 200, "both", before=f"{_ANCHORS}, "))
 def v06_callgraph_both(spark, sf_dir):
-    return _walk(A.supplier_calls(spark, sf_dir), "both", 2, 200)
+    g = graph(spark, sf_dir)
+    return _walk(g.t["call_edges"], "both", 2, 200, g.steps)
 
 
 @query(f"WITH {_NAMES} SELECT name, ticket FROM names WHERE name = (SELECT min(s_name) FROM supplier)")
@@ -410,11 +433,24 @@ def b05_xrefs(spark, sf_dir):
     return S.xrefs(a, S.call_edges(a)).select("target_ticket", "role", "item_ticket", "path", "start_byte", "line")
 
 
-@query(f"WITH {_CHAT} SELECT symbol AS caller_ticket, next_symbol AS callee_ticket, CAST(ds AS BIGINT) AS ds, CAST(ds AS BIGINT) AS at FROM c WHERE nxt IS NOT NULL")
+@query(f"WITH {_CHAT} SELECT symbol AS caller_ticket, next_symbol AS callee_ticket, CAST(ds AS BIGINT) AS ds, CAST(ds AS BIGINT) AS at, true AS direct FROM c WHERE nxt IS NOT NULL")
 def b06_call_edges(spark, sf_dir):
     return S.call_edges(S.anchors(chat(spark, sf_dir)))
 
 
+_NESTED = """c AS (SELECT conv_id AS file, turn, lead(turn) OVER w AS nxt, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, sum(strlen(coalesce(text, '')) + 1) OVER w AS de, strlen(coalesce(text, '')) + 1 AS len
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  d AS (SELECT a.file, a.turn, a.de - a.len AS ds, b.de FROM c a JOIN c b ON a.file = b.file AND b.i = least(a.n, a.i + (a.i & -a.i) - 1) WHERE a.i % 2 = 0),
+  m AS (SELECT 'turn:' || d.file || ':' || d.turn AS caller_ticket, 'turn:' || c.file || ':' || nxt AS callee_ticket, d.ds, c.de - c.len AS at_,
+      row_number() OVER (PARTITION BY c.file, c.i ORDER BY d.ds DESC, d.de, d.turn) = 1 AS direct FROM c JOIN d ON c.file = d.file AND c.de - c.len >= d.ds AND c.de - c.len < d.de WHERE nxt IS NOT NULL)"""
+
+
+@query(f"WITH {_NESTED} SELECT caller_ticket, callee_ticket, CAST(min(ds) AS BIGINT) AS ds, CAST(min(at_) AS BIGINT) AS at, bool_or(direct) AS direct FROM m GROUP BY caller_ticket, callee_ticket")
+def b06_nested_calls(spark, sf_dir):
+    """Definitions inside definitions: each call has all that hold it as callers down, and one direct caller."""
+    return S.call_edges(A.nested_turns(spark, sf_dir))
+
+
 @query(f"WITH {_CHAT} SELECT file AS file_ticket, 'testdata' AS corpus, path, string_agg(text, chr(10) ORDER BY turn) AS text FROM c GROUP BY file, path")
 def b07_files(spark, sf_dir):
     return S.files(chat(spark, sf_dir))

@@ -1,13 +1,20 @@
 """Entries to answers on a small graph with known results; archives, streaming and planning."""
 
 import base64
+import hashlib
 import json
+import posixpath
 import random
+import re
 import shutil
 import zipfile
+from urllib.parse import quote
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from xrefloom import __main__ as cli
 from xrefloom.functions import tickets as K
@@ -16,6 +23,7 @@ from xrefloom.operators import names as N
 from xrefloom.operators import serving as S
 from xrefloom.operators import units as U
 from xrefloom.operators.graph import CodeGraph, lines_of
+from xrefloom.schema import UNIT
 from xrefloom.sources import archive, wire
 from xrefloom.sources.entries import parse_lines, read_names, write_names
 from xrefloom.streaming.fold import index_stream
@@ -168,15 +176,44 @@ def test_conflicts(spark):
     assert [r["values"] for r in S.conflicts(e).collect()] == [2]
 
 
+def escaped(text, keep=""):
+    return quote(text, safe="-_.~" + keep)
+
+
+def cleaned(path):
+    return posixpath.normpath("/" + path.lstrip("/") if path.startswith("/") else path) if path else ""
+
+
+def written(v):
+    """A ticket, written out anew."""
+    parts = [("lang", escaped(v["language"])), ("path", escaped(cleaned(v["path"]), "/")), ("root", escaped(v["root"], "/"))]
+    return "kythe:" + ("//" + escaped(v["corpus"], "/") if v["corpus"] else "") + "".join(f"?{k}={x}" for k, x in parts if x) + (f"#{escaped(v['signature'])}" if v["signature"] else "")
+
+
 def test_tickets(spark):
-    v = spark.createDataFrame([("#new+", "code.example.org/depot main", "", "lib/net//./socket pool.cc", "c++"), ("only", "k", "", "", "")], "signature string, corpus string, root string, path string, language string")
-    got = [r[0] for r in v.select(K.ticket(F.struct("*"))).collect()]
-    assert got == ["kythe://code.example.org/depot%20main?lang=c%2B%2B?path=lib/net/socket%20pool.cc#%23new%2B", "kythe://k#only"]
-    paths = {"a//b/./c/../d": "a/b/d", "/../x": "/x", "": "", "./": ".", "../a": "../a", "a/..": "."}
-    assert {r.p: r.c for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", K.clean_path(F.col("p")).alias("c")).collect()} == paths
-    names = {"org.sample.Pump.start([BLorg/sample/Mode;)V": "org.sample.Pump.start", "org.sample.Pump": None}
-    assert {r.s: r.d for r in spark.createDataFrame([(s,) for s in names], "s string").select("s", K.strip_descriptor(F.col("s")).alias("d")).collect()} == names
-    assert spark.createDataFrame([("Z3JhcGg=",), ("Z3Jh cGg",), ("?",)], "s string").select(K.from_base64(F.col("s")).cast("string")).collect() == [("graph",), ("graph",), (None,)]
+    r = random.Random(11)
+    text = lambda signs, n: "".join(r.choice(signs) for _ in range(r.randrange(n)))
+    signs, path_signs = "aZ09-_.~+ %#?=&:/é€", "ab/../. é#"
+    rows = [{"signature": text(signs, 8), "corpus": text(signs, 6), "root": text(signs.replace("/", ""), 4), "path": text(path_signs, 12), "language": text(signs, 4)} for _ in range(400)]
+    df = spark.createDataFrame(rows, "signature string, corpus string, root string, path string, language string")
+    for x in df.select("*", K.ticket(F.struct(*rows[0])).alias("t"), K.clean_path(F.col("path")).alias("c")).collect():
+        assert x.c == cleaned(x.path) and x.t == written(x.asDict())
+    again = df.withColumn("t", K.ticket(F.struct(*rows[0]))).select("path", "signature", K.path_of(F.col("t")).alias("p"), K.signature_of(F.col("t")).alias("s")).collect()
+    assert all((x.p, x.s or "") == (cleaned(x.path), x.signature) for x in again)
+
+
+def test_descriptors_and_base64(spark):
+    r = random.Random(12)
+    kind = lambda: "[" * r.randrange(2) + r.choice([*"ZBCSIJFD", f"L{r.choice('xyz')}/K{r.randrange(9)};"])
+    names = [".".join(r.choice(["lamp", "Coil", "m3"]) for _ in range(r.randrange(1, 4))) for _ in range(60)]
+    pairs = [(n, f"{n}({''.join(kind() for _ in range(r.randrange(4)))}){r.choice(['V', kind()])}") for n in names]
+    got = spark.createDataFrame(pairs, "n string, d string").select("n", K.strip_descriptor(F.col("d")).alias("cut"), K.strip_descriptor(F.col("n")).alias("none")).collect()
+    assert all(x.cut == x.n and x.none is None for x in got)
+    data = [r.randbytes(r.randrange(1, 20)) for _ in range(60)]
+    coded = [(base64.b64encode(d).decode(),) for d in data]
+    spaced = [(c[0][:3] + " " + c[0][3:],) for c in coded]
+    got = spark.createDataFrame([*coded, *spaced, ("?",)], "s string").select(K.from_base64(F.col("s")).alias("b")).collect()
+    assert [x.b and bytes(x.b) for x in got] == [*data, *data, None]
 
 
 def message(pre="", children=(), joiner="", post="", final=False):
@@ -193,16 +230,56 @@ def test_marked_source():
     assert qualified_name(scope) == "a::b" and qualified_name(b"") is None and qualified_name(b"\xff") is None and qualified_name(None) is None
 
 
-UNIT = {"v_name": vname("u", language="JAVA"), "required_input": [{"v_name": vname("", "gear.h"), "info": {"path": "gear.h", "digest": "abc"}}], "argument": ["a", "-fprofile-sample-use=x", "b"], "source_file": [], "output_key": "o", "working_directory": "/w", "entry_context": "x"}
+def made(k, language, inputs=(), sources=(), arguments=()):
+    """A unit; an input's digest is the hash of its path."""
+    needs = [{"v_name": vname("", p), "info": {"path": p, "digest": digest(p)}} for p in inputs]
+    return {"v_name": vname(f"target {k}", f"build/{k}", language), "required_input": needs, "argument": list(arguments), "source_file": list(sources), "output_key": f"key {k}", "working_directory": "", "entry_context": ""}
+
+
+def digest(path):
+    return hashlib.sha256(path.encode()).hexdigest()
+
+
+def encoded(*pairs):
+    """A message of (field number, bytes), written out anew."""
+
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n % 128 + 128]) + number(n // 128)
+
+    return b"".join(number(8 * k + 2) + number(len(data)) + data for k, data in pairs)
 
 
-def test_unit_codec():
-    assert wire.from_proto(wire.to_proto(UNIT)) == UNIT
-    assert wire.from_json(json.dumps({"unit": UNIT}).encode()) == UNIT
-    camel = {"vName": UNIT["v_name"], "requiredInput": [{"vName": vname("", "gear.h"), "info": {"path": "gear.h", "digest": "abc"}}], "sourceFile": ["widget.cc"]}
-    assert wire.from_json(json.dumps({"unit": camel}).encode())["source_file"] == ["widget.cc"]
+def encoded_unit(u):
+    texts = lambda values: [(k, x.encode()) for k, x in enumerate(values, 1) if x]
+    name = lambda v: encoded(*texts([v[f] for f in ("signature", "corpus", "root", "path", "language")]))
+    needs = [(3, encoded((1, name(i["v_name"])), (2, encoded(*texts([i["info"]["path"], i["info"]["digest"]]))))) for i in u["required_input"]]
+    lists = [(5, x.encode()) for x in u["argument"]] + [(6, x.encode()) for x in u["source_file"]]
+    ends = [(7 + k, u[f].encode()) for k, f in enumerate(("output_key", "working_directory", "entry_context")) if u[f]]
+    return encoded((1, encoded((1, name(u["v_name"])), *needs, *lists, *ends)))
+
+
+def camel(value):
+    if isinstance(value, dict):
+        return {re.sub("_(.)", lambda m: m[1].upper(), k): camel(v) for k, v in value.items()}
+    return [camel(v) for v in value] if isinstance(value, list) else value
+
+
+VNAMES = st.fixed_dictionaries({f: st.text(max_size=200) for f in ("signature", "corpus", "root", "path", "language")})
+INPUTS = st.fixed_dictionaries({"v_name": VNAMES, "info": st.fixed_dictionaries({"path": st.text(), "digest": st.text()})})
+UNITS = st.fixed_dictionaries({"v_name": VNAMES, "required_input": st.lists(INPUTS, max_size=3), "argument": st.lists(st.text(), max_size=3), "source_file": st.lists(st.text(), max_size=3), "output_key": st.text(), "working_directory": st.text(), "entry_context": st.text()})
+
+
+@settings(max_examples=60, deadline=None)
+@given(UNITS)
+def test_unit_codec(u):
+    assert wire.to_proto(u) == encoded_unit(u) and wire.from_proto(encoded_unit(u)) == u
+    assert wire.from_json(json.dumps({"unit": u}).encode()) == u == wire.from_json(json.dumps({"unit": camel(u)}).encode())
     with pytest.raises(ValueError):
-        wire.from_proto(b"\x0a\xff")
+        wire.from_proto(encoded_unit(u)[:-1] if u["entry_context"] else b"\x0a\x7f")
+
+
+ONE = made(1, "Java", ["tools/mill.kt"], arguments=["--fast", "-fprofile-sample-use=p", "--deep"])
+TWO = made(2, "C++", ["tools/mill.kt", "press/a.h", "press/gone.h"], ["press/main.cc"])
 
 
 @pytest.fixture()
@@ -210,41 +287,55 @@ def zipped(tmp_path):
     with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
         for d in archive.FOLDERS:
             z.writestr(d, b"")
-        z.writestr("root/pbunits/u1", wire.to_proto(UNIT))
-        z.writestr("root/units/u1", json.dumps({"unit": UNIT | {"output_key": "twin"}}))
-        other = UNIT | {"v_name": vname("v"), "source_file": ["widget.cc"], "required_input": [{"v_name": vname(), "info": {"path": "d", "digest": d}} for d in ("abc", "def", "gone")]}
-        z.writestr("root/units/u2", json.dumps({"unit": other}))
-        z.writestr("root/units/bad", b"{nope")
-        z.writestr("root/units/sub/deep", b"{}")
-        for d in ("abc", "def", "unused"):
-            z.writestr(f"root/files/{d}", d * 3)
+        z.writestr("root/pbunits/one", encoded_unit(ONE))
+        z.writestr("root/units/one", json.dumps({"unit": made(1, "twin")}))
+        z.writestr("root/units/two", json.dumps({"unit": camel(TWO)}))
+        z.writestr("root/units/broken", b"[1")
+        z.writestr("root/units/below/deep", b"{}")
+        for p in ("tools/mill.kt", "press/a.h", "nobody/asks"):
+            z.writestr(f"root/files/{digest(p)}", p * 3)
     return str(tmp_path / "in.zip")
 
 
 def test_archives(spark, zipped, tmp_path):
     units = archive.read_units(spark, zipped)
-    assert {(r.sha, r.encoding, r.status) for r in units.collect()} == {("u1", "proto", "ok"), ("u2", "json", "ok"), ("bad", "json", "failed")}
+    assert {(r.sha, r.encoding, r.status) for r in units.collect()} == {("one", "proto", "ok"), ("two", "json", "ok"), ("broken", "json", "failed")}
     assert archive.normalise(spark, zipped, str(tmp_path / "out")) == (2, 3)
     again = archive.read_units(spark, str(tmp_path / "out"))
-    assert {(r.sha, r.encoding) for r in again.collect()} == {("u1", "proto"), ("u2", "proto")}
-    assert {r.digest: bytes(r.content) for r in archive.read_files(spark, str(tmp_path / "out")).collect()} == {"abc": b"abcabcabc", "def": b"defdefdef"}
-    assert archive.extract(units, archive.read_files(spark, zipped), "u1", str(tmp_path / "one")) == 1
+    assert {(r.sha, r.encoding) for r in again.collect()} == {("one", "proto"), ("two", "proto")}
+    assert {r.digest: bytes(r.content) for r in archive.read_files(spark, str(tmp_path / "out")).collect()} == {digest(p): p.encode() * 3 for p in ("tools/mill.kt", "press/a.h")}
+    assert archive.extract(units, archive.read_files(spark, zipped), "one", str(tmp_path / "single")) == 1
     changed = archive.with_arguments(units.filter("status = 'ok'"), U.strip_arguments(F.col("unit.argument")))
-    assert {r.sha: (r.unit.argument, r.raw) for r in changed.collect()}["u1"] == (["a", "b"], None)
+    assert {r.sha: (r.unit.argument, r.raw) for r in changed.collect()}["one"] == (["--fast", "--deep"], None)
 
 
 def test_planning(spark, zipped):
     units = archive.read_units(spark, zipped).filter("status = 'ok'")
-    done = spark.createDataFrame([("u2",)], "sha string")
-    got = {r.sha: r for r in U.plan(units, done, rules=U.parse_rules(["gear::-new", "gear::a"])).collect()}
-    assert (got["u1"].label, got["u1"].primary_path, got["u1"].argument, got["u1"].skipped) == ("java", "gear.h", ["-new", "a", "b"], None)
-    assert (got["u2"].primary_path, got["u2"].skipped) == ("widget.cc", "done")
-    assert {r.sha: r.skipped for r in U.plan(units, done, langs=("cxx",), include=["zzz"]).collect()} == {"u1": "language", "u2": "path"}
+    done = spark.createDataFrame([("two",)], "sha string")
+    got = {r.sha: r for r in U.plan(units, done, rules=U.parse_rules(["tools::--first", "tools::--fast"])).collect()}
+    assert (got["one"].label, got["one"].primary_path, got["one"].argument, got["one"].skipped) == ("java", "tools/mill.kt", ["--first", "--fast", "--deep"], None)
+    assert (got["two"].primary_path, got["two"].skipped) == ("press/main.cc", "done")
+    assert {r.sha: r.skipped for r in U.plan(units, done, langs=("cxx",), include=["nowhere"]).collect()} == {"one": "language", "two": "path"}
     assert tuple(U.skip_counts(U.plan(units, done)).first()) == (0, 0, 1, 1)
     with pytest.raises(ValueError):
         U.parse_rules(["::x"])
 
 
+def test_class_path_roots_and_failures(spark):
+    paths = ["!CLASS_PATH_JAR!lib/K.class", "src/x.java", "!CLASS_PATH_JAR!gen/a/L.class", "!CLASS_PATH_JAR!lib/M.class"]
+    units = spark.createDataFrame([(made(1, "jvm", paths),)], T.StructType([T.StructField("unit", UNIT)]))
+    assert units.select(U.class_path_roots(F.col("unit")).alias("r")).first().r == ["!CLASS_PATH_JAR!lib", "!CLASS_PATH_JAR!gen"]
+    rows = [("java", f"{k:02}", "failed", f"{k} " * 9) for k in range(12)] + [("go", "a", "ok", None), ("go", "b", "failed", "end")]
+    got = U.failure_samples(spark.createDataFrame(rows, "label string, sha string, status string, error string"), most=3, tail=4).collect()
+    assert sorted(map(tuple, got)) == [("go", "b", "end"), *(("java", f"{k:02}", f"{k} {k} ") for k in range(3))]
+
+
+def test_default_corpus_on_both_ends(spark):
+    bare = vname("x") | {"corpus": ""}
+    e = parse_lines(spark.createDataFrame([(json.dumps(edge(bare, "named", bare)),), (json.dumps(edge(vname("y"), "named", bare)),)], "value string"), "late")
+    assert sorted((r.source.corpus, r.target.corpus) for r in e.collect()) == [("c", "late"), ("late", "late")]
+
+
 def test_stream(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: list[str] = []
 
@@ -62,6 +63,11 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def with_fields(kept, more: str) -> T.StructType:
+    """The schema of kept fields, whatever their types and names, and the columns written in `more`."""
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), *T.StructType.fromDDL(more)])
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let Spark hand texts to Python in batches of at most 1,000 rows and about 4 MB, so that a worker's memory does not hang on their lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import saved, slices, whole_text
+from .common import saved, slices, whole_text, with_fields
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -240,7 +240,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[s
     separate items of that id. Repeated rows of docs give repeated pairs. Without items there are no rows.
     """
     rows = docs.select(*keep, whole_text(text))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "item_id long, bm25 double, question_overlap double, answer_overlap double"
+    schema = with_fields(rows.schema[:-1], "item_id long, bm25 double, question_overlap double, answer_overlap double")
     found = [rows.mapInArrow(_searcher(shared, overlap, list(keep)), schema) for shared in indexes(docs.sparkSession, items, share=share, **options)]
     return reduce(DataFrame.unionByName, found)
 

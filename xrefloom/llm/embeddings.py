@@ -117,12 +117,19 @@ def _ranker(least: float):
 
 
 def links(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, radius: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Two tables from columns vec_id, label and embedding: members (vec_id, rep, copies) of all usable vectors, and links (x, y, cosine) between representatives, x < y."""
+    """Two tables from columns vec_id, label and embedding: members (vec_id, first, rep, copies) of all usable vectors, and links (x, y, cosine) between representatives, x < y.
+
+    Equal vectors of a label have one representative: `first`, the smallest id among them; where that id stands for
+    several different vectors, each of these has a number of its own from 2**62.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v")).filter("label is not null and vec_id is not null and v is not null")
     read = saved(rows.mapInArrow(_reader, "vec_id long, label string, dim int, vec binary"))
-    reps = saved(read.groupBy("label", "vec", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    members = read.join(reps, ["label", "vec"]).select("vec_id", "rep", "copies")
+    reps = saved(read.groupBy("label", "vec", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
+    several = saved(reps.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first", F.lit(True).alias("many")))
+    own = F.xxhash64("label", "vec", "first").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    reps = reps.join(several, "first", "left").withColumn("rep", F.when(F.col("many"), own).otherwise(F.col("first"))).drop("many")
+    members = read.join(reps, ["label", "vec"]).select("vec_id", "first", "rep", "copies")
     share = reps.groupBy("dim").agg(F.least(F.lit(1.0), sample_rows / F.count("*")).alias("share"))
     sample = reps.join(share, "dim").filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < (F.col("share") * (1 << 30)).cast("long")).select("dim", "vec")
     models = {}
@@ -153,15 +160,19 @@ def classes(vectors: DataFrame, **options) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links (other vectors linked directly), component_id and kept (vec_id = component_id).
 
     A vector that links with nothing is its own component. Rows that repeat an id all have the most links and the smallest
-    component of the id's vectors. A null id has a null
-    component and is kept.
+    component of the id's vectors, and the id's vectors are one node of its component; each counts for itself among the
+    links of others. A null id has a null component and is kept.
     """
     members, found = links(vectors, **options)
     copies = members.select("rep", "copies").distinct()
     ends = found.select(F.col("x").alias("rep"), F.col("y").alias("o")).unionByName(found.select(F.col("y").alias("rep"), F.col("x").alias("o")))
     more = ends.join(copies.withColumnsRenamed({"rep": "o", "copies": "c"}), "o").groupBy("rep").agg(F.sum("c").alias("others"))
-    ids = components(found, "x", "y").withColumnsRenamed({"id": "rep"})
-    own = members.join(more, "rep", "left").join(ids, "rep", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    numbered = members.filter("rep <> first").select("rep", "first").distinct()
+    pairs = found.select("x", "y")
+    for end in ("x", "y"):  # components are of ids
+        pairs = pairs.join(numbered.withColumnsRenamed({"rep": end, "first": "_id"}), end, "left").withColumn(end, F.coalesce("_id", end)).drop("_id")
+    ids = components(pairs, "x", "y").withColumnsRenamed({"id": "first"})
+    own = members.join(more, "rep", "left").join(ids, "first", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     own = own.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))  # of an id with several vectors
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(own, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import slices, whole_text
+from .common import slices, whole_text, with_fields
 
 _BLOCKS = 64
 
@@ -173,5 +173,4 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, whole_text(text)).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
     passed = [f for f in rows.schema if f.name not in ("text", "lettered")]
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed)
-    return rows.mapInArrow(_predictor(shared, [f.name for f in passed]), f"{kept}lang_pred string, score double, n_langs int")
+    return rows.mapInArrow(_predictor(shared, [f.name for f in passed]), with_fields(passed, "lang_pred string, score double, n_langs int"))

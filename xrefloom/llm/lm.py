@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import pack, saved, slices, unpack, whole_text
+from .common import pack, saved, slices, unpack, whole_text, with_fields
 
 END = np.uint64(0xE14D0FE14D0F0001)
 BASE = 1.5
@@ -362,15 +362,15 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Colu
     keep = keep or {"doc_id": F.col("doc_id")}
     named = [f"_{k}" for k in range(len(keep))]  # the caller's names could be those of this function's columns
     rows = docs.select(*keep.values(), whole_text(text)).toDF(*named, "text")
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    result = f"{kept}n_tokens long, n_known long, base_score double, score double"
+    result = with_fields(rows.schema[:-1], "n_tokens long, n_known long, base_score double, score double")
     plain = {k: model[k] for k in ("N", "V", "typical", "bits", "prior")}
     if "local" in model:
         shared = docs.sparkSession.sparkContext.broadcast(plain | {"local": model["local"]})
         scored = rows.mapInArrow(_scorer(shared, named), result)
     else:
         regions_ = 1 << model["bits"]
-        texts = rows.mapInArrow(_chunker, f"{kept}text string, chunk long").repartition(regions_, "chunk")
+        # saved, since chunks follow the order of rows, which a repeated task may find changed
+        texts = saved(rows.mapInArrow(_chunker, with_fields(rows.schema[:-1], "text string, chunk long"))).repartition(regions_, "chunk")
         asked = model["store"].select("region", "kind", "chunk", "b").unionByName(texts.groupBy("chunk").applyInArrow(_asker(model["bits"]), _ASK))
         answers = asked.repartition(regions_, "region").sortWithinPartitions("region", "kind").mapInArrow(_answerer, "region int, kind int, chunk long, q binary, c binary")
         scored = texts.groupBy("chunk").cogroup(answers.repartition(regions_, "chunk").groupBy("chunk")).applyInArrow(_finisher(plain, named), result)

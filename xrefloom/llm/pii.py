@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, with_fields
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "date")
 _ROUNDS = 8
@@ -272,5 +272,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", keep: tuple[st
     Null texts stay null and empty ones empty, with counts of 0.
     """
     rows = docs.select(*keep, F.col(text).cast("string").alias(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_replacer(key, rows.columns, text), schema + "".join(f", n_{k} int" for k in KINDS))
+    return rows.mapInArrow(_replacer(key, rows.columns, text), with_fields(rows.schema, ", ".join(f"n_{k} int" for k in KINDS)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import slices, whole_text
+from .common import slices, whole_text, with_fields
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -120,5 +120,4 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", k
     """The columns of keep, n_tokens, n_pretokens and log_probability (natural logarithm) for every row; all 0 for null and empty texts."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, of fixed size
     rows = docs.select(*keep, whole_text(text).alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(_counter(shared, list(keep)), f"{kept}n_tokens long, n_pretokens long, log_probability double")
+    return rows.mapInArrow(_counter(shared, list(keep)), with_fields(rows.schema[:-1], "n_tokens long, n_pretokens long, log_probability double"))

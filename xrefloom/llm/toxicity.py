@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import saved, slices, whole_text
+from .common import saved, slices, whole_text, with_fields
 
 FTRL = {"alpha": 1.5, "beta": 1.0, "l1": 5.0, "l2": 0.02}
 
@@ -161,5 +161,4 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     """The columns of keep and score (0 to 1) for every row. Null and empty texts score as the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, whole_text(text).alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(_scorer(shared), f"{kept}score double")
+    return rows.mapInArrow(_scorer(shared), with_fields(rows.schema[:-1], "score double"))

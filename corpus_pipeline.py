@@ -45,7 +45,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     key = F.struct(F.xxhash64(own["text"]).alias("a"), F.xxhash64(F.lit(1), own["text"]).alias("b"), F.isnull(own["text"]).alias("n"))
     all_rows = docs.withColumn("doc_id", F.col(own["doc_id"]).cast("long"))
     rows = all_rows.filter("doc_id is not null").withColumn("_key", key)
-    one = rows.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*", "doc_id", "_key")
+    row = F.struct(*docs.columns)
+    maps = [f.name for f in docs.schema if "map<" in f.dataType.simpleString()]  # which have no order of their own
+    first = F.min_by(row, F.struct(*(F.to_json(F.struct(c)) if c in maps else F.col(c) for c in docs.columns))) if maps else F.min(row)
+    one = rows.groupBy("doc_id", "_key").agg(first.alias("_row")).select("_row.*", "doc_id", "_key")
     several = rows.groupBy("doc_id").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).filter("_least <> _most").select("doc_id", "_least")
     other = F.xxhash64("doc_id", "_key").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     node = F.when(F.coalesce(F.col("_key") != F.col("_least"), F.lit(False)), other).otherwise(F.col("doc_id"))

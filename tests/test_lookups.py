@@ -88,7 +88,7 @@ def test_tree(spark):
 def test_stored_steps_give_the_same_walk(spark, tmp_path, monkeypatch, direction):
     monkeypatch.setattr(S, "BUCKET_ROWS", 40)
     r = random.Random(8)
-    edges = sorted({(f"s{r.randrange(60)}", f"s{r.randrange(60)}") for _ in range(160)})
+    edges = sorted({(f"s{r.randrange(60)}", f"s{r.randrange(60)}") for _ in range(400)})
     calls = spark.createDataFrame([(a, b, r.randrange(9), r.randrange(9), r.random() < 0.7) for a, b in edges], "caller_ticket string, callee_ticket string, ds long, at long, direct boolean")
     S.put_steps(calls, str(tmp_path))
     roots = spark.createDataFrame([("s1",), ("s2",)], "ticket string")

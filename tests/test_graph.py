@@ -26,7 +26,7 @@ from xrefloom.operators.graph import CodeGraph, lines_of
 from xrefloom.schema import UNIT
 from xrefloom.sources import archive, wire
 from xrefloom.sources.entries import parse_lines, read_names, write_names
-from xrefloom.streaming.fold import index_stream
+from xrefloom.streaming.fold import index_stream, read_store
 
 PATH = "src/a.cc"
 
@@ -347,7 +347,7 @@ def test_stream(spark, tmp_path):
     (folder / "b.entries").write_text("\n".join([*lines, "{broken"]))
     found = index_stream(spark, str(folder), out, resume=True)
     assert found.count() == len(lines) == index_stream(spark, str(folder), out, resume=True).count()
-    names = spark.read.parquet(f"{out}/names").drop("batch")
+    names = read_store(spark, out, "names")
     assert names.count() == names.distinct().count() == 11
     write_names(names, str(tmp_path / "names"))
     assert read_names(spark, str(tmp_path / "names")).count() == 11

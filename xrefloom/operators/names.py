@@ -29,6 +29,16 @@ def names_of(entries: DataFrame) -> DataFrame:
     return from_edges.unionByName(from_code).distinct()
 
 
+def name_pairs() -> Column:
+    """What `names_of` finds in one entry, as a list of structs (name, ticket), for streams, which take each entry once."""
+    sig, named, null = F.col("target.signature"), is_named_edge(F.col("edge_kind")), F.lit(None)
+    edge = F.when(named & (sig != ""), F.array(sig, strip_descriptor(sig)))
+    code = F.when(~named & (F.col("fact_name") == CODE_FACT), F.col("fact_value")).otherwise(null)
+    every = F.array_distinct(F.array_compact(F.coalesce(edge, F.array(marked_name(code)))))
+    own = ticket(F.col("source"))
+    return F.transform(every, lambda name: F.struct(name.alias("name"), own.alias("ticket")))
+
+
 def labels_of(names: DataFrame) -> DataFrame:
     """The shortest name of each ticket, in bytes; of equally short ones the smallest."""
     return names.groupBy("ticket").agg(F.min(F.struct(F.octet_length("name").alias("n"), F.col("name"))).alias("m")).select("ticket", F.col("m.name").alias("label"))

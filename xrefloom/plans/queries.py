@@ -14,7 +14,7 @@ from ..operators import serving as S
 from ..operators import units as U
 from ..operators.graph import CodeGraph
 from ..operators.walk import callgraph, shared_folder
-from ..streaming.fold import fold, read_store
+from ..streaming.fold import fold, read_store, tagged
 from . import adapters as A
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,7 +482,7 @@ def t03_stream_fold(spark, sf_dir):
     out = f"{shared_folder(spark)}/fold-{uuid.uuid4().hex}"
     schema = A.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 48).parquet(f"{sf_dir}/events*.parquet")
-    fold(stream.select("user_id", "event_type"), {f"{out}/store": lambda b: b}, f"{out}/checkpoint")
-    return read_store(spark, f"{out}/store")
+    fold(tagged(stream, {"pairs": F.array(F.struct("user_id", "event_type"))}), out)
+    return read_store(spark, out, "pairs")
 
 

@@ -9,8 +9,8 @@ from ..functions.tickets import from_base64
 from ..schema import ENTRY_JSON, VNAME_FIELDS
 
 
-def normalised(df: DataFrame, default_corpus: str = "") -> DataFrame:
-    """Null name parts become empty; names without a corpus get the default one. A null target stays null."""
+def normalised(df: DataFrame, default_corpus: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Null name parts become empty; names without a corpus get the default one. A null target stays null. The columns of keep follow."""
 
     def name(c: str):
         v = F.col(c)
@@ -20,13 +20,17 @@ def normalised(df: DataFrame, default_corpus: str = "") -> DataFrame:
         return F.struct(*parts)
 
     empty = F.lit("")
-    return df.select(name("source").alias("source"), F.when(F.col("target").isNotNull(), name("target")).alias("target"), F.coalesce("edge_kind", empty).alias("edge_kind"), F.coalesce("fact_name", empty).alias("fact_name"), "fact_value")
+    return df.select(name("source").alias("source"), F.when(F.col("target").isNotNull(), name("target")).alias("target"), F.coalesce("edge_kind", empty).alias("edge_kind"), F.coalesce("fact_name", empty).alias("fact_name"), "fact_value", *keep)
 
 
-def parse_lines(lines: DataFrame, default_corpus: str = "") -> DataFrame:
-    """Entries from a column `value` of JSON lines; lines that are no such object, or have no source, are left out."""
-    parsed = lines.select(F.from_json("value", ENTRY_JSON).alias("e")).select("e.*").filter("source is not null")
-    return normalised(parsed.withColumn("fact_value", from_base64(F.coalesce("fact_value", F.lit("")))), default_corpus)
+def parse_lines(lines: DataFrame, default_corpus: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Entries from a column `value` of JSON lines; lines that are no such object, or have no source, are left out.
+
+    keep: more columns to pass on; rows in which one of them is not null stay, whatever their line is.
+    """
+    parsed = lines.select(F.from_json("value", ENTRY_JSON).alias("e"), *keep).select("e.*", *keep)
+    parsed = parsed.filter(" or ".join(f"`{c}` is not null" for c in ("source", *keep)))
+    return normalised(parsed.withColumn("fact_value", from_base64(F.coalesce("fact_value", F.lit("")))), default_corpus, keep)
 
 
 def read_entries(spark: SparkSession, path: str, default_corpus: str = "") -> DataFrame:

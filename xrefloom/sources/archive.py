@@ -5,38 +5,73 @@
     spark.read.format("unit_archive").option("what", "files").load(path)  # blobs: digest, content
     members.write.format("unit_archive").mode("append").save(folder)  # rows (member, content): one archive for each task
 
-A path is one archive or a folder of archives that workers can open. The directory of an archive is read once, on the
-driver, and dealt out to tasks by slices of members; each task opens the archive and reads its own.
+A path is one archive or a folder of archives, local or a URI of any file system that Arrow opens. The directory of an
+archive is read once, on the driver, by ranged reads, and its members are dealt out to tasks in slices by their offsets; a
+task reads the bytes of its members and nothing else. A JSON unit whose sha any archive of the folder also has as proto
+is left out there, before a member is read.
+Filters on the column primary_path reach the reader (`read_units` turns that on): a proto unit is walked only as far as
+its path, and decoded if the path passes. Spark applies the filters again.
 """
 
 from __future__ import annotations
 
-import os
+import bz2
 import re
+import struct
 import uuid
 import zipfile
-from dataclasses import dataclass
+import zlib
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema import UNIT
 from . import wire
+from .files import located
 
 # Member names. Only direct children count, neither folders nor deeper paths.
 UNIT_MEMBER = re.compile(r"root/(pbunits|units)/([^/]+)")
 FILE_MEMBER = re.compile(r"root/(files)/([^/]+)")
 FOLDERS = ("root/", "root/pbunits/", "root/units/", "root/files/")
 
-_UNIT_ROW = f"sha string, encoding string, unit {UNIT.simpleString()}, raw binary, status string, error string"
+_UNIT_ROW = f"sha string, encoding string, unit {UNIT.simpleString()}, raw binary, status string, error string, primary_path string"
+#: How members may be packed, by the number of the method.
+_UNPACK = {zipfile.ZIP_STORED: bytes, zipfile.ZIP_DEFLATED: lambda data: zlib.decompress(data, -15), zipfile.ZIP_BZIP2: bz2.decompress}
+
+
+@dataclass
+class _Member:
+    name: str
+    offset: int
+    packed: int
+    method: int
+    crc: int
+
+    def read(self, archive) -> bytes:
+        archive.seek(self.offset)
+        head = archive.read(30)  # the local header: a name and extra bytes follow, whose lengths stand at its end
+        archive.seek(self.offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+        data = archive.read(self.packed)
+        if self.method not in _UNPACK:
+            raise ValueError(f"{self.name} is packed by method {self.method}")
+        data = _UNPACK[self.method](data)
+        if zlib.crc32(data) != self.crc:
+            raise ValueError(f"{self.name} has a wrong checksum")
+        return data
 
 
 @dataclass
 class _Slice(InputPartition):
     archive: str
-    members: list[str]
+    members: list[_Member] = field(default_factory=list)
 
 
 @dataclass
@@ -44,68 +79,123 @@ class _Written(WriterCommitMessage):
     path: str
 
 
+def _archives(path: str) -> list[str]:
+    system, name = located(path)
+    if system.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    found = (f.base_name for f in system.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File)
+    return sorted(f"{path.rstrip('/')}/{f}" for f in found if not f.startswith((".", "_")))
+
+
+def _directory(archive: str, pattern: re.Pattern) -> list[_Member]:
+    system, name = located(archive)
+    with system.open_input_file(name) as f, zipfile.ZipFile(f) as z:
+        return [_Member(i.filename, i.header_offset, i.compress_size, i.compress_type, i.CRC) for i in z.infolist() if pattern.fullmatch(i.filename)]
+
+
+def _holds(test: D.Filter, path: str) -> bool:
+    match test:
+        case D.Not(child):
+            return not _holds(child, path)
+        case D.EqualTo(_, value):
+            return path == value
+        case D.In(_, values):
+            return path in values
+        case D.StringContains(_, value):
+            return value in path
+        case D.StringStartsWith(_, value):
+            return path.startswith(value)
+        case D.StringEndsWith(_, value):
+            return path.endswith(value)
+    raise ValueError(test)
+
+
+def _on_path(test: D.Filter) -> bool:
+    if isinstance(test, D.Not):
+        return _on_path(test.child)
+    return isinstance(test, (D.EqualTo, D.In, D.StringContains, D.StringStartsWith, D.StringEndsWith)) and test.attribute == ("primary_path",)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.files = options["path"], options.get("what", "units") == "files"
         self.size = int(options.get("membersPerPartition", 2000))
+        self.tests: list[D.Filter] = []
 
-    def _archives(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if not f.startswith((".", "_")))
-        return [self.path]
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.files and _on_path(f):
+                self.tests.append(f)
+            yield f  # a failed unit has no path, which only Spark's own filter knows
 
     def partitions(self):
+        pattern, archives = FILE_MEMBER if self.files else UNIT_MEMBER, _archives(self.path)
+        with ThreadPoolExecutor(16) as pool:
+            found = list(pool.map(lambda a: _directory(a, pattern), archives))
+        if not self.files:
+            key = {m.name: UNIT_MEMBER.fullmatch(m.name).groups() for members in found for m in members}
+            proto = {sha for kind, sha in key.values() if kind == "pbunits"}
+            found = [[m for m in members if key[m.name][0] == "pbunits" or key[m.name][1] not in proto] for members in found]
         out = []
-        for archive in self._archives():
-            with zipfile.ZipFile(archive) as z:
-                names = [n for n in z.namelist() if (FILE_MEMBER if self.files else UNIT_MEMBER).fullmatch(n)]
-            out += [_Slice(archive, names[k : k + self.size]) for k in range(0, len(names), self.size)]
-        return out or [_Slice("", [])]
+        for archive, members in zip(archives, found, strict=True):
+            members.sort(key=lambda m: m.offset)
+            out += [_Slice(archive, members[k : k + self.size]) for k in range(0, len(members), self.size)]
+        return out or [_Slice("")]
 
     def read(self, partition):
         if not partition.members:
             return
-        with zipfile.ZipFile(partition.archive) as z:
-            for name in partition.members:
-                data = z.read(name)
+        system, name = located(partition.archive)
+        with system.open_input_file(name) as archive:
+            for m in partition.members:
                 if self.files:
-                    yield FILE_MEMBER.fullmatch(name)[2], data
-                    continue
-                kind, sha = UNIT_MEMBER.fullmatch(name).groups()
-                encoding = "proto" if kind == "pbunits" else "json"
-                try:
-                    unit = wire.from_proto(data) if encoding == "proto" else wire.from_json(data)
-                    inputs = [((*i["v_name"].values(),), (*i["info"].values(),)) for i in unit["required_input"]]
-                    row = ((*unit["v_name"].values(),), inputs, unit["argument"], unit["source_file"], unit["output_key"], unit["working_directory"], unit["entry_context"])
-                    yield sha, encoding, row, data if encoding == "proto" else None, "ok", None
-                except (ValueError, TypeError, AttributeError) as e:  # one bad unit does not fail the archive
-                    yield sha, encoding, None, data, "failed", str(e)[:4096]
+                    yield FILE_MEMBER.fullmatch(m.name)[2], m.read(archive)
+                elif row := self._unit(m, archive):
+                    yield row
+
+    def _unit(self, member: _Member, archive) -> tuple | None:
+        kind, sha = UNIT_MEMBER.fullmatch(member.name).groups()
+        encoding, data = "proto" if kind == "pbunits" else "json", None
+        try:
+            data = member.read(archive)
+            if self.tests and encoding == "proto":
+                path = wire.peek_path(data)
+                if path is None or not all(_holds(t, path) for t in self.tests):
+                    return None
+            unit = wire.from_proto(data) if encoding == "proto" else wire.from_json(data)
+            inputs = [((*i["v_name"].values(),), (*i["info"].values(),)) for i in unit["required_input"]]
+            row = ((*unit["v_name"].values(),), inputs, unit["argument"], unit["source_file"], unit["output_key"], unit["working_directory"], unit["entry_context"])
+            return sha, encoding, row, data if encoding == "proto" else None, "ok", None, wire.path_of_unit(unit)
+        except (ValueError, TypeError, AttributeError, zlib.error) as e:  # one bad unit does not fail the archive
+            return sha, encoding, None, data, "failed", str(e)[:4096], None
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
 
     def write(self, iterator):
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"{uuid.uuid4().hex}.zip")
-        hidden = os.path.join(self.path, "." + os.path.basename(name))
-        with zipfile.ZipFile(hidden, "w", zipfile.ZIP_STORED) as z:
-            for folder in FOLDERS:
-                z.writestr(folder, b"")
+        system, folder = located(self.path)
+        system.create_dir(folder, recursive=True)
+        hidden = f"{folder}/.{uuid.uuid4().hex}.zip"
+        with system.open_output_stream(hidden) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+            for d in FOLDERS:
+                z.writestr(d, b"")
             for row in iterator:
                 z.writestr(row.member, bytes(row.content))
         return _Written(hidden)
 
     def commit(self, messages):
-        for m in messages:
-            if m is not None:
-                os.rename(m.path, os.path.join(self.path, os.path.basename(m.path)[1:]))
+        system, _ = located(self.path)
+        for m in filter(None, messages):
+            folder, _, name = m.path.rpartition("/")
+            system.move(m.path, f"{folder}/{name[1:]}")
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        system, _ = located(self.path)
+        for m in filter(None, messages):
+            if system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 class UnitArchive(DataSource):
@@ -130,11 +220,21 @@ def primary_path(unit: Column) -> Column:
     return F.coalesce(F.get(unit["source_file"], 0), F.nullif(first["v_name"]["path"], none), F.nullif(first["info"]["path"], none), F.nullif(unit["v_name"]["path"], none))
 
 
-def read_units(spark: SparkSession, path: str) -> DataFrame:
-    """Units of an archive, by sha; of two encodings of one sha the proto stays. Undecodable units have status failed."""
+def read_units(spark: SparkSession, path: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Units of archives, by sha; of two encodings of one sha the proto stays, whatever the filter. Undecodable units have status failed.
+
+    include, exclude: substrings of the primary path, any of which it must have, and none of which it may have. Several
+    to include are for Spark alone; one, all to exclude, and what else callers filter on primary_path, reach the reader.
+    Units without a path, failed ones too, pass only if there is neither.
+    """
     spark.dataSource.register(UnitArchive)
-    every = spark.read.format("unit_archive").load(path)
-    return every.join(every.filter("encoding = 'proto'").select("sha").distinct().withColumn("twin", F.lit(True)), "sha", "left").filter("encoding = 'proto' or twin is null").drop("twin")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    units, at = spark.read.format("unit_archive").load(path), F.col("primary_path")
+    if include:
+        units = units.filter(reduce(or_, (F.contains(at, F.lit(x)) for x in include)))
+    for x in exclude:
+        units = units.filter(~F.contains(at, F.lit(x)))
+    return units
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

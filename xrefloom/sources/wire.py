@@ -84,5 +84,36 @@ def from_proto(data: bytes) -> dict:
     return decode(data, INDEXED)["unit"]
 
 
+def path_of_unit(unit: dict) -> str | None:
+    """The primary path of a decoded unit, as `archive.primary_path` has it."""
+    if unit["source_file"]:
+        return unit["source_file"][0]
+    inputs = unit["required_input"][:1]
+    return next((p for p in (*(i[k]["path"] for i in inputs for k in ("v_name", "info")), unit["v_name"]["path"]) if p), None)
+
+
+def peek_path(data: bytes) -> str | None:
+    """The primary path of a proto unit, from as few of its bytes as tell it; null if it has none, or cannot be read so far.
+
+    Where the whole unit can be decoded, this is its path: the walk stops at the first source file, and of the inputs only
+    the first is opened.
+    """
+    try:
+        body = [v for n, v in fields(data) if n == INDEXED["unit"][0] and isinstance(v, bytes)][-1:]
+        found = empty(UNIT)
+        for number, value in fields(body[0]) if body else ():
+            if not isinstance(value, bytes):
+                continue
+            if number == UNIT["source_file"][0]:
+                return value.decode("utf-8")
+            if number == UNIT["required_input"][0] and not found["required_input"]:
+                found["required_input"].append(decode(value, INPUT))
+            elif number == UNIT["v_name"][0]:
+                found["v_name"] = decode(value, VNAME)
+        return path_of_unit(found)
+    except ValueError:
+        return None
+
+
 def to_proto(unit: dict) -> bytes:
     return encode({"unit": unit}, INDEXED)

@@ -10,6 +10,7 @@ from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 from test_graph import UNITS, encoded_unit, made
 
+from xrefloom import __main__ as cli
 from xrefloom.sources import archive, wire
 
 
@@ -124,3 +125,18 @@ def test_written_archives_are_plain_zip_files(spark, tmp_path, folder):
     empty = archive.read_units(spark, folder[0]).filter("false")
     archive.write_archives(archive.members(empty, files), str(tmp_path / "none"))
     assert archive.read_units(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_command_line(spark, folder, tmp_path):
+    path, units = folder
+    rows = [json.loads(x) for x in cli.run(spark, ["plan", path, "--in", "app/3", "--in", "lib/2", "--langs", "java,cxx", "--rule", "app::-x"])]
+    assert [r["sha"] for r in rows] == sorted(units)
+    for r in rows:
+        p = want_path(units[r["sha"]])
+        assert r.get("skipped") == (None if "app/3" in p or "lib/2" in p else "path")
+        assert r["argument"] == (["-x"] if p.startswith("app") else [])
+    (tmp_path / "done").write_text("u05\nu06\n")
+    assert [r["sha"] for r in map(json.loads, cli.run(spark, ["plan", path, "--done", str(tmp_path / "done")])) if r.get("skipped") == "done"] == ["u05", "u06"]
+    assert cli.run(spark, ["normalise", path, str(tmp_path / "all"), "--parts", "2"]) == ["60 units, 60 files required"]
+    assert cli.run(spark, ["extract", path, "u07", str(tmp_path / "one")]) == ["0 files found"]
+    assert [r.sha for r in archive.read_units(spark, str(tmp_path / "one")).collect()] == ["u07"]

@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 from .operators import names as N
 from .operators import serving as S
+from .operators import units as U
 from .operators.graph import LIMIT, CodeGraph, lines_of
+from .sources import archive
 from .sources.entries import as_json, read_entries, write_names
-from .streaming.fold import index_stream
+from .streaming.fold import BATCH_BYTES, BATCH_FILES, index_stream
 
 PLACES = {"def": "definitions", "ref": "references", "callers": "callers", "super": "supertypes", "sub": "subtypes"}
 
@@ -30,6 +32,15 @@ def parser() -> argparse.ArgumentParser:
     stream = verb("index-stream", "entries", "out")
     stream.add_argument("--default-corpus", default="")
     stream.add_argument("--resume", action="store_true")
+    stream.add_argument("--batch-files", type=int, default=BATCH_FILES)
+    stream.add_argument("--batch-bytes", type=int, default=BATCH_BYTES)
+    verb("normalise", "archives", "out").add_argument("--parts", type=int, default=1)
+    verb("extract", "archives", "sha", "out")
+    plan = verb("plan", "archives")
+    plan.add_argument("--langs", default=",".join(U.DEFAULT_LANGS))
+    plan.add_argument("--done", default="")
+    for name, dest in (("--in", "within"), ("--not-in", "without"), ("--rule", "rule")):
+        plan.add_argument(name, action="append", default=[], dest=dest)
     for name in PLACES:
         v = verb(name, "tables", "name")
         v.add_argument("--in", dest="within", default="")
@@ -62,7 +73,15 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
     """The lines that a command prints."""
     a = parser().parse_args(args)
     if a.verb == "index-stream":
-        return [f"{index_stream(spark, a.entries, a.out, a.resume, a.default_corpus).count()} entries"]
+        return [f"{index_stream(spark, a.entries, a.out, a.resume, a.default_corpus, a.batch_files, a.batch_bytes).count()} entries"]
+    if a.verb == "normalise":
+        return ["{} units, {} files required".format(*archive.normalise(spark, a.archives, a.out, a.parts))]
+    if a.verb == "extract":
+        return [f"{archive.extract(archive.read_units(spark, a.archives), archive.read_files(spark, a.archives), a.sha, a.out)} files found"]
+    if a.verb == "plan":
+        done = spark.read.schema("sha string").text(a.done) if a.done else None
+        planned = U.plan(archive.read_units(spark, a.archives).filter("status = 'ok'"), done, a.langs.split(","), a.within, a.without, U.parse_rules(a.rule))
+        return [r["value"] for r in as_json(planned.select("sha", "label", "primary_path", "argument", "skipped").orderBy("sha")).collect()]
     if a.verb in ("build", "name-index"):
         entries = read_entries(spark, a.entries, a.default_corpus)
         if a.verb == "build":

@@ -201,6 +201,27 @@ def test_language_equals_plain_inference(spark, langs):
     assert wrong <= 0.01 * len(rows)  # likelihoods are kept in 32 bits, so near ties may differ
 
 
+def test_many_languages(spark, monkeypatch):
+    """150 tags, each with words of its own: parts of the model in files give what one table gives, whatever is held at once."""
+    r = np.random.Generator(np.random.PCG64(5))
+    words = [["".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)] for _ in range(150)]
+    say = lambda k, n: " ".join(r.choice(words[k], n))
+    train = spark.createDataFrame([(f"l{k:03}", say(k, 30)) for k in range(150) for _ in range(3)] + [(None, "abc def")], "lang string, text string")
+    monkeypatch.setattr(language, "_HELD", 5)
+    one, parts = language.fit(train, resident=1000), language.fit(train, resident=40)
+    assert len(parts["files"]) == 4 and "logp" not in parts and one["langs"] == parts["langs"] == [f"l{k:03}" for k in range(150)]
+    assert np.array_equal(np.concatenate(list(language._tables(parts))), one["logp"])
+    texts = [(k, say(k, 9)) for k in range(150)] + [(k + 200, say(k, 40) + " " + say((k * 7 + 1) % 150, 25)) for k in range(30)] + [(900, None), (901, ""), (902, "12 34"), (903, " ".join(say(k, 4) for k in range(150)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got, same = ({x.doc_id: x for x in language.predict(docs, m).collect()} for m in (one, parts))
+    assert got == same and all(got[k].lang_pred == f"l{k:03}" for k in range(150)) and {got[k].n_langs for k in range(200, 230)} == {2}
+    assert {got[k].lang_pred for k in (900, 901, 902)} == {"und"}
+    col = pa.array([t for _, t in texts[150:156]])
+    whole = language.infer(col, one)
+    for model, most in ((one, 150 * 7), (parts, 150 * 40)):
+        assert all(np.allclose(a, b) for a, b in zip(language.infer(col, model, most=most), whole, strict=True))
+
+
 def test_mixture_equals_plain_em():
     r = np.random.Generator(np.random.PCG64(0))
     like = r.random((40, 3)).astype(np.float32)

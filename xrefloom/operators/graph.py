@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Mapping
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +26,39 @@ class CodeGraph:
     mean the same in every verb; limits are by ticket and role, and at least one row is given.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], stored: bool = False, tree: DataFrame | None = None, first: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, steps: dict[str, DataFrame] | None = None):
-        """tables: the serving tables; tree, first, index and steps: what is derived from them (folders, first definitions, substring index, steps of the call graph), where it is stored."""
-        self.t, self.stored, self.index, self.steps = tables, stored, index, steps
-        self.tree = S.tree(tables["files"]) if tree is None else tree
-        self.first = S.first_definitions(tables["xrefs"]) if first is None else first
-        self.spark = next(iter(tables.values())).sparkSession
+    def __init__(self, tables: Mapping[str, DataFrame], derived: Mapping | None = None, stored: bool = False, by_role: Callable[[tuple[str, ...]], DataFrame] | None = None):
+        """tables: the serving tables; derived: what is made from them (tree, first_definitions, grams, gram_counts, steps), where it is stored; by_role: cross-references of some roles, where they are stored apart.
+
+        Both mappings are asked for what a verb needs, and only then.
+        """
+        self.t, self.derived, self.stored, self.by_role = tables, derived or {}, stored, by_role
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> CodeGraph:
         read = lambda n: spark.read.parquet(f"{folder}/{n}")
-        tables = {n: read(n) for n in ("names", "labels", "xrefs", "edges", "facts", "anchors", "files", "call_edges")}
-        return cls(tables, True, read("tree"), read("first_definitions"), (read("grams"), read("gram_counts")), S.steps_of(spark, folder))
+        tables = S.Tables({n: partial(read, n) for n in S.SERVING})
+        derived = {n: partial(read, n) for n in ("tree", "first_definitions", "grams", "gram_counts")}
+        return cls(tables, S.Tables(derived | {"steps": partial(S.steps_of, spark, folder)}), True)
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        return self.derived["tree"] if "tree" in self.derived else S.tree(self.t["files"])
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return self.derived["first_definitions"] if "first_definitions" in self.derived else S.first_definitions(self.xrefs("definition"))
+
+    @cached_property
+    def index(self) -> tuple[DataFrame, DataFrame] | None:
+        return (self.derived["grams"], self.derived["gram_counts"]) if "grams" in self.derived else None
+
+    @cached_property
+    def steps(self) -> dict[str, DataFrame] | None:
+        return self.derived["steps"] if "steps" in self.derived else None
+
+    def xrefs(self, *roles: str) -> DataFrame:
+        rows = self.t["xrefs"] if self.by_role is None else self.by_role(roles)
+        return rows.filter(F.col("role").isin(*roles))
 
     @classmethod
     def from_entries(cls, entries: DataFrame) -> CodeGraph:
@@ -46,7 +68,7 @@ class CodeGraph:
         return cls({"names": names, "labels": N.labels_of(names), "xrefs": S.xrefs(a, calls), "edges": S.edges(entries), "facts": S.facts(entries), "anchors": a, "files": S.files(entries), "call_edges": calls})
 
     def resolve(self, name: str, substr: bool = False, limit: int = LIMIT, cap: int = 0, def_in: str = "") -> DataFrame:
-        return N.resolve(self.t["names"], name, substr, limit, cap, self.first, def_in, self.index)
+        return N.resolve(self.t["names"], name, substr, limit, cap, self.first if def_in else None, def_in, self.index if substr else None)
 
     def labelled(self, df: DataFrame, column: str = "ticket") -> DataFrame:
         labels = self.t["labels"].withColumnRenamed("ticket", column)
@@ -56,7 +78,7 @@ class CodeGraph:
         return self._placed(roles, self.resolve(name, limit=limit, **by), within, without, limit, section)
 
     def _placed(self, roles: tuple[str, ...], found: DataFrame, within: str, without: str, limit: int, section: bool) -> DataFrame:
-        rows = self.t["xrefs"].filter(F.col("role").isin(*roles)).join(found.withColumnRenamed("ticket", "target_ticket"), "target_ticket")
+        rows = self.xrefs(*roles).join(found.withColumnRenamed("ticket", "target_ticket"), "target_ticket")
         path = F.coalesce(F.nullif("path", F.lit("")), path_of(F.col("item_ticket")))
         rows = rows.withColumn("path", path).filter(keeps(F.col("path"), within, without))
         parts = ["target_ticket", "role"] if section else ["target_ticket"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ OPEN_END = (1 << 63) - 1
 LINE_BLOCK = 12
 #: A span is kept under the first of these powers of two that its length does not exceed, in at most two blocks.
 SPAN_BLOCKS = (10, 14, 20, 30, 63)
+SERVING = ("names", "labels", "xrefs", "edges", "facts", "anchors", "files", "call_edges")
 #: The columns that queries look a table up by.
 LOOKUP = {
     "edges": ("source_ticket",), "facts": ("ticket",), "files": ("file_ticket",), "anchors": ("file_ticket",), "call_edges": ("caller_ticket",), "xrefs": ("target_ticket",), "names": ("name",), "labels": ("ticket",),
@@ -28,6 +30,27 @@ STEPS = {"calls_down": "down", "calls_up": "up"}
 BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 10_000
 
 
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, make: dict[str, Callable]):
+        self._make, self._made = make, {}
+
+    def __getitem__(self, name: str):
+        if name not in self._made:
+            self._made[name] = self._make[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._make)
+
+    def __len__(self) -> int:
+        return len(self._make)
+
+    def __contains__(self, name) -> bool:
+        return name in self._make
+
+
 def dedup(entries: DataFrame) -> DataFrame:
     """Distinct entries; two that differ in their values only are both kept."""
     return entries.dropDuplicates()

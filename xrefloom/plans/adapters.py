@@ -68,27 +68,42 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [named, named.filter("source.language = 'c++'"), *up, edge(geo, nation_vname(), region_vname(), "satisfies")])
 
 
+def _anchor_rows(df: DataFrame, sig: Column, at: Column, size: int, kind: Column) -> DataFrame:
+    """Anchors of parts in order files, from rows with an order's path and a part's columns."""
+    file = ticket(F.struct(F.lit("").alias("signature"), F.lit(CORPUS).alias("corpus"), F.lit("").alias("root"), F.col("path"), F.lit("").alias("language")))
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    return df.select(ticket(vname("order", F.col("path"), sig)).alias("anchor_ticket"), file.alias("file_ticket"), "path", at.alias("start_byte"), (at + size).alias("end_byte"), kind.alias("kind"), F.col("part_ticket").alias("target_ticket"), zero.alias("line"), zero.alias("col"), none.alias("snippet"))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct references: one row for each order, line, part and return flag."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").distinct()
-    return items.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", F.lit("orders"), "o_orderpriority", F.col("o_orderkey").cast("string")).alias("path"))
 
 
-def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and definition anchors of parts in order files; a part's definition stands in the first order line that names it."""
-    path = F.concat_ws("/", F.lit("orders"), "o_orderpriority", F.col("o_orderkey").cast("string"))
-    start = F.col("l_linenumber").cast("long") * 100
-    o = _orders(spark, sf_dir).withColumn("path", path)
-    file = ticket(F.struct(F.lit("").alias("signature"), F.lit(CORPUS).alias("corpus"), F.lit("").alias("root"), F.col("path"), F.lit("").alias("language")))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' keys and tickets; a ticket is made once a part, not once a reference."""
+    return table(spark, sf_dir, "part").select("p_partkey", ticket(part_vname()).alias("part_ticket"))
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference anchors of parts in order files: one for each distinct order, line, part and return flag."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").distinct()
+    o = items.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(_parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
     kind = F.when(F.col("l_returnflag") == "R", "ref/call").when(F.col("l_returnflag") == "A", "ref").otherwise("ref/call/implicit")
-    zero, none = F.lit(0).cast("long"), F.lit("")
+    return _anchor_rows(o, F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"), F.col("l_linenumber").cast("long") * 100, 50, kind)
 
-    def rows(df: DataFrame, sig: Column, at: Column, size: int, k: Column) -> DataFrame:
-        return df.select(ticket(vname("order", F.col("path"), sig)).alias("anchor_ticket"), file.alias("file_ticket"), "path", at.alias("start_byte"), (at + size).alias("end_byte"), k.alias("kind"), ticket(part_vname()).alias("target_ticket"), zero.alias("line"), zero.alias("col"), none.alias("snippet"))
 
-    refs = rows(o, F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"), start, 50, kind)
-    first = o.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "path")).alias("m"), *(F.first(c).alias(c) for c in ("p_brand", "p_type", "p_partkey"))).select("p_brand", "p_type", "p_partkey", "m.*")
-    return refs.unionByName(rows(first, F.concat(F.lit("def:"), F.col("p_partkey").cast("string")), F.col("l_linenumber").cast("long") * 100 + 60, 30, F.lit("defines/binding")))
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition anchors of parts: each stands in the first order line that names the part. Keys find that line; paths and tickets are made for it alone."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    known = lines.join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    first = known.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("m")).select("l_partkey", "m.*")
+    found = first.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(_parts(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    one = found.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "path")).alias("m"), F.first("part_ticket").alias("part_ticket")).select("l_partkey", "part_ticket", "m.*")  # keys may repeat in orders and parts
+    return _anchor_rows(one, F.concat(F.lit("def:"), F.col("l_partkey").cast("string")), F.col("l_linenumber").cast("long") * 100 + 60, 30, F.lit("defines/binding"))
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references(spark, sf_dir).unionByName(definitions(spark, sf_dir))
 
 
 def supplier_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,46 +71,60 @@ _ANCHORS = f"""o AS (SELECT * FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_
     UNION ALL SELECT callee_ticket, 'caller', caller_ticket, caller_path, 0 FROM calls)"""
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, key: str, write: Callable[[str], object]) -> str:
+    """The folder of what `write` puts there: written to the shared folder once in a session, by the first query that needs it."""
+    own = (spark.sparkContext.applicationId, sf_dir, key)
+    if own not in _built:
+        folder = f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}"  # a failed write is not met again
+        write(folder)
+        _built[own] = folder
+    return _built[own]
 
 
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The adapter graph from its serving tables, which the first query of a session over these tables builds in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        folder = f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}"
-        e = A.entries(spark, sf_dir)
-        a, calls = S.put(A.anchors(spark, sf_dir), folder, "anchors"), S.put(A.supplier_calls(spark, sf_dir), folder, "call_edges")
-        own = a.withColumn("role", S.role(F.col("kind"))).select("target_ticket", "role", F.col("anchor_ticket").alias("item_ticket"), "file_ticket", "path", "start_byte", "line", "col", "snippet")
-        zero = F.lit(0).cast("long")
-        by = calls.select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), F.col("caller_ticket").alias("file_ticket"), K.path_of(F.col("caller_ticket")).alias("path"), zero.alias("start_byte"), zero.alias("line"), zero.alias("col"), F.lit("").alias("snippet"))
-        S.put(own.unionByName(by), folder, "xrefs")
-        S.put(N.labels_of(S.put(N.names_of(e), folder, "names")), folder, "labels")
-        for name, df in (("edges", S.edges(e)), ("facts", S.facts(e)), ("files", A.document_files(spark, sf_dir).drop("doc_id"))):
-            S.put(df, folder, name)
-        S.derive(spark, folder)
-        _built[key] = folder
-    return CodeGraph.load(spark, _built[key])
+    """The adapter graph. Each serving table, and each part of the cross-references, is written by the first query of a session that needs it."""
+
+    def put(name: str, make: Callable[[], DataFrame], part: str = "") -> DataFrame:
+        folder = _stored(spark, sf_dir, part + name, lambda f: S.put(make(), f, name))
+        return spark.read.parquet(f"{folder}/{name}")
+
+    def refs(anchors: DataFrame) -> DataFrame:
+        return anchors.select("target_ticket", S.role(F.col("kind")).alias("role"), F.col("anchor_ticket").alias("item_ticket"), "file_ticket", "path", "start_byte", "line", "col", "snippet")
+
+    def callers() -> DataFrame:
+        zero, caller = F.lit(0).cast("long"), F.col("caller_ticket")
+        return t["call_edges"].select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), caller.alias("item_ticket"), caller.alias("file_ticket"), K.path_of(caller).alias("path"), zero.alias("start_byte"), zero.alias("line"), zero.alias("col"), F.lit("").alias("snippet"))
+
+    parts = {("definition",): lambda: refs(A.definitions(spark, sf_dir)), ("reference", "call"): lambda: refs(A.references(spark, sf_dir)), ("caller",): callers}
+
+    def by_role(roles: tuple[str, ...]) -> DataFrame:
+        """Cross-references of the parts that hold these roles."""
+        return reduce(DataFrame.unionByName, [put("xrefs", make, f"{own[0]} ") for own, make in parts.items() if set(own) & set(roles)])
+
+    def steps() -> dict[str, DataFrame]:
+        return S.steps_of(spark, _stored(spark, sf_dir, "steps", lambda f: S.put_steps(t["call_edges"], f)))
+
+    make = {
+        "names": lambda: N.names_of(A.entries(spark, sf_dir)), "labels": lambda: N.labels_of(t["names"]), "edges": lambda: S.edges(A.entries(spark, sf_dir)), "facts": lambda: S.facts(A.entries(spark, sf_dir)),
+        "anchors": lambda: A.anchors(spark, sf_dir), "files": lambda: A.document_files(spark, sf_dir).drop("doc_id"), "call_edges": lambda: A.supplier_calls(spark, sf_dir),
+        "tree": lambda: S.tree(t["files"].select("corpus", "path")), "first_definitions": lambda: S.first_definitions(by_role(("definition",))), "grams": lambda: N.grams_of(t["names"]), "gram_counts": lambda: N.gram_counts(t["grams"]),
+    }
+    t = S.Tables({n: partial(put, n, m) for n, m in make.items()} | {"xrefs": lambda: by_role(tuple(r for own in parts for r in own)), "steps": steps})
+    return CodeGraph(S.Tables({n: partial(t.__getitem__, n) for n in S.SERVING}), t, True, by_role)
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of conversations as code, as an indexer's output: written once in a session, by the first query that needs them."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir} chat")
-    if key not in _built:
-        folder = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
-        A.turn_entries(spark, sf_dir).write.parquet(folder)
-        _built[key] = folder
-    return spark.read.parquet(_built[key])
+    return spark.read.parquet(_stored(spark, sf_dir, "chat", A.turn_entries(spark, sf_dir).write.parquet))
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The events' calls and the steps of their graph in buckets: written once in a session, by the first query that needs them."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir} events")
-    if key not in _built:
-        folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-        S.put_steps(S.put(A.event_calls(spark, sf_dir), folder, "call_edges"), folder)
-        _built[key] = folder
-    return spark.read.parquet(f"{_built[key]}/call_edges"), S.steps_of(spark, _built[key])
+    folder = _stored(spark, sf_dir, "events", lambda f: S.put_steps(S.put(A.event_calls(spark, sf_dir), f, "call_edges"), f))
+    return spark.read.parquet(f"{folder}/call_edges"), S.steps_of(spark, folder)
 
 
 def first_name(spark: SparkSession, sf_dir: str) -> str:

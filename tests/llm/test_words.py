@@ -385,3 +385,19 @@ def test_licenses_equal_sql_and_own_labels(spark):
     assert by[9025].labels == "isc" and by[9026].labels == "cc-by,cc-by-sa"
     assert by[9020].labels == "cc-by,gpl,reserved" and by[9020].score == 1 and by[9024].n_base == 5000
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_lm_counts_leave_no_shuffle_files(spark):
+    """The blocks of counts are of no use once the store is written; texts cross an exchange packed."""
+    from pathlib import Path
+
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString())
+    held = lambda: {p for p in local.rglob("shuffle_*.data")}
+    d = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 50), i -> sha2(concat(id, ' ', i), 256))) as text")
+    before = held()
+    model = lm.fit(d, broadcast_bytes=0)
+    made = sum(p.stat().st_size for p in held() - before if p.exists())
+    assert made < 1 << 16 < spark.read.parquet(model["store"].inputFiles()[0]).selectExpr("sum(length(b))").first()[0]
+    rows = lm._packed(7, d.limit(50).toArrow().to_batches())
+    back = lm._unpacked(pa.Table.from_batches([rows]))
+    assert back.to_pylist() == d.limit(50).toArrow().to_pylist() and rows.column("chunk").to_pylist() == [7]

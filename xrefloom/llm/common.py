@@ -84,11 +84,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: its lineage is cut, and it survives lost executors."""
+#: Whether Spark deletes a query's shuffle files at the query's end; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, only: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: its lineage is cut, and it survives lost executors.
+
+    only: nothing else reads what the table is made from, so its shuffle files are deleted once it is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        spark.conf.set(CLEANUP, "true" if only else before)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

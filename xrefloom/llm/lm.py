@@ -233,7 +233,7 @@ def fit(training: DataFrame, text: str = "text", region_bytes: int = 24 << 20, m
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_REGIONS, math.ceil(math.log2(size / region_bytes + 1)))
     blocks = rows.mapInArrow(_counter(bits), _BLOCK).repartition(1 << bits, "region").sortWithinPartitions("region")
-    store = saved(blocks.mapInArrow(_builder(member_bits), _STORE))
+    store = saved(blocks.mapInArrow(_builder(member_bits), _STORE), only=True)
     sums = store.agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "typical")), F.sum(F.octet_length("b")).alias("bytes")).first()
     model = {"N": sums["tokens"] or 0, "V": sums["words"] or 0, "typical": sums["typical"] or 0.0, "bytes": sums["bytes"] or 0, "bits": bits, "prior": prior, "store": store}
     if model["bytes"] <= broadcast_bytes:
@@ -294,23 +294,39 @@ def _scorer(shared, names: list[str]):
     return score
 
 
+def _packed(chunk: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A chunk's rows as one: Arrow's stream format, compressed, since they cross an exchange."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in parts:
+            out.write_batch(part)
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "b"])
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in rows["b"]]).combine_chunks()
+
+
 def _chunker(batches):
-    """Rows with the number of their chunk: consecutive rows of a task, about CHUNK bytes of text."""
-    chunk, held = TaskContext.get().partitionId() << 32, 0
+    """Chunks of consecutive rows of a task, about CHUNK bytes of text each: the chunk's number and its packed rows."""
+    chunk, held, parts = TaskContext.get().partitionId() << 32, 0, []
     for batch in batches:
         for part in slices(batch, "text"):
             size = (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + part.num_rows
             if held and held + size > CHUNK:
-                chunk, held = chunk + 1, 0
+                yield _packed(chunk, parts)
+                chunk, held, parts = chunk + 1, 0, []
             held += size
-            yield part.append_column("chunk", pa.array(np.full(part.num_rows, chunk)))
+            parts.append(part)
+    if parts:
+        yield _packed(chunk, parts)
 
 
 def _asker(bits: int):
     """A chunk's distinct n-grams, by region."""
 
-    def ask(key, texts):
-        x = Scored(texts["text"], bits)
+    def ask(key, packed):
+        x = Scored(_unpacked(packed)["text"], bits)
         rows = [(k, kind, pack_sorted(grams[a:b] if kind == WORD else _key(grams[a:b]))) for kind, grams in enumerate((x.words, x.pairs)) for k, a, b in _by_region(grams, kind, bits)]
         return pa.table({"region": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "b": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -340,7 +356,8 @@ def _answerer(batches):
 def _finisher(m: dict, names: list[str]):
     """Scores of a chunk's texts; the answers, by region, are in the order of its sorted n-grams."""
 
-    def finish(texts, answers):
+    def finish(packed, answers):
+        texts = _unpacked(packed)
         x = Scored(texts["text"], m["bits"])
         order = answers.sort_by([("kind", "ascending"), ("region", "ascending")])
         q = np.frombuffer(b"".join(order["q"].to_pylist()), np.uint8)
@@ -370,7 +387,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Colu
     else:
         regions_ = 1 << model["bits"]
         # saved, since chunks follow the order of rows, which a repeated task may find changed
-        texts = saved(rows.mapInArrow(_chunker, with_fields(rows.schema[:-1], "text string, chunk long"))).repartition(regions_, "chunk")
+        texts = saved(rows.mapInArrow(_chunker, "chunk long, b binary")).repartition(regions_, "chunk")
         asked = model["store"].select("region", "kind", "chunk", "b").unionByName(texts.groupBy("chunk").applyInArrow(_asker(model["bits"]), _ASK))
         answers = asked.repartition(regions_, "region").sortWithinPartitions("region", "kind").mapInArrow(_answerer, "region int, kind int, chunk long, q binary, c binary")
         scored = texts.groupBy("chunk").cogroup(answers.repartition(regions_, "chunk").groupBy("chunk")).applyInArrow(_finisher(plain, named), result)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from xrefloom.operators import names as N
 from xrefloom.operators import serving as S
 from xrefloom.operators import walk as W
+from xrefloom.operators.graph import CodeGraph
+from xrefloom.schema import ENTRY, FACTS
 
 
 def plan_of(df):
@@ -133,3 +135,71 @@ def test_definitions_with_odd_keys(spark, tmp_path):
     for t, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{t}.parquet")
     assert sorted((r.path, r.start_byte, r.end_byte, r.target_ticket.rpartition("#")[2]) for r in A.definitions(spark, str(tmp_path)).collect()) == [("orders/HIGH/7", 360, 390, "part%232"), ("orders/LOW/5", 160, 190, "part%231")]
+
+
+def repeated_entries(spark):
+    """Two files with definitions and calls, names of code and of edges; one file's path is written in two ways, and every entry comes three times."""
+    name = lambda signature, path, language="c++": (signature, "c", "", path, language)
+    rows = []
+    fact = lambda source, kind, value: rows.append((source, None, "", kind, value.encode()))
+    edge = lambda source, kind, target: rows.append((source, target, f"/kythe/edge/{kind}", "/", None))
+    for path in ("d/a", "d//a", "d/b"):
+        fact(name("", path, ""), FACTS.node_kind, "file")
+        fact(name("", path, ""), FACTS.text, "\n".join(f"  line {k} of it " for k in range(9)))
+        for k in range(4):
+            edge(name(f"f{k}", path), "named", name(f"ns::f{k}()V", "", "jvm"))
+            for start, end, kind, target in ((k * 30, k * 30 + 25, "defines/binding", f"f{k}"), (k * 30 + 5, k * 30 + 6, "ref/call", f"f{(k + 1) % 4}"), (k * 30 + 27, k * 30 + 28, "ref/call", "f0")):
+                own = name(f"@{start}", path)
+                for f, v in ((FACTS.node_kind, "anchor"), (FACTS.start, str(start)), (FACTS.end, str(end))):
+                    fact(own, f, v)
+                edge(own, kind, name(target, path))
+    return spark.createDataFrame(rows * 3, ENTRY)
+
+
+def test_build_of_repeated_entries(spark, tmp_path):
+    entries = repeated_entries(spark)
+    S.build(entries, str(tmp_path / "t"))
+    got, want = CodeGraph.load(spark, str(tmp_path / "t")).t, CodeGraph.from_entries(S.dedup(entries)).t
+    for table in S.SERVING:
+        # two paths of one ticket are two entries, copies of an entry are one
+        assert sorted(map(repr, got[table].select(want[table].columns).collect())) == sorted(map(repr, want[table].collect())), table
+        assert got[table].count() > 0
+    with pytest.raises(Exception, match="(?i)exists"):
+        S.build(entries, str(tmp_path / "t"))
+
+
+def test_tables_are_written_after_one_exchange(spark, tmp_path):
+    entries = repeated_entries(spark)
+    assert plan_of(S._distinct_facts(entries)).split("Physical Plan")[1].count("Exchange ") == 1
+    files = S.files(entries).localCheckpoint()
+    calls = "caller_ticket string, callee_ticket string, ds long, at long, direct boolean"
+    a = S.anchors(entries, files_=files)
+    assert FACTS.text not in plan_of(a)  # stored texts are not gathered again
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, S.anchors(entries).collect()))
+    plan = plan_of(S._distinct_xrefs(a.localCheckpoint(), spark.createDataFrame([], calls), FACTS)).split("Physical Plan")[1]
+    assert plan.count("rangepartitioning") == 1 and "REPARTITION_BY_COL" in plan and "hashpartitioning(target_ticket" not in plan
+
+
+def test_calls_that_no_span_reaches_are_not_swept(spark, monkeypatch):
+    spans = spark.createDataFrame([("f", f"s{k}", 10 * k, 10 * k + 5) for k in range(9)], "file_ticket string, caller_ticket string, ds long, de long")
+    calls = spark.createDataFrame([("f", f"c{k}", k) for k in range(90)], "file_ticket string, callee_ticket string, at long")
+    sweep = S._sweep
+
+    def few(batches):  # 9 spans and 45 calls inside them, in one block of one size
+        batches = list(batches)
+        assert sum(b.num_rows for b in batches) <= 54
+        return sweep(iter(batches))
+
+    monkeypatch.setattr(S, "_sweep", few)
+    assert {(r.callee_ticket, r.caller_ticket) for r in S.innermost_calls(spans, calls).collect()} == {(f"c{k}", f"s{k // 10}") for k in range(90) if k % 10 < 5}
+
+
+def test_jobs_together_raise_their_error(spark):
+    done = []
+
+    def fails():
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        S.together(spark, fails, lambda: done.append(1))
+    assert done == [1]

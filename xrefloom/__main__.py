@@ -85,7 +85,7 @@ def run(spark: SparkSession, args: list[str]) -> list[str]:
     if a.verb in ("build", "name-index"):
         entries = read_entries(spark, a.entries, a.default_corpus)
         if a.verb == "build":
-            S.build(S.dedup(entries), a.out)
+            S.build(entries, a.out)
         else:
             write_names(N.names_of(entries), a.out)
         return [f"{a.out} is written"]

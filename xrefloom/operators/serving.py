@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,16 +97,18 @@ def place(anchors_: DataFrame, files_: DataFrame) -> DataFrame:
     lines of its block, however large its file is.
     """
     blocks = F.sequence(F.shiftright("line_start", LINE_BLOCK), F.shiftright(F.col("line_end") - 1, LINE_BLOCK))
-    ls = lines(files_).withColumnRenamed("file_ticket", "_file").withColumn("_block", F.explode(blocks))
+    # a line is trimmed once, not once for each of its anchors
+    ls = lines(files_).select(F.col("file_ticket").alias("_file"), "line_number", "line_start", "line_end", squeeze(F.col("line_text")).alias("_snippet")).withColumn("_block", F.explode(blocks))
     on = (F.col("file_ticket") == F.col("_file")) & (F.shiftright("start_byte", LINE_BLOCK) == F.col("_block")) & (F.col("start_byte") >= F.col("line_start")) & (F.col("start_byte") < F.col("line_end"))
     zero = F.lit(0).cast("long")
-    return anchors_.join(ls, on, "left").select(*anchors_.columns, F.coalesce("line_number", zero).alias("line"), F.coalesce(F.col("start_byte") - F.col("line_start"), zero).alias("col"), F.coalesce(squeeze(F.col("line_text")), F.lit("")).alias("snippet"))
+    return anchors_.join(ls, on, "left").select(*anchors_.columns, F.coalesce("line_number", zero).alias("line"), F.coalesce(F.col("start_byte") - F.col("line_start"), zero).alias("col"), F.coalesce("_snippet", F.lit("")).alias("snippet"))
 
 
-def anchors(entries: DataFrame, f: Facts = FACTS) -> DataFrame:
+def anchors(entries: DataFrame, f: Facts = FACTS, files_: DataFrame | None = None) -> DataFrame:
     """Anchors and what they point to: anchor_ticket, file_ticket, path, start_byte, end_byte, kind, target_ticket, line, col, snippet.
 
-    The file is the anchor's parent, else the file node of its own corpus, root and path.
+    The file is the anchor's parent, else the file node of its own corpus, root and path. files_: the table of files, where
+    it is stored, so that texts are not gathered from the entries again.
     """
     own = entries.filter(F.col("fact_name").isin(f.start, f.end, f.node_kind)).groupBy("source").agg(*(F.min(F.when(F.col("fact_name") == n, F.col("fact_value").cast("string"))).alias(c) for n, c in ((f.start, "start"), (f.end, "end"), (f.node_kind, "node_kind"))))
     own = own.filter("node_kind = 'anchor'")
@@ -117,7 +121,7 @@ def anchors(entries: DataFrame, f: Facts = FACTS) -> DataFrame:
         ticket(F.col("source")).alias("anchor_ticket"), F.coalesce("parent.target_ticket", ticket(itself)).alias("file_ticket"), F.coalesce("parent.target_path", "source.path").alias("path"),
         F.expr("try_cast(start as bigint)").alias("start_byte"), F.expr("try_cast(end as bigint)").alias("end_byte"), F.regexp_replace("kind", "^/kythe/edge/", "").alias("kind"), "target_ticket",
     )
-    return place(rows, files(entries, f))
+    return place(rows, files(entries, f) if files_ is None else files_)
 
 
 def role(kind: Column, f: Facts = FACTS) -> Column:
@@ -206,28 +210,36 @@ def innermost_calls(spans: DataFrame, calls: DataFrame) -> DataFrame:
 
     Innermost is the latest start, then the earliest end, then the smallest ticket. Spans and calls meet in cells of a file,
     a block size and a block; a sweep over each cell with a stack finds one candidate a cell, so nesting multiplies nothing;
-    of a call's candidates (one for each block size) the innermost stays. A task holds the stack of one cell.
+    of a call's candidates (one for each block size) the innermost stays. A task holds the stack of one cell. A call that no
+    span of its cell reaches, as in most block sizes, is dropped before the sweep.
     """
     begun = _span_cells(spans).select("file_ticket", "_size", "_block", F.col("ds").alias("pos"), F.col("de").alias("end"), F.col("caller_ticket").alias("ticket"))
     asked = _call_cells(calls).select("file_ticket", "_size", "_block", F.col("at").alias("pos"), F.lit(None).cast("long").alias("end"), F.col("callee_ticket").alias("ticket"))
     cell = ["file_ticket", "_size", "_block"]
     # at one place spans come before calls, and the longest of them and largest ticket first
-    events = begun.unionByName(asked).repartition(*cell).sortWithinPartitions(*cell, "pos", F.col("end").desc_nulls_last(), F.col("ticket").desc())
+    order = ["pos", F.col("end").desc_nulls_last(), F.col("ticket").desc()]
+    reach = F.max("end").over(Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    events = begun.unionByName(asked).repartition(*cell).withColumn("_reach", reach).filter("end is not null or _reach > pos").drop("_reach").sortWithinPartitions(*cell, *order)
     found = events.mapInArrow(_sweep, "file_ticket string, callee_ticket string, at long, caller_ticket string, ds long, de long")
     best = found.groupBy("file_ticket", "callee_ticket", "at").agg(F.min(F.struct((-F.col("ds")).alias("n"), "de", "caller_ticket", "ds")).alias("b"))
     return best.select("file_ticket", "callee_ticket", "at", "b.caller_ticket", "b.ds", "b.de")
 
 
+def _xrefs(anchors_: DataFrame, calls: DataFrame, f: Facts) -> DataFrame:
+    """Cross-references, some of them more than once where two anchors have one ticket."""
+    place_ = ["file_ticket", "path", "start_byte", "line", "col", "snippet"]
+    own = anchors_.withColumn("role", role(F.col("kind"), f)).filter("role is not null").select("target_ticket", "role", F.col("anchor_ticket").alias("item_ticket"), *place_)
+    at = own.filter("role = 'definition'").select(F.col("target_ticket").alias("caller_ticket"), *place_)
+    callers = calls.filter("direct").select("caller_ticket", "callee_ticket").join(at, "caller_ticket").select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), *place_)
+    return own.unionByName(callers)
+
+
 def xrefs(anchors_: DataFrame, calls: DataFrame, f: Facts = FACTS) -> DataFrame:
     """Cross-references in long form: target_ticket, role, item_ticket, and the place (path, line, col, snippet, file_ticket, start_byte).
 
     Roles: definition, reference, call (the call's place), caller (the definition of the innermost function that calls).
     """
-    place_ = ["file_ticket", "path", "start_byte", "line", "col", "snippet"]
-    own = anchors_.withColumn("role", role(F.col("kind"), f)).filter("role is not null").select("target_ticket", "role", F.col("anchor_ticket").alias("item_ticket"), *place_)
-    at = own.filter("role = 'definition'").select(F.col("target_ticket").alias("caller_ticket"), *place_)
-    callers = calls.filter("direct").select("caller_ticket", "callee_ticket").join(at, "caller_ticket").select(F.col("callee_ticket").alias("target_ticket"), F.lit("caller").alias("role"), F.col("caller_ticket").alias("item_ticket"), *place_)
-    return own.unionByName(callers).distinct()
+    return _xrefs(anchors_, calls, f).distinct()
 
 
 def first_definitions(xrefs_: DataFrame) -> DataFrame:
@@ -247,9 +259,28 @@ def tree(files_: DataFrame) -> DataFrame:
 
 def put(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write one serving table, which must not be there yet: range-partitioned and sorted by the columns that queries look up, so that row-group statistics prune reads."""
-    by = LOOKUP[name]
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("errorifexists").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.parquet(f"{folder}/{name}")
+    return _write(_ranged(df, name), folder, name)
+
+
+def _ranged(df: DataFrame, name: str) -> DataFrame:
+    """Rows range-partitioned for a serving table. Equal rows meet, so they can be made distinct without a further exchange."""
+    return df.repartitionByRange(*LOOKUP[name])
+
+
+def _write(ranged: DataFrame, folder: str, name: str) -> DataFrame:
+    ranged.sortWithinPartitions(*LOOKUP[name]).write.mode("errorifexists").parquet(f"{folder}/{name}")
+    return ranged.sparkSession.read.schema(ranged.schema).parquet(f"{folder}/{name}")
+
+
+def _distinct_facts(entries: DataFrame) -> DataFrame:
+    """The facts of distinct entries, range-partitioned for their table."""
+    keyed = entries.filter("edge_kind = ''").withColumn("ticket", ticket(F.col("source")))
+    return _ranged(keyed, "facts").dropDuplicates().select("ticket", "fact_name", "fact_value")
+
+
+def _distinct_xrefs(anchors_: DataFrame, calls: DataFrame, f: Facts) -> DataFrame:
+    """`xrefs`, range-partitioned for their table."""
+    return _ranged(_xrefs(anchors_, calls, f), "xrefs").distinct()
 
 
 def _table_name(folder: str, name: str) -> str:
@@ -282,26 +313,35 @@ def steps_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
+    """Run jobs that need nothing of each other at once, so that one's last tasks leave no cores idle; an error is raised when all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
+
+
 def build(entries: DataFrame, folder: str, f: Facts = FACTS) -> None:
-    """Write all serving tables as Parquet below a folder; a table that is there already is an error."""
-    from .names import labels_of, names_of
-
-    put(edges(entries), folder, "edges")
-    put(facts(entries), folder, "facts")
-    put(files(entries, f), folder, "files")
-    a = put(anchors(entries, f), folder, "anchors")
-    calls = put(call_edges(a, f), folder, "call_edges")
-    put(xrefs(a, calls, f), folder, "xrefs")
-    put(labels_of(put(names_of(entries), folder, "names")), folder, "labels")
-    derive(entries.sparkSession, folder)
-
-
-def derive(spark: SparkSession, folder: str) -> None:
-    """Write the tables that are made from other serving tables: the substring index, folders, first definitions and the call graph's steps."""
-    from .names import gram_counts, grams_of
-
-    stored = lambda name: spark.read.parquet(f"{folder}/{name}")
-    put(gram_counts(put(grams_of(stored("names")), folder, "grams")), folder, "gram_counts")
-    put(tree(stored("files").select("corpus", "path")), folder, "tree")
-    put(first_definitions(stored("xrefs")), folder, "first_definitions")
-    put_steps(stored("call_edges"), folder)
+    """Write all serving tables as Parquet below a folder, and those made from them: the substring index, folders, first definitions and the call graph's steps. A table that is there already is an error.
+
+    Entries may repeat. Only facts need them made distinct first; all other tables are distinct by themselves.
+    """
+    from .names import gram_counts, grams_of, labels_of, names_of
+
+    spark = entries.sparkSession
+
+    def placed() -> None:
+        texts = put(files(entries, f), folder, "files")
+        a = put(anchors(entries, f, texts), folder, "anchors")
+        calls = put(call_edges(a, f), folder, "call_edges")
+        together(
+            spark,
+            lambda: put(first_definitions(_write(_distinct_xrefs(a, calls, f), folder, "xrefs")), folder, "first_definitions"),
+            lambda: put_steps(calls, folder),
+            lambda: put(tree(texts.select("corpus", "path")), folder, "tree"),
+        )
+
+    def named() -> None:
+        found = put(names_of(entries), folder, "names")
+        together(spark, lambda: put(labels_of(found), folder, "labels"), lambda: put(gram_counts(put(grams_of(found), folder, "grams")), folder, "gram_counts"))
+
+    together(spark, placed, named, lambda: put(edges(entries), folder, "edges"), lambda: _write(_distinct_facts(entries), folder, "facts"))

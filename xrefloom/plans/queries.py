@@ -487,7 +487,7 @@ def v10_nodes(spark, sf_dir):
   UNION ALL SELECT 'facts', 2 * f + 3 * (t + k) + t FROM n UNION ALL SELECT 'anchors', t + k FROM n UNION ALL SELECT 'files', f FROM n UNION ALL SELECT 'call_edges', k FROM n""")
 def v17_build(spark, sf_dir):
     folder = f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}"
-    S.build(S.dedup(chat(spark, sf_dir)), folder)
+    S.build(chat(spark, sf_dir), folder)
     return CodeGraph.load(spark, folder).stat().select("table", "rows")
 
 

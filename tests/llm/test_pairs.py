@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from xrefloom.llm import decontaminate, embeddings, ngram_join
 from xrefloom.llm.common import components
@@ -130,6 +131,51 @@ def test_embeddings_recall_and_precision(spark):
     assert embeddings.classes(df.limit(0)).count() == 0
 
 
+def largest_broadcast(spark, after):
+    """Bytes, among the executions numbered above `after`; and the last number."""
+    as_list, store = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava, spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ids, most = [e.executionId() for e in as_list(store.executionsList())], 0
+    for i in ids:
+        if i > after:
+            values = dict(as_list(store.executionMetrics(i)))
+            for node in as_list(store.planGraph(i).allNodes()):
+                for m in as_list(node.metrics()) if node.name().startswith("BroadcastExchange") else []:
+                    if m.name() == "data size" and (text := values.get(m.accumulatorId())):
+                        number, unit = text.split()
+                        most = max(most, float(number.replace(",", "")) * 1024 ** ["B", "KiB", "MiB", "GiB"].index(unit))
+    return most, max([after, *ids])
+
+
+def test_exploded_codes_are_not_broadcast(spark):
+    rows = vectors(3000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert df.select("vec_id").join(F.broadcast(df), "vec_id").count() == 3000
+    seen, last = largest_broadcast(spark, -1)
+    assert seen > 1_000_000  # broadcasts can be seen
+    assert sum(r.n_links for r in embeddings.classes(df).collect()) > 500
+    assert largest_broadcast(spark, last)[0] < 4_000_000  # 68 rows of each vector are 40 MiB
+
+
+def test_candidates_equal_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for label, dim in (("a", 64), ("b", 64), ("a", 20), ("a", 9)):
+        base = [r.getrandbits(min(dim, 64)) for _ in range(8)]
+        for _ in range(90):
+            code = r.choice(base)
+            for _ in range(r.choice([0, 1, 2, 6, 12, 20])):
+                code ^= 1 << r.randrange(min(dim, 64))
+            rows.append((1000 - len(rows), label, dim, int(np.uint64(code).view(np.int64))))
+    got = [(p.x, p.y) for p in embeddings.candidates(spark.createDataFrame(rows, "rep long, label string, dim int, code long"), 18).collect()]
+    want = set()
+    for a, b in itertools.combinations(rows, 2):
+        d = (a[3] ^ b[3]) & (1 << 64) - 1
+        if a[1:3] == b[1:3] and d.bit_count() <= 18 and any((d >> 16 * t & 0xFFFF).bit_count() <= 1 for t in range(4) if 16 * t < a[2]):
+            want.add((min(a[0], b[0]), max(a[0], b[0])))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 2000
+
+
 def test_rotation_balances_codes():
     x = np.random.Generator(np.random.PCG64(0)).normal(size=(3000, 32)) * np.linspace(3, 0.2, 32)
     m = embeddings.learn(x)

@@ -3,15 +3,18 @@
 1. Equal vectors with equal labels are one representative, with its number of copies.
 2. For each length of vectors, a rotation for binary codes is learned (PCA, then alternating code and rotation updates)
    from a bounded sample of about `sample_rows` representatives of that length; every representative gets a code of up to 64 bits.
-3. Codes are indexed in tables of 16-bit substrings. Each code looks up its own substring and those that differ in one
-   bit, so every pair with at most 2 * tables - 1 differing bits is found, and most pairs beyond. A pair that several
-   tables find is kept from the first of them, which both codes tell without a shuffle; pairs with more than `radius`
-   differing bits go.
+3. Codes are indexed in tables of 16-bit substrings. Each code looks up its own substring and those that lack one of its
+   bits, so that of two substrings that differ in one bit one finds the other: every pair with at most 2 * tables - 1
+   differing bits is found, and most pairs beyond. A pair that several tables find is kept from the first of them, which
+   both codes tell without a shuffle; pairs with more than `radius` differing bits go.
 4. The remaining pairs are reranked with their original vectors, in double precision: links have cosine >= `least`.
 
 Vectors are compared only where labels are equal and not null, and lengths are equal. Null and zero vectors and vectors
 with null or non-finite components link with nothing. The
 index holds all other vectors; recall is measured in the tests.
+
+Joins whose sides grow with the vectors are merge joins by hint: Spark would broadcast a side by the size of its compressed
+files, before codes are exploded into substrings, and the driver would hold all of it.
 """
 
 from __future__ import annotations
@@ -116,6 +119,24 @@ def _ranker(least: float):
     return rank
 
 
+def candidates(codes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (x, y), x < y, of codes (rep, label, dim, code) with equal label and dim that agree but for one bit in a substring and differ in at most `radius` bits; each pair once."""
+    tables = 64 // WIDTH  # shorter codes use only the first of them
+    mask = (1 << WIDTH) - 1
+    near = lambda t: F.bit_count(F.shiftrightunsigned(F.col("cx").bitwiseXOR(F.col("cy")), WIDTH * t).bitwiseAND(F.lit(mask).cast("long"))) <= 1
+    parts = F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("code", WIDTH * t).bitwiseAND(F.lit(mask).cast("long")).alias("key")) for t in range(tables)))
+    own = codes.select("rep", "label", "dim", "code", F.explode(parts).alias("p")).select("rep", "label", "dim", "code", "p.t", "p.key").filter(F.col("t") * WIDTH < F.col("dim"))
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(WIDTH)))
+    lacking = F.explode(F.filter(flips, lambda f: F.col("key").bitwiseAND(f) == f))
+    asked = own.select(F.col("rep").alias("x"), "label", "dim", F.col("code").alias("cx"), "t", "key", lacking.alias("f")).select("x", "label", "dim", "cx", "t", F.col("key").bitwiseXOR(F.col("f")).alias("key"), (F.col("f") == 0).alias("same"))
+    met = own.select(F.col("rep").alias("y"), "label", "dim", F.col("code").alias("cy"), "t", "key").join(asked.hint("merge"), ["label", "dim", "t", "key"])
+    first = F.lit(True)
+    for t in range(tables - 1):
+        first = first & ((F.col("t") <= t) | ~near(t))
+    once = ~F.col("same") | (F.col("x") < F.col("y"))  # equal substrings find each other
+    return met.filter(once & (F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= radius) & first).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def links(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, radius: int = 24) -> tuple[DataFrame, DataFrame]:
     """Two tables from columns vec_id, label and embedding: members (vec_id, first, rep, copies) of all usable vectors, and links (x, y, cosine) between representatives, x < y.
 
@@ -129,7 +150,7 @@ def links(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, ra
     several = saved(reps.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first", F.lit(True).alias("many")))
     own = F.xxhash64("label", "vec", "first").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     reps = reps.join(several, "first", "left").withColumn("rep", F.when(F.col("many"), own).otherwise(F.col("first"))).drop("many")
-    members = read.join(reps, ["label", "vec"]).select("vec_id", "first", "rep", "copies")
+    members = read.join(reps.hint("merge"), ["label", "vec"]).select("vec_id", "first", "rep", "copies")
     share = reps.groupBy("dim").agg(F.least(F.lit(1.0), sample_rows / F.count("*")).alias("share"))
     sample = reps.join(share, "dim").filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < (F.col("share") * (1 << 30)).cast("long")).select("dim", "vec")
     models = {}
@@ -139,18 +160,7 @@ def links(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, ra
     shared = spark.sparkContext.broadcast(models)
     codes = saved(reps.select("rep", "label", "dim", "vec").mapInArrow(_coder(shared), "rep long, label string, dim int, code long"))
 
-    tables = 64 // WIDTH  # shorter codes use only the first of them
-    mask = (1 << WIDTH) - 1
-    near = lambda t: F.bit_count(F.shiftrightunsigned(F.col("cx").bitwiseXOR(F.col("cy")), WIDTH * t).bitwiseAND(F.lit(mask).cast("long"))) <= 1
-    parts = F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("code", WIDTH * t).bitwiseAND(F.lit(mask).cast("long")).alias("key")) for t in range(tables)))
-    own = codes.select("rep", "label", "dim", "code", F.explode(parts).alias("p")).select("rep", "label", "dim", "code", "p.t", "p.key").filter(F.col("t") * WIDTH < F.col("dim"))
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k).cast("long") for k in range(WIDTH)))
-    asked = own.select(F.col("rep").alias("x"), "label", "dim", F.col("code").alias("cx"), "t", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    met = own.select(F.col("rep").alias("y"), "label", "dim", F.col("code").alias("cy"), "t", "key").join(asked, ["label", "dim", "t", "key"])
-    first = F.lit(True)
-    for t in range(tables - 1):
-        first = first & ((F.col("t") <= t) | ~near(t))
-    pairs = met.filter((F.col("x") < F.col("y")) & (F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= radius) & first).select("x", "y")
+    pairs = candidates(codes, radius)
     vec = reps.select("rep", "vec")
     both = pairs.join(vec.withColumnsRenamed({"rep": "x", "vec": "vx"}), "x").join(vec.withColumnsRenamed({"rep": "y", "vec": "vy"}), "y")
     return members, saved(both.select("x", "y", "vx", "vy").mapInArrow(_ranker(least), "x long, y long, cosine double"))
@@ -166,7 +176,7 @@ def classes(vectors: DataFrame, **options) -> DataFrame:
     members, found = links(vectors, **options)
     copies = members.select("rep", "copies").distinct()
     ends = found.select(F.col("x").alias("rep"), F.col("y").alias("o")).unionByName(found.select(F.col("y").alias("rep"), F.col("x").alias("o")))
-    more = ends.join(copies.withColumnsRenamed({"rep": "o", "copies": "c"}), "o").groupBy("rep").agg(F.sum("c").alias("others"))
+    more = ends.hint("merge").join(copies.withColumnsRenamed({"rep": "o", "copies": "c"}), "o").groupBy("rep").agg(F.sum("c").alias("others"))
     numbered = members.filter("rep <> first").select("rep", "first").distinct()
     pairs = found.select("x", "y")
     for end in ("x", "y"):  # components are of ids
